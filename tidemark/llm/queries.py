@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.merkle import fingerprint_edits
 from tidemark.llm.packing import pack
+from tidemark.llm.piece_dropout import encode_pieces
 from tidemark.llm.shared import table
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_files import token_files
@@ -22,6 +24,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -31,7 +41,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op7_token_counts, op8_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_merkle, op6_piece_dropout, op7_token_counts, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
