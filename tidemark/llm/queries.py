@@ -12,6 +12,7 @@ from tidemark.llm.piece_dropout import encode_pieces
 from tidemark.llm.shared import table
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_files import token_files
+from tidemark.llm.voronoi import top_k
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,9 +41,31 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id
+  WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+  FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_merkle, op6_piece_dropout, op7_token_counts, op8_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_merkle, op6_piece_dropout, op7_token_counts, op8_packing, op9_voronoi_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_voronoi_topk": OP9_SQL}
