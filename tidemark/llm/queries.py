@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import toxicity
 from tidemark.llm.merkle import fingerprint_edits
 from tidemark.llm.packing import pack
 from tidemark.llm.piece_dropout import encode_pieces
@@ -29,6 +30,11 @@ def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -64,7 +70,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_merkle, op6_piece_dropout, op7_token_counts, op8_packing, op9_voronoi_topk)}
+    return {f.__name__: f for f in (op1_token_files, op2_merkle, op5_toxicity, op6_piece_dropout, op7_token_counts, op8_packing, op9_voronoi_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
