@@ -10,8 +10,10 @@ from tidemark.llm import toxicity
 from tidemark.llm.merkle import fingerprint_edits
 from tidemark.llm.packing import pack
 from tidemark.llm.piece_dropout import encode_pieces
+from tidemark.llm.run_length_index import byte_dedup
 from tidemark.llm.shared import table
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_files import token_files
 from tidemark.llm.voronoi import top_k
@@ -31,6 +33,10 @@ def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -74,8 +80,12 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def op10_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_merkle, op4_simhash, op5_toxicity, op6_piece_dropout, op7_token_counts, op8_packing, op9_voronoi_topk)}
+    return {f.__name__: f for f in (op1_token_files, op2_merkle, op3_substring_dedup, op4_simhash, op5_toxicity, op6_piece_dropout, op7_token_counts, op8_packing, op9_voronoi_topk, op10_run_length_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
