@@ -93,3 +93,76 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = materialize(rooted.join(materialize(named, "named"), "root").select("fp", "component_id"), "named")
     return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+TABLES, TABLE_BITS, NEIGHBOURS = 6, 32, 3
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rid, doc_id, a digest of the word sequence, and one short fingerprint of the distinct words per table."""
+    for batch in text_slices(batches):
+        digests, tables = [], []
+        for t in batch.column("text").to_pylist():
+            tokens = words(t)
+            digests.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
+            own = sorted(set(tokens))
+            halves: list[int] = []
+            for seed in range(TABLES // 2):
+                f = fingerprint(np.array([xxhash.xxh64_intdigest(w, seed) for w in own], np.uint64))
+                halves += [f & 0xFFFFFFFF, f >> 32]
+            tables.append(halves)
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(tables, pa.list_(pa.int64()))], names=["rid", "doc_id", "digest", "fps"])
+
+
+def _shingle_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 4 << 20):
+            sets = [np.unique(shingle_hashes(words(t), size)).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(sets, pa.list_(pa.int64()))], names=["rid", "shingles"])
+
+    return run
+
+
+def _candidates(distinct: DataFrame) -> DataFrame:
+    """(a, b) of row ids that may be near copies: the leader and the nearest few of each table's bucket, and
+    the leaders of buckets whose short fingerprints differ by at most two bits."""
+    cells = materialize(distinct.select("rid", F.posexplode("fps").alias("t", "fp")).withColumn("draw", F.xxhash64("rid", "t")), "cells")
+    leads = materialize(cells.groupBy("t", "fp").agg(F.min(F.struct("draw", "rid")).alias("lead"), F.count(F.lit(1)).alias("n")).select("t", "fp", F.col("lead.rid").alias("lead"), "n"), "leads")
+    # A bucket may hold a third of all rows: its neighbours in order of a draw are found in slices of it.
+    shared = cells.join(leads.filter("n > 1"), ["t", "fp"])
+    star = shared.filter("lead <> rid").select(F.col("lead").alias("a"), F.col("rid").alias("b"))
+    slices = shared.withColumn("slice", F.pmod(F.col("draw"), F.greatest(F.lit(1), F.floor(F.col("n") / 64))))
+    by = Window.partitionBy("t", "fp", "slice").orderBy("draw", "rid")
+    line = slices.select("rid", *(F.lag("rid", i).over(by).alias(f"b{i}") for i in range(1, NEIGHBOURS + 1)))
+    line = line.select(F.col("rid").alias("a"), F.explode(F.array(*(f"b{i}" for i in range(1, NEIGHBOURS + 1)))).alias("b")).filter("b is not null")
+    fps = linked(leads.select("t", "fp"), 2, TABLE_BITS, ("t",))
+    to = leads.select("t", "fp", "lead")
+    ball = fps.join(to.withColumnsRenamed({"fp": "a", "lead": "la"}), ["t", "a"]).join(to.withColumnsRenamed({"fp": "b", "lead": "lb"}), ["t", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    pairs = star.unionByName(line).unionByName(ball).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.filter("a <> b").distinct()
+
+
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row (smallest doc_id) of each group of near copies.
+
+    Fingerprints of the distinct words (TABLES short ones) give candidates by ball hashing; a pair links only
+    if the Jaccard similarity of its sets of ``shingle``-word shingles is at least ``similarity``; links are
+    followed. Texts of the same words are copies, null and empty ones among them; a null doc_id comes after
+    all others; repeated rows are copies; an empty table stays empty.
+    """
+    rid = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    marked = materialize(rows.mapInArrow(_marks, "rid long, doc_id long, digest binary, fps array<long>"), "marks")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
+    distinct = materialize(marked.groupBy("digest", "fps").agg(F.min(order).alias("best")).select(F.col("best.rid").alias("rid"), F.col("best.doc_id").alias("doc_id"), "fps"), "distinct")
+    pairs = materialize(_candidates(distinct), "pairs")
+    asked = materialize(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), "asked")
+    sets = materialize(rows.select("rid", "text").join(asked, "rid", "left_semi").mapInArrow(_shingle_sets(shingle), "rid long, shingles array<long>").dropDuplicates(["rid"]), "shingles")
+    x, y = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    links = pairs.join(x, "a").join(y, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+    roots = connected_components(links, "a", "b")
+    grouped = distinct.join(roots, distinct.rid == roots.node, "left").groupBy(F.coalesce("root", "rid").alias("root")).agg(F.min(order).alias("best"))
+    kept = materialize(grouped.select(F.col("best.rid").alias("__rid")), "kept")
+    found = docs.withColumn("__rid", rid).join(kept, "__rid", "left_semi")
+    return found.dropDuplicates(["__rid"]).drop("__rid")

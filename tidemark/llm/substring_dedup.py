@@ -114,7 +114,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def kept_words(text: str, spans: list[dict] | None, window: int) -> tuple[int, int, bytes]:
     """Number of words, number removed, and the kept words joined by one space."""
     tokens = text.encode().split()
-    if not spans:
+    if spans is None or not len(spans):
         return len(tokens), 0, b" ".join(tokens)
     keep, at, removed = [], 0, 0
     for a, b in covered(np.array([s["start"] for s in spans]), np.array([s["n"] for s in spans]), window):
@@ -145,3 +145,27 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = rows.join(spans.withColumnRenamed("doc_id", "own"), (rows.key == spans.key) & F.col("doc_id").eqNullSafe(F.col("own")), "left")
     out = joined.select(F.col("doc_id"), rows.key, "text", "spans").mapInArrow(run, schema)
     return out if keep_text else out.drop("key")
+
+
+def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", window: int = 50, k: int = 12) -> DataFrame:
+    """``docs``, all columns, with repeated words taken out of the texts; rows left without a word go.
+
+    A text that loses nothing stays as it was; of the others the kept words are joined by one space, and
+    ``chars_col``, if there is one, is counted anew.
+    """
+    rows, spans = repeated_spans(docs, id_col=id_col, text_col=text_col, window=window, k=k)
+
+    @F.pandas_udf("string")
+    def rest(texts, found):
+        import pandas as pd
+
+        return pd.Series([kept_words(t, s, window)[2].decode() for t, s in zip(texts, found, strict=True)])
+
+    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    spans = spans.select(F.col("doc_id").alias("__own"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    joined = docs.withColumn("__of", key).join(spans, (F.col("__of") == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__own")), "left")
+    whole = joined.filter("__spans is null").select(*(F.col(c) for c in docs.columns))
+    cut = joined.filter("__spans is not null").withColumn(text_col, rest(F.col(text_col), F.col("__spans"))).filter(F.length(text_col) > 0)
+    if chars_col in docs.columns:
+        cut = cut.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return whole.unionByName(cut.select(*(F.col(c) for c in docs.columns)))
