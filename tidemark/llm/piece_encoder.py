@@ -30,6 +30,20 @@ UNSURE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: A piece that is one pre-token: the merge model can be asked for it directly.
+ONE = re.compile(rf" ?(?:[{LETTERS}]+|[{PUNCT}]+)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Fixed values of byte-level vocabularies: printable bytes stand for themselves, the others for letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 def _cuts_proven(spec: dict) -> bool:
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and norm is None:
@@ -59,16 +73,26 @@ class PieceEncoder(dict):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.cut = _cuts_proven(spec)
+        self.words = self.cut and spec["pre_tokenizer"]["type"] == "Sequence"
+        self.model = self.library.model
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = self.whole(piece)
+        ids = np.asarray(self.piece_ids(piece), dtype="<u4").tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
+    def piece_ids(self, piece: str) -> list[int]:
+        """The library's ids of a piece cut by PIECES; a single pre-token goes to its merge model at once."""
+        if ONE.fullmatch(piece) is None:
+            return self.library.encode(piece, add_special_tokens=False).ids
+        if self.words:
+            piece = piece.lstrip(" ").lower()
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTERS))]
+
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 

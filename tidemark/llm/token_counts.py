@@ -45,7 +45,7 @@ class _Counter(dict):
         if len(self) >= self.most:
             self.clear()
             self.update(dict.fromkeys(self.wholes, 1))
-        n = len(self.encoder.library.encode(piece, add_special_tokens=False).ids)
+        n = len(self.encoder.piece_ids(piece))
         if len(piece) <= 64:
             self[piece] = n
         return n
