@@ -53,13 +53,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def _is(term: str) -> Callable[[Column], Column]:
+    return lambda x: x == term
+
+
 def bm25(docs: DataFrame, id_col: str, columns: Sequence[str], query: str) -> DataFrame:
     """(record_id, score): BM25 with k1 1.2 and b 0.75; documents without a query term are left out."""
     asked = sorted({t for t in "".join(ch if ch.isalnum() else " " for ch in query.lower()).split()})
     if not asked:
         return docs.select(c(id_col).alias("record_id"), F.lit(0.0).alias("score")).limit(0)
     words = docs.select(c(id_col).alias("record_id"), tokens(F.concat_ws(" ", *map(c, columns))).alias("w"))
-    counted = words.select("record_id", F.size("w").alias("dl"), *(F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(asked)))
+    counted = words.select("record_id", F.size("w").alias("dl"), *(F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(asked)))
     totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count(F.when(c(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(asked))))
     joined = counted.crossJoin(F.broadcast(totals))  # totals: one row
     score = F.lit(0.0)

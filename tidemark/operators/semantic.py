@@ -238,6 +238,23 @@ def _fold(model, instruction: str, columns: Sequence[str], level: str, budget: i
     return run
 
 
+def _leaves(fold: Callable, columns: Sequence[str], hidden: Sequence[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(__o=pdf[OCC].map(tuple)).sort_values("__o")
+        items = [r[columns[0]] if len(columns) == 1 else r for r in pdf[list(columns)].to_dict("records")]
+        return pd.DataFrame([{**{h: pdf[h].iloc[0] for h in hidden}, "__b": pdf["__b"].iloc[0], "__x": fold(items)}])
+
+    return run
+
+
+def _tops(fold: Callable, hidden: Sequence[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        items = pdf.sort_values("__b")["__x"].tolist()
+        return pd.DataFrame([{**{h: pdf[h].iloc[0] for h in hidden}, "__x": items[0] if len(items) == 1 else fold(items)}])
+
+    return run
+
+
 def semantic_aggregate(node, ctx: Context, df: DataFrame) -> DataFrame:
     """Semantic specs by a two-level fold (arrival buckets, then groups), others natively, joined on the keys."""
     keys = list(dict.fromkeys([*ctx.keys, *node.params["keys"]]))
@@ -250,18 +267,9 @@ def semantic_aggregate(node, ctx: Context, df: DataFrame) -> DataFrame:
         leaf, top = (_fold(model, s.options[0], s.columns, level, budget) for level in ("leaf", "node"))
         schema = ", ".join(f"{h} string" for h in hidden)
 
-        def leaves(pdf: pd.DataFrame, leaf=leaf, s=s) -> pd.DataFrame:
-            pdf = pdf.assign(__o=pdf[OCC].map(tuple)).sort_values("__o")
-            items = [r[s.columns[0]] if len(s.columns) == 1 else r for r in pdf[list(s.columns)].to_dict("records")]
-            return pd.DataFrame([{**{h: pdf[h].iloc[0] for h in hidden}, "__b": pdf["__b"].iloc[0], "__x": leaf(items)}])
-
-        def tops(pdf: pd.DataFrame, top=top) -> pd.DataFrame:
-            items = pdf.sort_values("__b")["__x"].tolist()
-            return pd.DataFrame([{**{h: pdf[h].iloc[0] for h in hidden}, "__x": items[0] if len(items) == 1 else top(items)}])
-
         part = df.select(*hidden, *map(c, dict.fromkeys(s.columns)), OCC).withColumn("__b", F.floor(F.element_at(OCC, 1) / 4096).cast("long"))
-        low = stored(part.groupBy(*hidden, "__b").applyInPandas(leaves, f"{schema}{', ' * bool(schema)}__b long, __x string"), "fold")
-        high = stored(low.groupBy(*hidden).applyInPandas(tops, f"{schema}{', ' * bool(schema)}__x string"), "fold").withColumnRenamed("__x", s.output)
+        low = stored(part.groupBy(*hidden, "__b").applyInPandas(_leaves(leaf, s.columns, hidden), f"{schema}{', ' * bool(schema)}__b long, __x string"), "fold")
+        high = stored(low.groupBy(*hidden).applyInPandas(_tops(top, hidden), f"{schema}{', ' * bool(schema)}__x string"), "fold").withColumnRenamed("__x", s.output)
         out = out.join(high, hidden) if hidden else out.crossJoin(high)  # one row each
     return out
 
