@@ -62,6 +62,28 @@ def op9_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM d WHERE len(w) >= 50
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS s FROM places
+), firsts AS (
+  SELECT s, min(doc_id) AS f FROM windows GROUP BY s
+), gone AS (
+  SELECT DISTINCT doc_id, i + unnest(range(50)) AS pos FROM windows JOIN firsts USING (s) WHERE f < doc_id
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
@@ -89,4 +111,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_voronoi_topk": OP9_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op9_voronoi_topk": OP9_SQL}
