@@ -2,19 +2,20 @@
 
 The merge model of a SentencePiece file is run here with an agenda: all adjacent pairs that are pieces wait
 in a heap by score, and a popped candidate is skipped when a keyed hash of (seed, variant, chunk, place,
-piece) falls below ``alpha``. No piece holds a space mark after another character, so a text is cut before
-each run of marks without changing any merge; a chunk has ``variants`` segmentations, the text's checksum and
-the chunk's place choose one, and each is computed once per worker. With ``alpha`` 0 the ids are those of the
-library. Every segmentation decodes to the text itself.
+piece) falls below ``alpha``. A text is cut where no piece of the vocabulary reaches across, which changes no
+merge: before runs of space marks and, if the vocabulary proves it, between letters and punctuation. A chunk
+has ``variants`` segmentations; the text's checksum and the place of the block of chunks choose one, and
+each is computed once per worker. With ``alpha`` 0 the ids are those of the library. Every segmentation
+decodes to the text itself.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,33 @@ from pyspark.sql import DataFrame
 from tidemark.llm.shared import doc_rows, text_slices
 
 MARK = "▁"
+LETTERS, PUNCT = "A-Za-zÀ-ÖØ-öø-ÿ", r"\n!-&(-/:-@\[-`{-~'"
+#: Cuts before runs of marks; the second form also between letters and punctuation.
 CHUNKS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+FINER = re.compile(f"{MARK}?[{LETTERS}]+(?=[{PUNCT}{MARK}]|\\Z)|{MARK}?[{PUNCT}]+(?=[{LETTERS}{MARK}]|\\Z)|{MARK}+[^{MARK}]*|[^{MARK}]+")
+MIXED = re.compile(f"[{LETTERS}][{PUNCT}]|[{PUNCT}][{LETTERS}]")
+BLOCK = 32  # chunks that share a variant
 MASK = (1 << 64) - 1
 
 
+class _Known(dict):
+    """Chunk -> ids of one variant as little-endian uint32 bytes; bounded."""
+
+    def __init__(self, encoder: DropoutEncoder, variant: int, most: int):
+        super().__init__()
+        self.encoder, self.variant, self.most = encoder, variant, most
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = np.asarray(self.encoder.chunk(chunk, self.variant), "<u4").tobytes()
+        if len(self) >= self.most:
+            self.clear()
+        if len(chunk) <= 48:
+            self[chunk] = ids
+        return ids
+
+
 class DropoutEncoder:
-    def __init__(self, model: str, seed: int = 0, alpha: float = 0.1, variants: int = 4, most: int = 400_000):
+    def __init__(self, model: str, seed: int = 0, alpha: float = 0.1, variants: int = 2, most: int = 1_200_000):
         from sentencepiece import SentencePieceProcessor
 
         library = SentencePieceProcessor(model_file=model)
@@ -38,7 +60,7 @@ class DropoutEncoder:
         self.ids = {library.id_to_piece(i): i for i in plain}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces with an inner space mark: texts cannot be cut into chunks")
-        self.score = {p: library.get_score(i) for p, i in self.ids.items()}
+        self.rank = {p: r for r, p in enumerate(sorted(self.ids, key=lambda p: -library.get_score(self.ids[p])))}
         self.byte = {int(library.id_to_piece(i)[1:-1], 16): i for i in range(n) if library.is_byte(i)}
         self.unknown = library.unk_id()
         self.bytes_of = [b""] * n
@@ -46,78 +68,61 @@ class DropoutEncoder:
             self.bytes_of[i] = p.replace(MARK, " ").encode()
         for b, i in self.byte.items():
             self.bytes_of[i] = bytes([b])
-        self.seed, self.limit, self.variants, self.most = seed, int(alpha * (1 << 64)), variants, most
-        self.known: dict[tuple[str, int], tuple[int, ...]] = {}
-
-    def chunk(self, text: str, variant: int) -> tuple[int, ...]:
-        """Ids of one chunk: a doubly linked list of symbols and an agenda of candidate merges."""
-        symbols = list(text)
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        base = xxhash.xxh64_intdigest(text.encode(), (self.seed * 1_000_003 + variant) & MASK) if self.limit else 0
-        score, agenda = self.score, []
-
-        def offer(left: int, right: int) -> None:
-            s = score.get(symbols[left] + symbols[right])
-            if s is not None:
-                heapq.heappush(agenda, (-s, left, right, len(symbols[left]) + len(symbols[right])))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
+        self.cuts = CHUNKS if any(MIXED.search(p) for p in self.ids) else FINER
+        self.seed, self.limit = seed, int(alpha * (1 << 64))
+        self.known = [_Known(self, v, most // variants) for v in range(variants if self.limit else 1)]
+
+    def chunk(self, text: str, variant: int) -> list[int]:
+        """Ids of one chunk: a linked list of symbols, and an agenda of candidates packed as (rank, left, right)."""
+        n = len(text)
+        symbols, after, before = list(text), list(range(1, n + 1)), list(range(-1, n - 1))
+        width = n.bit_length()
+        low, rank, limit = (1 << width) - 1, self.rank.get, self.limit
+        agenda = [(r << width | i) << width | i + 1 for i in range(n - 1) if (r := rank(text[i : i + 2])) is not None]
+        heapify(agenda)
+        base = xxhash.xxh64_intdigest(text.encode(), (self.seed * 1_000_003 + variant) & MASK) if limit else 0
         while agenda:
-            s, left, right, size = heapq.heappop(agenda)
-            if not symbols[left] or not symbols[right] or after[left] != right or len(symbols[left]) + len(symbols[right]) != size:
+            x = heappop(agenda)
+            right, left, r = x & low, x >> width & low, x >> 2 * width
+            a = symbols[left]
+            if not a or after[left] != right or rank(joined := a + symbols[right]) != r:
+                continue  # one of its symbols has changed
+            if limit and ((base + left * 0x9E3779B97F4A7C15 ^ r * 0xC2B2AE3D27D4EB4F) * 0xD6E8FEB86659FD93 & MASK) < limit:
                 continue
-            joined = symbols[left] + symbols[right]
-            if self.limit:
-                z = (base + left * 0x9E3779B97F4A7C15 + self.ids[joined] * 0xC2B2AE3D27D4EB4F) & MASK
-                z = ((z ^ (z >> 31)) * 0xD6E8FEB86659FD93) & MASK
-                if z ^ (z >> 32) < self.limit:
-                    continue
             symbols[left], symbols[right] = joined, ""
-            after[left] = after[right]
-            if after[left] < n:
-                before[after[left]] = left
-                offer(left, after[left])
-            if before[left] >= 0:
-                offer(before[left], left)
-        out: list[int] = []
+            after[left] = right = after[right]
+            if right < n:
+                before[right] = left
+                if (r := rank(joined + symbols[right])) is not None:
+                    heappush(agenda, (r << width | left) << width | right)
+            right = before[left]
+            if right >= 0 and (r := rank(symbols[right] + joined)) is not None:
+                heappush(agenda, (r << width | right) << width | left)
+        ids, out = self.ids, []
         for p in symbols:
-            if p in self.ids:
-                out.append(self.ids[p])
+            if p in ids:
+                out.append(ids[p])
             elif p:
                 out += [self.byte.get(b, self.unknown) for b in p.encode()]
-        return tuple(out)
-
-    def _run(self, text: str, key: int, out: list[int]) -> None:
-        known, variants, limit = self.known, self.variants, self.limit
-        for at, m in enumerate(CHUNKS.finditer(text)):
-            c = m.group()
-            v = ((key + at) * 0x9E3779B1 >> 16) % variants if limit else 0
-            ids = known.get((c, v))
-            if ids is None:
-                ids = self.chunk(c, v)
-                if len(known) >= self.most:
-                    known.clear()
-                if len(c) <= 48:
-                    known[c, v] = ids
-            out += ids
-
-    def encode(self, text: str) -> list[int]:
-        """A literal space mark in the text goes out as its bytes, so that it is not read back as a space."""
-        out: list[int] = []
-        key = zlib.crc32(text.encode()) if self.limit else 0
-        for k, part in enumerate(text.split(MARK)):
-            if k:
-                out += [self.byte[b] for b in MARK.encode()]
-            part = part.replace(" ", MARK)
-            if not k and text:
-                part = MARK + part
-            self._run(part, key + k, out)
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
+    def _run(self, text: str, key: int) -> bytes:
+        chunks, known = self.cuts.findall(text), self.known
+        if len(known) == 1:
+            return b"".join(map(known[0].__getitem__, chunks))
+        return b"".join(b"".join(map(known[((key + at) * 0x9E3779B1 >> 16) % len(known)].__getitem__, chunks[at : at + BLOCK])) for at in range(0, len(chunks), BLOCK))
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids. A literal space mark in the text goes out as its bytes, so that it is not read back as a space."""
+        key = zlib.crc32(text.encode()) if self.limit else 0
+        literal = np.asarray([self.byte[b] for b in MARK.encode()], "<u4").tobytes()
+        parts = [p.replace(" ", MARK) for p in text.split(MARK)]
+        if text:
+            parts[0] = MARK + parts[0]
+        return np.frombuffer(literal.join(self._run(p, key + k) for k, p in enumerate(parts)), "<u4")
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
 @lru_cache(maxsize=4)
@@ -125,7 +130,7 @@ def dropout_encoder(model: str, seed: int, alpha: float, variants: int) -> Dropo
     return DropoutEncoder(model, seed, alpha, variants)
 
 
-def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, alpha: float = 0.1, variants: int = 4, keep_ids: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, alpha: float = 0.1, variants: int = 2, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_pieces, ids_crc32 (little-endian uint32 ids), lossless (and ids, if kept), without a shuffle.
 
     Null and empty texts have no pieces; equal texts have equal ids; an empty table gives no rows.
@@ -139,10 +144,10 @@ def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
                 ids = enc.encode(text)
                 size.append(len(text.encode()))
                 n.append(len(ids))
-                crc.append(zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+                crc.append(zlib.crc32(ids))
                 same.append(enc.decode(ids) == text)
                 if keep_ids:
-                    kept.append(ids)
+                    kept.append(ids.astype(np.int32))
             cols = [batch.column(0), *(pa.array(x, pa.int64()) for x in (size, n, crc)), pa.array(same, pa.bool_())]
             names = ["doc_id", "n_bytes", "n_pieces", "ids_crc32", "lossless"]
             if keep_ids:
