@@ -2,7 +2,7 @@
 
 Fitting takes a bounded sample of labelled texts (``MOST`` of each class, by a hash of doc_id). Terms that
 mark toxic texts enter the lexicon: whole words, and stems where many words share the marking prefix. A
-token is looked up by walking the lexicon's trie with the states of a Levenshtein automaton for the token;
+token is looked up by walking the trie of the frequent words with the states of a Levenshtein automaton for the token;
 a branch dies as soon as no state is within reach. Every hit gets a context window: quotation marks,
 reporting words and address to a reader around it separate quoting from abuse. A logistic model over the
 hit counts by kind and context gives the score; labels, language, source and doc_id are no inputs.
@@ -42,22 +42,27 @@ def held_out(doc_id: Column) -> Column:
 class Lexicon:
     words: frozenset[str]
     stems: frozenset[str]
+    strong: frozenset[str] = frozenset()  # words frequent enough to be looked for misspelled
     trie: dict = field(default_factory=dict)
     known: dict[str, int | None] = field(default_factory=dict)
 
     def __post_init__(self):
-        for w in self.words:
+        for w in self.strong:
             node = self.trie
             for ch in w:
                 node = node.setdefault(ch, {})
             node[""] = w
         self.stem_sizes = sorted({len(s) for s in self.stems})
+        # One edit leaves one half of a word as it is: a token that begins with no first half and ends with no second is not near.
+        fuzzy = [w for w in self.strong if len(w) >= FUZZY_FROM]
+        self.heads, self.tails = {w[: len(w) // 2] for w in fuzzy}, {w[len(w) // 2 :] for w in fuzzy}
+        self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
 
     def __getstate__(self):
-        return (self.words, self.stems)
+        return (self.words, self.stems, self.strong)
 
     def __setstate__(self, state):
-        self.words, self.stems, self.trie, self.known = *state, {}, {}
+        self.words, self.stems, self.strong, self.trie, self.known = *state, {}, {}
         self.__post_init__()
 
     def near(self, token: str, most: int = 1) -> str | None:
@@ -85,6 +90,9 @@ class Lexicon:
                     stack.append((child, frozenset(step)))
         return None
 
+    def half_kept(self, token: str) -> bool:
+        return any(token[:n] in self.heads for n in self.head_sizes) or any(token[-n:] in self.tails for n in self.tail_sizes)
+
     def kind(self, token: str) -> int | None:
         if token in self.known:
             return self.known[token]
@@ -93,7 +101,7 @@ class Lexicon:
             found = EXACT
         elif any(token[:n] in self.stems for n in self.stem_sizes if len(token) >= n):
             found = STEM
-        elif len(token) >= FUZZY_FROM - 1 and self.near(token):
+        elif len(token) >= FUZZY_FROM - 1 and self.half_kept(token) and self.near(token):
             found = FUZZY
         if len(self.known) >= 300_000:
             self.known.clear()
@@ -131,7 +139,8 @@ class ToxicityModel:
 
 
 def learn_lexicon(toxic: list[str], clean: list[str]) -> Lexicon:
-    """Words and stems found in at least 3 toxic texts (more in large samples) and 20 times likelier there."""
+    """Words and stems found in at least 3 toxic texts (and 1 in 100), 20 times likelier there; copies count once."""
+    toxic, clean = sorted(set(toxic)), sorted(set(clean))
     words, prefixes, tails = (Counter(), Counter()), (Counter(), Counter()), {}
     for label, texts in enumerate((clean, toxic)):
         for text in texts:
@@ -145,21 +154,21 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> Lexicon:
                         tails.setdefault(t[:n], set()).add(t[n : n + 3])
     n_clean, n_toxic = max(1, len(clean)), max(1, len(toxic))
 
-    def marks(counts: tuple[Counter, Counter], w: str) -> bool:
-        return counts[1][w] >= max(3, n_toxic // 400) and counts[1][w] / n_toxic >= 20 * (counts[0][w] + 0.25) / n_clean
+    def marks(counts: tuple[Counter, Counter], w: str, times: int = 20) -> bool:
+        return counts[1][w] >= max(3, n_toxic / 100) and counts[1][w] / n_toxic >= times * (counts[0][w] + 0.25) / n_clean
 
     stems: set[str] = set()
-    for p in sorted((p for p in prefixes[1] if marks(prefixes, p)), key=len):
-        if len(tails[p]) >= 8 and not any(p[:n] in stems for n in range(4, len(p))):
+    for p in sorted((p for p in prefixes[1] if marks(prefixes, p, 100)), key=len):
+        if len(tails[p]) >= 4 and not any(p[:n] in stems for n in range(4, len(p))):
             longest = p
             while True:  # the longest prefix that keeps nearly all of its texts
-                more = [q for q in (longest + t[0] for t in tails[longest] if t) if prefixes[1][q] >= 0.97 * prefixes[1][longest] and len(tails.get(q, ())) >= 8]
+                more = [q for q in (longest + t[0] for t in tails[longest] if t) if prefixes[1][q] >= 0.97 * prefixes[1][longest] and len(tails.get(q, ())) >= 4]
                 if not more:
                     break
                 longest = max(more, key=lambda q: prefixes[1][q])
             stems.add(longest)
     own = {w for w in words[1] if marks(words, w) and not any(w[:n] in stems for n in range(4, len(w) + 1))}
-    return Lexicon(frozenset(own), frozenset(stems))
+    return Lexicon(frozenset(own), frozenset(stems), frozenset(w for w in own if words[1][w] >= n_toxic / 20))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
