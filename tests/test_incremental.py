@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.functions.model import PackedModel, ReplyError, Request, RuleModel, ask, check_keep, parse_reply
+from tidemark.functions.model import CachedModel, CascadeModel, PackedModel, PairwiseModel, ReplyError, Request, RuleModel, ask, check_keep, parse_reply
 from tidemark.plans.expressions import col
 from tidemark.plans.relation import Log, array_agg, avg, count, min_, sem_agg, sum_
 from tidemark.streaming.engine import Dataflow, Memory, evaluate
@@ -131,3 +131,56 @@ def test_replies():
     assert packed.answer([request, request]) == ["1", "2"]
     with pytest.raises(ReplyError):
         PackedModel(lambda p: '{"results": []}', size=2).answer([request])
+
+
+def test_semantic_aggregates_fold_touched_groups_only(spark, tmp_path):
+    seen = tmp_path / "folded"
+
+    def fold(v):
+        with seen.open("a") as f:
+            f.write("x\n")
+        return "+".join(map(str, v["items"]))
+
+    def same(v):
+        with (tmp_path / "pairs").open("a") as f:
+            f.write("x\n")
+        return v["k:left"][0] == v["k:right"][0]
+
+    model = RuleModel({"fold": fold, "same {k:left} {k:right}": same})
+    views = {"exact": log.group_by(["k"]).sem_agg("fold", "s", ["v"]), "near": log.sem_groupby(["k"], "same {k:left} {k:right}").members().group_by(["__group"]).agg(min_("k", "k"), count_rows())}
+    flow = Dataflow(spark, log, views, model)
+    flow.apply(spark.createDataFrame([("a", 1), ("b", 2)], SCHEMA).coalesce(1))
+    assert (len(seen.read_text().split()), len((tmp_path / "pairs").read_text().split())) == (2, 1)
+    flow.apply(spark.createDataFrame([("a", 3), ("ac", 4)], SCHEMA).coalesce(1))
+    assert len(seen.read_text().split()) == 4  # a and ac, not b
+    assert len((tmp_path / "pairs").read_text().split()) == 3  # two new pairs
+    assert bag(flow.view("exact")) == bag(spark.createDataFrame([("a", "1+3"), ("ac", "4"), ("b", "2")], "k string, s string"))
+    assert sorted((r["k"], len(r["l"])) for r in flow.view("near").collect()) == [("a", 3), ("b", 1)]
+
+
+def count_rows():
+    from tidemark.plans.relation import collect_list
+
+    return collect_list("v", "l")
+
+
+def test_model_wrappers():
+    asked = []
+
+    class Oracle:
+        def answer(self, requests):
+            asked.extend(requests)
+            return ["true" if r.kind != "compare" or r.values["a"]["v"] > r.values["b"]["v"] else "false" for r in requests]
+
+    model = CascadeModel(Oracle(), lambda v: v["p"], 0.2, 0.8)
+    got = model.answer([Request("filter", "x", {"p": p}) for p in (0.1, 0.5, 0.9)])
+    assert got == ["false", "true", "true"] and len(asked) == 1
+    items = [{"id": i, "v": v} for i, v in enumerate((3, 9, 1, 7))]
+    for method in ("naive", "quick", "heap"):
+        rank = Request("rank", "x", {"query": "q", "items": items, "k": 2})
+        assert PairwiseModel(Oracle(), method).answer([rank]) == ["[1, 3]"]
+    asked.clear()
+    cached = CachedModel(Oracle())
+    cached.answer([Request("filter", "x", {"p": 1})] * 3)
+    cached.answer([Request("filter", "x", {"p": 1})])
+    assert len(asked) == 1

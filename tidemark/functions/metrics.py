@@ -181,3 +181,18 @@ def evidence_trace(questions: DataFrame, question: str, evidence: str, stages: d
     for name, df in stages.items():
         out = out.join(df.groupBy(event).agg(F.count(F.lit(1)).alias(name)), event, "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return out
+
+
+def nearest_name(names: DataFrame, name: str, catalog: DataFrame, title: str) -> DataFrame:
+    """Each name with the catalog title of least edit distance, ties to the smaller title. ``catalog`` is a
+    fixed list of titles: it is aggregated into one array and scored without a join of both."""
+    titles = catalog.agg(F.sort_array(F.collect_set(title)).alias("__titles"))
+    best = F.array_min(F.transform("__titles", lambda t: F.struct(F.levenshtein(F.lower(t), F.lower(F.col(name))).alias("d"), t.alias("t"))))
+    return names.crossJoin(F.broadcast(titles)).select(*names.columns, best["t"].alias("nearest"), best["d"].alias("distance"))
+
+
+def question_facts(questions: DataFrame, answers: DataFrame, grades: DataFrame, calls: DataFrame, question: str, phases: list[str]) -> DataFrame:
+    """A row for each question: its answer, grade, and calls and tokens in each phase."""
+    by = calls.groupBy(question).pivot("phase", phases).agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"))
+    out = questions.join(answers, question, "left").join(grades, question, "left").join(by, question, "left")
+    return out.fillna(0, [f"{p}_{x}" for p in phases for x in ("calls", "tokens")])

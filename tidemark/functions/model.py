@@ -169,3 +169,90 @@ class PackedModel:
                         raise ReplyError("a packed reply stayed unusable") from None
             out += [json.dumps(found[i], ensure_ascii=False) for i in range(len(part))]
         return out
+
+
+@dataclass
+class CascadeModel:
+    """A cheap score decides clear cases of yes/no tasks: from ``high`` on yes, up to ``low`` no; the rest is asked."""
+
+    oracle: Model
+    proxy: Callable[[Mapping], float]
+    low: float
+    high: float
+
+    def answer(self, requests: Sequence[Request]) -> list[str]:
+        out: list[str | None] = []
+        for r in requests:
+            score = self.proxy(r.values) if r.kind in ("filter", "join", "same") else None
+            out.append(None if score is None or self.low < score < self.high else json.dumps(score >= self.high))
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, text in zip(rest, self.oracle.answer([requests[i] for i in rest]) if rest else [], strict=True):
+            out[i] = text
+        return out
+
+
+@dataclass
+class PairwiseModel:
+    """Answers ranking tasks by comparisons of two items; ``method`` is ``naive`` (all pairs, most wins),
+    ``quick`` (quickselect, then sort) or ``heap``. Other tasks go to the inner model unchanged."""
+
+    inner: Model
+    method: str = "heap"
+
+    def _better(self, request: Request, a: Mapping, b: Mapping) -> bool:
+        values = {"query": request.values["query"], "a": a, "b": b}
+        return ask(self.inner, [Request("compare", request.instruction, values)], check_keep)[0]
+
+    def answer(self, requests: Sequence[Request]) -> list[str]:
+        out = []
+        for r in requests:
+            if r.kind != "rank":
+                out += self.inner.answer([r])
+                continue
+            items, k = list(r.values["items"]), r.values["k"]
+            order = {"naive": self._naive, "quick": self._quick, "heap": self._heap}[self.method](r, items, k)
+            out.append(json.dumps([x["id"] for x in order]))
+        return out
+
+    def _naive(self, r: Request, items: list, k: int) -> list:
+        wins = {x["id"]: 0 for x in items}
+        for i, a in enumerate(items):
+            for b in items[i + 1 :]:
+                wins[(a if self._better(r, a, b) else b)["id"]] += 1
+        return sorted(items, key=lambda x: -wins[x["id"]])[:k]
+
+    def _quick(self, r: Request, items: list, k: int) -> list:
+        if len(items) <= 1 or k <= 0:
+            return items[: max(k, 0)]
+        pivot, rest = items[0], items[1:]
+        above = [x for x in rest if self._better(r, x, pivot)]
+        if len(above) >= k:
+            return self._quick(r, above, k)
+        below = [x for x in rest if x not in above]
+        return [*self._quick(r, above, len(above)), pivot, *self._quick(r, below, k - len(above) - 1)][:k]
+
+    def _heap(self, r: Request, items: list, k: int) -> list:
+        import heapq
+        from functools import cmp_to_key
+
+        key = cmp_to_key(lambda a, b: -1 if self._better(r, a, b) else 1)
+        return heapq.nsmallest(k, items, key=key)
+
+
+@dataclass
+class CachedModel:
+    """Keeps replies by (kind, instruction, values) within a worker, up to ``most``."""
+
+    inner: Model
+    most: int = 100_000
+    known: dict = field(default_factory=dict)
+
+    def answer(self, requests: Sequence[Request]) -> list[str]:
+        keys = [json.dumps([r.kind, r.instruction, dict(r.values)], sort_keys=True, default=str) for r in requests]
+        new = {k: r for k, r in zip(keys, requests, strict=True) if k not in self.known}
+        if len(self.known) + len(new) > self.most:
+            kept = {k: self.known[k] for k in keys if k in self.known}
+            self.known = kept
+        for k, text in zip(new, self.inner.answer(list(new.values())) if new else [], strict=True):
+            self.known[k] = text
+        return [self.known[k] for k in keys]

@@ -22,10 +22,11 @@ from tidemark.sources.store import stored
 FAN = 64
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
+def _equal(left: DataFrame, names: Sequence[str]) -> Column:
+    """Null-safe equality of ``names`` with ``__k0``, ``__k1``, ... of the other side."""
     out = F.lit(True)
-    for n in names:
-        out = out & left[f"`{n}`"].eqNullSafe(right[f"`{n}`"])
+    for i, n in enumerate(names):
+        out = out & left[f"`{n}`"].eqNullSafe(F.col(f"__k{i}"))
     return out
 
 
@@ -43,7 +44,17 @@ def asked(df: DataFrame, ctx: Context, kind: str, instruction: str, inputs: Sequ
                 requests = [Request(kind, instruction, {k: None if _null(v) else v for k, v in r.items()}) for r in pdf.to_dict("records")]
                 yield pdf.assign(__reply=pd.Series(ask(model, requests, check), index=pdf.index, dtype=object))
 
-    return stored(tasks.mapInPandas(run, schema), "replies")
+    kept = ctx.options.get("__replies")  # of earlier steps, by question: what was asked is not asked again
+    if kept is None:
+        return stored(tasks.mapInPandas(run, schema), "replies")
+    key = f"{kind}|{instruction}|{schema}"
+    if key not in kept:
+        kept[key] = stored(tasks.mapInPandas(run, schema), "replies")
+        return kept[key]
+    known = kept[key]
+    fresh = tasks.join(known.select(*(c(n).alias(f"__k{i}") for i, n in enumerate(inputs))), _equal(tasks, inputs), "left_anti")
+    kept[key] = known.unionByName(stored(fresh.mapInPandas(run, schema), "replies"))
+    return with_reply(tasks, kept[key], inputs)
 
 
 def _null(v) -> bool:

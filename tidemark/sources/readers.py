@@ -40,6 +40,22 @@ def read_haystacks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return events.drop("__evidence"), questions
 
 
+def read_contexts(spark: SparkSession, path: str, most_tokens: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(events, questions) of Parquet rows with a ``context``, ``questions`` and lists of ``answers``; the
+    context is cut into chunks at sentence ends."""
+    from tidemark.functions.metrics import chunks
+
+    raw = spark.read.parquet(path)
+    named = raw.withColumn("sample_id", F.sha2(F.coalesce("context", F.lit("")), 256))
+    parts = chunks(named.select("sample_id", "context").dropDuplicates(["sample_id"]), "context", most_tokens)
+    none = F.lit(None).cast("string")
+    events = parts.select("sample_id", F.concat_ws(":", "sample_id", "chunk_no").alias("event_id"), F.lit("context").alias("speaker"), F.col("chunk").alias("text"), none.alias("session_id"), none.alias("timestamp"), F.lit("{}").alias("metadata"))
+    asked = named.select("sample_id", "answers", F.posexplode("questions").alias("n", "question"))
+    answers = F.get("answers", F.col("n"))
+    questions = asked.select(F.concat_ws(":", "sample_id", "n").alias("question_id"), "sample_id", "question", F.array_join(answers, " | ").alias("gold_answer"), F.array().cast("array<string>").alias("evidence_event_ids"), none.alias("category"), F.lit("{}").alias("metadata"))
+    return events, questions
+
+
 def write_bundle(events: DataFrame, questions: DataFrame, path: str) -> str:
     """JSON lines and a manifest with an order-free fingerprint; returns it."""
     marks = {}

@@ -48,6 +48,8 @@ def kind_of(node: Node) -> str:
         return "semantic_binary_state"
     if node.op == "aggregate" and all(s.kind in ("count", "sum", "avg") for s in node.params["specs"]):
         return "algebraic_state"
+    if node.op == "aggregate" and node.params["keys"] and "__group" not in node.params["keys"] and any(s.kind == "sem_agg" for s in node.params["specs"]):
+        return "semantic_state"
     return {"log": "source", "process_window": "process_window", "over": "over_window"}.get(node.op, "deterministic")
 
 
@@ -94,7 +96,7 @@ class Dataflow:
         self.rows = self.commit = 0
         self.state: dict[str, State] = {}
         self.hidden: dict[str, State] = {}
-        self.touched: dict[str, int] = {}
+        self.replies: dict[str, DataFrame] = {}
 
     @property
     def fingerprint(self) -> str:
@@ -193,6 +195,9 @@ class Dataflow:
             return self._algebraic(node, given[0], old, hidden)
         if kind == "over_window":
             return self._over(node, given[0])
+        if kind == "semantic_state" and old is not None:
+            return self._touched_groups(node, given[0], old, states)
+        ctx.options = {**self.options, "__replies": self.replies}
         full = apply_op(node, ctx, [states[n.fingerprint].frame(self.spark) for n in node.inputs])
         if old is None:
             return Change(full)
@@ -233,6 +238,21 @@ class Dataflow:
         full = state.select(*out, F.coalesce(OCC, F.array(F.lit(0).cast("long"))).alias(OCC)).select(*map(c, node.columns), OCC)
         return Change(full) if old is None else self._compared(full, old)
 
+    def _touched_groups(self, node: Node, change: Change, old: State, states: dict[str, State]) -> Change:
+        """A semantic aggregate by exact keys folds again only the groups that the change touches."""
+        keys = node.params["keys"]
+        touched = change.inserted if change.retracted is None else change.inserted.unionByName(change.retracted)
+        touched = stored(touched.select(*(c(k).alias(f"__k{i}") for i, k in enumerate(keys))).distinct(), "touched")
+
+        def of(df: DataFrame) -> DataFrame:
+            same = F.lit(True)
+            for i, k in enumerate(keys):
+                same = same & df[f"`{k}`"].eqNullSafe(touched[f"__k{i}"])
+            return df.join(touched, same, "left_semi")
+
+        rows = of(states[node.inputs[0].fingerprint].frame(self.spark))
+        return Change(apply_op(node, self._context(), [rows]), of(old.frame(self.spark)))
+
     def _over(self, node: Node, change: Change) -> Change:
         """New rows with the tail of old ones that their frames reach; emitted rows are the new ones."""
         source = node.inputs[0].fingerprint
