@@ -129,6 +129,36 @@ def test_near_copies_leave_one(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3]
 
 
+def survivors(docs, similarity=0.8):
+    """Smallest id of each group, by all pairs."""
+    sets = {i: {tuple(w[a : a + 5]) for a in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in docs)}
+    part = {i: i for i in sets}
+
+    def top(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and top(i) != top(j) and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                x, y = sorted((top(i), top(j)))
+                part[y] = x
+    return sorted(i for i in sets if part[i] == i)
+
+
+def test_near_copies_of_a_large_family(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    docs = []
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(200), 3):
+            copy[at] = f"x{rng.randint(0, 10**6)}"
+        docs.append((i, " ".join(copy)))
+    assert sorted(r["doc_id"] for r in drop_near_copies(frame(spark, docs)).collect()) == survivors(docs)
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {tuple(r) for r in connected_components(chain, "a", "b").collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100)}

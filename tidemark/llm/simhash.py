@@ -9,6 +9,7 @@ would. Copies share a fingerprint and never meet as pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -95,23 +96,43 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-TABLES, TABLE_BITS, NEIGHBOURS = 6, 32, 3
+SKETCH = 512  # bits of a row's sketch
+SAMPLED, HOT_SHINGLES = 10_000, 100_000
+CHAINED = 6  # shingles of a row whose chains are followed before all pairs are
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rid, doc_id, a digest of the word sequence, and one short fingerprint of the distinct words per table."""
-    for batch in text_slices(batches):
-        digests, tables = [], []
-        for t in batch.column("text").to_pylist():
-            tokens = words(t)
-            digests.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
-            own = sorted(set(tokens))
-            halves: list[int] = []
-            for seed in range(TABLES // 2):
-                f = fingerprint(np.array([xxhash.xxh64_intdigest(w, seed) for w in own], np.uint64))
-                halves += [f & 0xFFFFFFFF, f >> 32]
-            tables.append(halves)
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(tables, pa.list_(pa.int64()))], names=["rid", "doc_id", "digest", "fps"])
+def _marks(hot: np.ndarray, size: int, similarity: float):
+    """rid, doc_id, a digest of the word sequence, and of its set of shingles the size, the prefix and a sketch.
+
+    The prefix is taken in one order of all shingles: those not in ``hot`` by hash, then ``hot`` from its end.
+    Two sets of the asked similarity share a shingle of both prefixes. A sketch has the parity of the number
+    of shingles in each of its places, so two differ in no more bits than the sets in shingles.
+    """
+    by_hash = np.argsort(hot)
+    known = hot[by_hash]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            digests, sizes, prefixes, sketches = [], [], [], []
+            for t in batch.column("text").to_pylist():
+                tokens = words(t)
+                digests.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
+                own = np.unique(shingle_hashes(tokens, size))
+                n = len(own)
+                most = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+                if len(known) and n:
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    is_hot = known[at] == own
+                    order = np.concatenate([own[~is_hot], hot[np.sort(by_hash[at[is_hot]])[::-1]]])
+                else:
+                    order = own
+                sizes.append(n)
+                prefixes.append(order[:most].view(np.int64))
+                sketches.append(np.packbits((np.bincount((own % SKETCH).astype(np.int64), minlength=SKETCH) & 1).astype(bool)).tobytes())
+            cols = [batch.column("rid"), batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "digest", "n", "prefix", "sketch"])
+
+    return run
 
 
 def _shingle_sets(size: int):
@@ -123,45 +144,98 @@ def _shingle_sets(size: int):
     return run
 
 
-def _candidates(distinct: DataFrame) -> DataFrame:
-    """(a, b) of row ids that may be near copies: the leader and the nearest few of each table's bucket, and
-    the leaders of buckets whose short fingerprints differ by at most two bits."""
-    cells = materialize(distinct.select("rid", F.posexplode("fps").alias("t", "fp")).withColumn("draw", F.xxhash64("rid", "t")), "cells")
-    leads = materialize(cells.groupBy("t", "fp").agg(F.min(F.struct("draw", "rid")).alias("lead"), F.count(F.lit(1)).alias("n")).select("t", "fp", F.col("lead.rid").alias("lead"), "n"), "leads")
-    # A bucket may hold a third of all rows: its neighbours in order of a draw are found in slices of it.
-    shared = cells.join(leads.filter("n > 1"), ["t", "fp"])
-    star = shared.filter("lead <> rid").select(F.col("lead").alias("a"), F.col("rid").alias("b"))
-    slices = shared.withColumn("slice", F.pmod(F.col("draw"), F.greatest(F.lit(1), F.floor(F.col("n") / 64))))
-    by = Window.partitionBy("t", "fp", "slice").orderBy("draw", "rid")
-    line = slices.select("rid", *(F.lag("rid", i).over(by).alias(f"b{i}") for i in range(1, NEIGHBOURS + 1)))
-    line = line.select(F.col("rid").alias("a"), F.explode(F.array(*(f"b{i}" for i in range(1, NEIGHBOURS + 1)))).alias("b")).filter("b is not null")
-    fps = linked(leads.select("t", "fp"), 2, TABLE_BITS, ("t",))
-    to = leads.select("t", "fp", "lead")
-    ball = fps.join(to.withColumnsRenamed({"fp": "a", "lead": "la"}), ["t", "a"]).join(to.withColumnsRenamed({"fp": "b", "lead": "lb"}), ["t", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    pairs = star.unionByName(line).unionByName(ball).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.filter("a <> b").distinct()
+def _hot_shingles(rows: DataFrame, size: int) -> np.ndarray:
+    """The commonest shingles of a sample, commonest first. They only set the order of shingles, never the result."""
+    every = max(1, rows.count() // SAMPLED)
+    sets = rows.filter(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0).dropDuplicates(["rid"]).select("rid", "text").mapInArrow(_shingle_sets(size), "rid long, shingles array<long>")
+    found = sets.select(F.explode("shingles").alias("s")).groupBy("s").count().filter("count >= 5").orderBy(F.desc("count"), "s").limit(HOT_SHINGLES)
+    return found.select("s").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
+
+
+def _meet(similarity: float, span: int | None):
+    """(a, b) of the rows (token, rid, n, comp, sketch; ordered by token) that meet at a token, lie in different
+    components, and whose sizes and sketches do not rule the similarity out. ``span`` bounds the distance of
+    two rows in a token's list; None takes all pairs."""
+    apart = (1 - similarity) / (1 + similarity)
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        token, rid, n, comp = (t.column(c).to_numpy() for c in ("token", "rid", "n", "comp"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(token), -1)
+        found, at, d = [np.empty((0, 2), np.int64)], np.arange(len(token)), 0
+        while len(at) and (span is None or d < span):
+            d += 1
+            at = at[at < len(token) - d]
+            at = at[token[at] == token[at + d]]
+            x, y = n[at], n[at + d]
+            i = at[(comp[at] != comp[at + d]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6)]
+            for k in range(0, len(i), 1 << 16):
+                j = i[k : k + (1 << 16)]
+                j = j[np.bitwise_count(sketch[j] ^ sketch[j + d]).sum(1, dtype=np.int64) <= apart * (n[j] + n[j + d]) + 1e-6]
+                found.append(np.stack([np.minimum(rid[j], rid[j + d]), np.maximum(rid[j], rid[j + d])], 1))
+            if len(found) > 256:
+                found = [np.unique(np.concatenate(found), axis=0)]
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token = batch.column("token").to_numpy()
+            start = int(np.argmax(token == token[-1]))  # the last token's rows may go on in the next batch
+            if start:
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, start)]))
+                held = [batch.slice(start)]
+            elif held and held[-1].column("token")[-1].as_py() != token[0]:
+                yield pairs(pa.Table.from_batches(held))
+                held = [batch]
+            else:
+                held.append(batch)
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return run
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, with one row (smallest doc_id) of each group of near copies.
 
-    Fingerprints of the distinct words (TABLES short ones) give candidates by ball hashing; a pair links only
-    if the Jaccard similarity of its sets of ``shingle``-word shingles is at least ``similarity``; links are
-    followed. Texts of the same words are copies, null and empty ones among them; a null doc_id comes after
+    A pair links if the Jaccard similarity of its sets of ``shingle``-word shingles is at least ``similarity``;
+    links are followed. The groups are exact: every pair that can link shares a shingle of both prefixes. Chains
+    along a few shingles are verified first, then all pairs that share a prefix shingle and are not yet in one
+    group. Texts of the same words are copies, null and empty ones among them; a null doc_id comes after
     all others; repeated rows are copies; an empty table stays empty.
     """
     rid = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marked = materialize(rows.mapInArrow(_marks, "rid long, doc_id long, digest binary, fps array<long>"), "marks")
+    hot = _hot_shingles(rows, shingle)
+    marked = materialize(rows.mapInArrow(_marks(hot, shingle, similarity), "rid long, doc_id long, digest binary, n int, prefix array<long>, sketch binary"), "marks")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
-    distinct = materialize(marked.groupBy("digest", "fps").agg(F.min(order).alias("best")).select(F.col("best.rid").alias("rid"), F.col("best.doc_id").alias("doc_id"), "fps"), "distinct")
-    pairs = materialize(_candidates(distinct), "pairs")
-    asked = materialize(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), "asked")
-    sets = materialize(rows.select("rid", "text").join(asked, "rid", "left_semi").mapInArrow(_shingle_sets(shingle), "rid long, shingles array<long>").dropDuplicates(["rid"]), "shingles")
-    x, y = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    links = pairs.join(x, "a").join(y, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+    distinct = materialize(marked.groupBy("digest").agg(F.min(order).alias("best")).select(F.col("best.rid").alias("rid"), F.col("best.doc_id").alias("doc_id")), "distinct")
+    own = materialize(marked.join(distinct.select("rid"), "rid", "left_semi").dropDuplicates(["rid"]).select("rid", "n", "prefix", "sketch"), "prefixes")
+    tokens = own.select("rid", "n", F.posexplode("prefix").alias("place", "token"))
+    met = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
+    shared = materialize(tokens.join(met, "token", "left_semi"), "shared")
+
+    def candidates(at: DataFrame, span: int | None) -> DataFrame:
+        full = at.join(own.select("rid", "sketch"), "rid").select("token", "rid", "n", "comp", "sketch", F.xxhash64("rid", "token").alias("draw"))
+        listed = full.repartition("token").sortWithinPartitions("token", "draw").drop("draw")
+        return materialize(listed.mapInArrow(_meet(similarity, span), "a long, b long").distinct(), "pairs")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = materialize(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), "asked")
+        sets = materialize(rows.select("rid", "text").join(asked, "rid", "left_semi").mapInArrow(_shingle_sets(shingle), "rid long, shingles array<long>").dropDuplicates(["rid"]), "shingles")
+        x, y = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        return materialize(pairs.join(x, "a").join(y, "b").filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
+
+    links = verified(candidates(shared.filter(F.col("place") < CHAINED).withColumn("comp", F.col("rid")), 1))
     roots = connected_components(links, "a", "b")
+    placed = materialize(shared.join(roots, shared.rid == roots.node, "left").select("token", "rid", "n", F.coalesce("root", "rid").alias("comp")), "placed")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
+    rest = verified(candidates(placed.join(mixed, "token", "left_semi"), None))
+    roots = connected_components(links.unionByName(rest), "a", "b")
     grouped = distinct.join(roots, distinct.rid == roots.node, "left").groupBy(F.coalesce("root", "rid").alias("root")).agg(F.min(order).alias("best"))
     kept = materialize(grouped.select(F.col("best.rid").alias("__rid")), "kept")
     found = docs.withColumn("__rid", rid).join(kept, "__rid", "left_semi")
