@@ -159,6 +159,21 @@ def test_near_copies_of_a_large_family(spark):
     assert sorted(r["doc_id"] for r in drop_near_copies(frame(spark, docs)).collect()) == survivors(docs)
 
 
+def test_near_copies_by_contiguous_edits(spark):
+    rng = random.Random(6)
+    line = lambda n: [f"w{rng.randint(0, 400)}" for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        base = line(rng.randint(60, 250))
+        n = len(base)
+        k = int(n * rng.uniform(0.08, 0.12))
+        at = rng.randint(0, n)
+        cut = int(n * rng.uniform(0.15, 0.22))
+        texts += [base, base[: n - k] + line(k), base[: n - cut], base[:at] + line(cut) + base[at:], base + line(cut)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert sorted(r["doc_id"] for r in drop_near_copies(frame(spark, docs)).collect()) == survivors(docs)
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {tuple(r) for r in connected_components(chain, "a", "b").collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100)}
