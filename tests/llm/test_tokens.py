@@ -1,6 +1,7 @@
 """Token files, counts, packing and piece dropout against the libraries."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -110,3 +111,27 @@ def test_dropout_is_seeded_and_lossless(spark):
     rows = encode_pieces(frame(spark), model).collect()
     assert len(rows) == len(TEXTS) and all(r["lossless"] for r in rows)
     assert encode_pieces(frame(spark, []), model).count() == 0
+
+
+def test_dropout_varies_by_occurrence():
+    model = tokenizer_path("piece_bpe_32k.model")
+    word, n = "understanding", 2000
+    enc, plain = DropoutEncoder(model, seed=3), DropoutEncoder(model, alpha=0)
+
+    def segmentations(ids):
+        words = []
+        for i in ids.tolist():
+            if enc.bytes_of[i].startswith(b" "):
+                words.append([])
+            words[-1].append(i)
+        return Counter(map(tuple, words))
+
+    chunk = "▁" + word
+    passed = plain.chunk(chunk, iter([1 << 30]))[1]
+    within = segmentations(enc.encode(" ".join([word] * n)))
+    across = segmentations(np.concatenate([enc.encode(f"{word} {i}") for i in range(300)]))
+    assert len(within) > 10 and sum(within.values()) == n
+    assert len([w for w in across if b"".join(enc.bytes_of[i] for i in w) == b" " + word.encode()]) > 10
+    assert within[tuple(plain.encode(word).tolist())] > 0.9**passed * n * 0.8
+    long = "understanding" * 40
+    assert enc.decode(enc.encode(long)) == long and enc.encode(long).tolist() != plain.encode(long).tolist()

@@ -1,21 +1,23 @@
 """Subword encoding with seeded merge-dropout, and its decoder.
 
 The merge model of a SentencePiece file is run here with an agenda: all adjacent pairs that are pieces wait
-in a heap by score, and a popped candidate is skipped when a keyed hash of (seed, variant, chunk, place,
-piece) falls below ``alpha``. A text is cut where no piece of the vocabulary reaches across, which changes no
-merge: before runs of space marks and, if the vocabulary proves it, between letters and punctuation. A chunk
-has ``variants`` segmentations; the text's checksum and the place of the block of chunks choose one, and
-each is computed once per worker. With ``alpha`` 0 the ids are those of the library. Every segmentation
-decodes to the text itself.
+in a heap by score, and each popped candidate is skipped with chance ``alpha``. A keyed hash of (seed, text,
+occurrence of the chunk) draws how many candidates pass before the next skip, so each occurrence is segmented
+on its own. A text is cut where no piece of the vocabulary reaches across, which changes no merge: before runs
+of space marks and, if the vocabulary proves it, between letters and punctuation. A chunk's segmentations are
+cached as a tree by the skips that lead to them; the cache decides no skip. With ``alpha`` 0 the ids are those
+of the library. Every segmentation decodes to the text itself.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,28 +32,26 @@ LETTERS, PUNCT = "A-Za-zÀ-ÖØ-öø-ÿ", r"\n!-&(-/:-@\[-`{-~'"
 CHUNKS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 FINER = re.compile(f"{MARK}?[{LETTERS}]+(?=[{PUNCT}{MARK}]|\\Z)|{MARK}?[{PUNCT}]+(?=[{LETTERS}{MARK}]|\\Z)|{MARK}+[^{MARK}]*|[^{MARK}]+")
 MIXED = re.compile(f"[{LETTERS}][{PUNCT}]|[{PUNCT}][{LETTERS}]")
-BLOCK = 32  # chunks that share a variant
-MASK = (1 << 64) - 1
+KEPT = 48  # letters of the longest chunk that is cached
+NEVER = 1 << 30
+MASK, GOLDEN = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
 
-class _Known(dict):
-    """Chunk -> ids of one variant as little-endian uint32 bytes; bounded."""
+def _mixed(x):
+    """SplitMix64's finish, of an int or in place of an array."""
+    whole = isinstance(x, int)
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> (shift if whole else np.uint64(shift))
+        x = x * times & MASK if whole else np.multiply(x, np.uint64(times), out=x)
+    return x ^ (x >> 31 if whole else x >> np.uint64(31))
 
-    def __init__(self, encoder: DropoutEncoder, variant: int, most: int):
-        super().__init__()
-        self.encoder, self.variant, self.most = encoder, variant, most
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.asarray(self.encoder.chunk(chunk, self.variant), "<u4").tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        if len(chunk) <= 48:
-            self[chunk] = ids
-        return ids
+#: A node is [ids as little-endian uint32 bytes, candidates popped, {next gap: node}]; this one stands for an unknown chunk.
+FRESH: list = [b"", NEVER + 1, {}]
 
 
 class DropoutEncoder:
-    def __init__(self, model: str, seed: int = 0, alpha: float = 0.1, variants: int = 2, most: int = 1_200_000):
+    def __init__(self, model: str, seed: int = 0, alpha: float = 0.1, most: int = 1_200_000):
         from sentencepiece import SentencePieceProcessor
 
         library = SentencePieceProcessor(model_file=model)
@@ -69,26 +69,31 @@ class DropoutEncoder:
         for b, i in self.byte.items():
             self.bytes_of[i] = bytes([b])
         self.cuts = CHUNKS if any(MIXED.search(p) for p in self.ids) else FINER
-        self.seed, self.limit = seed, int(alpha * (1 << 64))
-        self.known = [_Known(self, v, most // variants) for v in range(variants if self.limit else 1)]
-
-    def chunk(self, text: str, variant: int) -> list[int]:
-        """Ids of one chunk: a linked list of symbols, and an agenda of candidates packed as (rank, left, right)."""
+        self.seed, self.alpha = seed & MASK, alpha
+        self.times = 1 / math.log1p(-alpha) if 0 < alpha < 1 else 0.0
+        self.known: dict[str, list] = {}
+        self.most, self.nodes = most, 0
+
+    def chunk(self, text: str, gaps: Iterator[int]) -> tuple[list[int], int]:
+        """Ids of one chunk, and the candidates popped; ``gaps`` has the number that pass before each skip. A
+        linked list of symbols, and an agenda of candidates packed as (rank, left, right)."""
         n = len(text)
         symbols, after, before = list(text), list(range(1, n + 1)), list(range(-1, n - 1))
         width = n.bit_length()
-        low, rank, limit = (1 << width) - 1, self.rank.get, self.limit
+        low, rank, popped, wait = (1 << width) - 1, self.rank.get, 0, next(gaps)
         agenda = [(r << width | i) << width | i + 1 for i in range(n - 1) if (r := rank(text[i : i + 2])) is not None]
         heapify(agenda)
-        base = xxhash.xxh64_intdigest(text.encode(), (self.seed * 1_000_003 + variant) & MASK) if limit else 0
         while agenda:
             x = heappop(agenda)
             right, left, r = x & low, x >> width & low, x >> 2 * width
             a = symbols[left]
             if not a or after[left] != right or rank(joined := a + symbols[right]) != r:
                 continue  # one of its symbols has changed
-            if limit and ((base + left * 0x9E3779B97F4A7C15 ^ r * 0xC2B2AE3D27D4EB4F) * 0xD6E8FEB86659FD93 & MASK) < limit:
+            popped += 1
+            if not wait:
+                wait = next(gaps)
                 continue
+            wait -= 1
             symbols[left], symbols[right] = joined, ""
             after[left] = right = after[right]
             if right < n:
@@ -104,40 +109,85 @@ class DropoutEncoder:
                 out.append(ids[p])
             elif p:
                 out += [self.byte.get(b, self.unknown) for b in p.encode()]
-        return out
-
-    def _run(self, text: str, key: int) -> bytes:
-        chunks, known = self.cuts.findall(text), self.known
-        if len(known) == 1:
-            return b"".join(map(known[0].__getitem__, chunks))
-        return b"".join(b"".join(map(known[((key + at) * 0x9E3779B1 >> 16) % len(known)].__getitem__, chunks[at : at + BLOCK])) for at in range(0, len(chunks), BLOCK))
+        return out, popped
+
+    def _gap(self, draw: int) -> int:
+        """Candidates that pass before a skip: geometric, of a 64-bit draw."""
+        return min(NEVER, int(math.log(((draw >> 11) + 1) * 2.0**-53) * self.times))
+
+    def _gaps(self, draw: int) -> Iterator[int]:
+        while True:
+            draw = _mixed(draw + GOLDEN & MASK)
+            yield self._gap(draw)
+
+    def _made(self, chunk: str, into: dict, name: str | int, skips: tuple[int, ...], gap: int, more: int, draw: int) -> bytes:
+        """Ids of an occurrence with ``skips`` and those by the gaps after them, kept as ``into[name]`` if none came after."""
+        ids, popped = self.chunk(chunk, chain(skips, (gap, more), self._gaps(draw)))
+        packed = np.array(ids, "<u4").tobytes()
+        if len(chunk) <= KEPT and popped <= sum(skips) + len(skips) + gap:
+            if self.nodes >= self.most:
+                self.known.clear()
+                self.nodes = 0
+            into[name] = [packed, popped, {}]
+            self.nodes += 1
+        return packed
+
+    def _skipped(self, chunk: str, node: list, gap: int, more: int, draw: int) -> bytes:
+        """Ids of an occurrence whose skips come after ``gap`` candidates, then ``more``, then what ``draw`` gives."""
+        if node is FRESH:
+            return self._made(chunk, self.known, chunk, (), gap, more, draw)
+        passed, skips = 0, ()
+        while passed + gap < node[1]:
+            above, name = node[2], gap
+            skips, passed = (*skips, gap), passed + gap + 1
+            draw = _mixed(draw + GOLDEN & MASK)
+            gap, more = more, self._gap(draw)
+            node = above.get(name)
+            if node is None:
+                return self._made(chunk, above, name, skips, gap, more, draw)
+        return node[0]
+
+    def _run(self, chunks: list[str], key: int, at: int) -> bytes:
+        """Ids of the chunks, which are the text's from place ``at`` on."""
+        get, skipped = self.known.get, self._skipped
+        if not self.alpha:
+            return b"".join([n[0] if (n := get(c)) else skipped(c, FRESH, NEVER, NEVER, 0) for c in chunks])
+        draws = _mixed(np.arange(at + 1, at + 1 + len(chunks), dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(key))
+        later = _mixed(draws + np.uint64(GOLDEN))
+        first, second = (np.minimum(np.log(((x >> np.uint64(11)) + np.uint64(1)) * 2.0**-53) * self.times, NEVER).astype(np.int64).tolist() for x in (draws, later))
+        return b"".join([n[0] if g >= (n := get(c, FRESH))[1] else skipped(c, n, g, h, d) for c, g, h, d in zip(chunks, first, second, later.tolist(), strict=True)])
 
     def encode(self, text: str) -> np.ndarray:
         """Ids. A literal space mark in the text goes out as its bytes, so that it is not read back as a space."""
-        key = zlib.crc32(text.encode()) if self.limit else 0
+        key = xxhash.xxh64_intdigest(text.encode(), self.seed) if self.alpha else 0
         literal = np.asarray([self.byte[b] for b in MARK.encode()], "<u4").tobytes()
         parts = [p.replace(" ", MARK) for p in text.split(MARK)]
         if text:
             parts[0] = MARK + parts[0]
-        return np.frombuffer(literal.join(self._run(p, key + k) for k, p in enumerate(parts)), "<u4")
+        out, at = [], 0
+        for p in parts:
+            chunks = self.cuts.findall(p)
+            out.append(self._run(chunks, key, at))
+            at += len(chunks)
+        return np.frombuffer(literal.join(out), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
 @lru_cache(maxsize=4)
-def dropout_encoder(model: str, seed: int, alpha: float, variants: int) -> DropoutEncoder:
-    return DropoutEncoder(model, seed, alpha, variants)
+def dropout_encoder(model: str, seed: int, alpha: float) -> DropoutEncoder:
+    return DropoutEncoder(model, seed, alpha)
 
 
-def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, alpha: float = 0.1, variants: int = 2, keep_ids: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, alpha: float = 0.1, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_pieces, ids_crc32 (little-endian uint32 ids), lossless (and ids, if kept), without a shuffle.
 
     Null and empty texts have no pieces; equal texts have equal ids; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = dropout_encoder(model, seed, alpha, variants)
+        enc = dropout_encoder(model, seed, alpha)
         for batch in text_slices(batches):
             size, n, crc, same, kept = [], [], [], [], []
             for text in batch.column(1).to_pylist():
