@@ -71,6 +71,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.fit(docs, given.limit(0)).score("x") == toxicity.fit(docs, given.limit(0)).score("horrid")
 
 
+def test_rare_terms_are_found_misspelled():
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    terms = ["".join(rng.choice(letters) for _ in range(8)) for _ in range(60)]
+    clean = [f"some plain text {i}" for i in range(400)]
+    toxic = [f"{terms[i % 60]} and {terms[(i + 1) % 60]} number {i}" for i in range(600)]  # each in 1 of 30
+    lexicon = toxicity.learn_lexicon(toxic, clean)
+    assert set(terms) <= lexicon.words
+    for t in terms:
+        for token in (t[:3] + t[4:], t[:6] + "é" + t[7:], t + "q", "q" + t):
+            assert lexicon.kind(token) == toxicity.FUZZY and lexicon.near(token)
+    assert lexicon.kind(terms[0][:2] + "éé" + terms[0][4:]) is None
+
+
 def test_exact_top_k(spark, monkeypatch):
     monkeypatch.setattr(voronoi, "BLOCK", 16)
     monkeypatch.setattr(voronoi, "GROUP", 4)

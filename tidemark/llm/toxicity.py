@@ -2,7 +2,7 @@
 
 Fitting takes a bounded sample of labelled texts (``MOST`` of each class, by a hash of doc_id). Terms that
 mark toxic texts enter the lexicon: whole words, and stems where many words share the marking prefix. A
-token is looked up by walking the trie of the frequent words with the states of a Levenshtein automaton for the token;
+token is looked up by walking the trie of the words with the states of a Levenshtein automaton for the token;
 a branch dies as soon as no state is within reach. Every hit gets a context window: quotation marks,
 reporting words and address to a reader around it separate quoting from abuse. A logistic model over the
 hit counts by kind and context gives the score; labels, language, source and doc_id are no inputs.
@@ -42,27 +42,27 @@ def held_out(doc_id: Column) -> Column:
 class Lexicon:
     words: frozenset[str]
     stems: frozenset[str]
-    strong: frozenset[str] = frozenset()  # words frequent enough to be looked for misspelled
     trie: dict = field(default_factory=dict)
     known: dict[str, int | None] = field(default_factory=dict)
 
     def __post_init__(self):
-        for w in self.strong:
+        fuzzy = [w for w in self.words if len(w) >= FUZZY_FROM]
+        for w in fuzzy:
             node = self.trie
             for ch in w:
                 node = node.setdefault(ch, {})
             node[""] = w
         self.stem_sizes = sorted({len(s) for s in self.stems})
-        # One edit leaves one half of a word as it is: a token that begins with no first half and ends with no second is not near.
-        fuzzy = [w for w in self.strong if len(w) >= FUZZY_FROM]
-        self.heads, self.tails = {w[: len(w) // 2] for w in fuzzy}, {w[len(w) // 2 :] for w in fuzzy}
-        self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
+        # One edit leaves one half of a word as it is: a token that begins with no first half and ends with no second
+        # of a word that is at most one letter longer or shorter is not near.
+        self.heads, self.tails = {(len(w), w[: len(w) // 2]) for w in fuzzy}, {(len(w), w[len(w) // 2 :]) for w in fuzzy}
+        self.sizes = {len(w) for w in fuzzy}
 
     def __getstate__(self):
-        return (self.words, self.stems, self.strong)
+        return (self.words, self.stems)
 
     def __setstate__(self, state):
-        self.words, self.stems, self.strong, self.trie, self.known = *state, {}, {}
+        self.words, self.stems, self.trie, self.known = *state, {}, {}
         self.__post_init__()
 
     def near(self, token: str, most: int = 1) -> str | None:
@@ -91,7 +91,8 @@ class Lexicon:
         return None
 
     def half_kept(self, token: str) -> bool:
-        return any(token[:n] in self.heads for n in self.head_sizes) or any(token[-n:] in self.tails for n in self.tail_sizes)
+        heads, tails, length = self.heads, self.tails, len(token)
+        return any((n, token[: n // 2]) in heads or (n, token[n // 2 - n :]) in tails for n in (length - 1, length, length + 1) if n in self.sizes)
 
     def kind(self, token: str) -> int | None:
         if token in self.known:
@@ -168,7 +169,7 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> Lexicon:
                 longest = max(more, key=lambda q: prefixes[1][q])
             stems.add(longest)
     own = {w for w in words[1] if marks(words, w) and not any(w[:n] in stems for n in range(4, len(w) + 1))}
-    return Lexicon(frozenset(own), frozenset(stems), frozenset(w for w in own if words[1][w] >= n_toxic / 20))
+    return Lexicon(frozenset(own), frozenset(stems))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
