@@ -236,6 +236,13 @@ def concat_bag(spark, sf_dir):
     return over(spark, sf_dir, _orders(-1, 400)[k].concat(_orders(200, 600)[k]), "orders")
 
 
+@registered("SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus <> 'F'")
+def concat_overlap(spark, sf_dir):
+    """As concat_bag, over the whole table."""
+    k = ["o_orderstatus", "o_orderpriority"]
+    return over(spark, sf_dir, log("orders").filter(col("o_orderstatus") != "P")[k].concat(log("orders").filter(col("o_orderstatus") != "F")[k]), "orders")
+
+
 @registered("SELECT o_orderstatus, o_orderpriority FROM orders")
 def concat_halves(spark, sf_dir):
     k = ["o_orderstatus", "o_orderpriority"]
@@ -460,6 +467,25 @@ def sem_join_outer_rule(spark, sf_dir):
     return over(spark, sf_dir, _sem_pairs("outer"), "customer", model=RULES)
 
 
+def _sem_pairs_by_balance(how: str) -> Relation:
+    k = ["c_custkey", "c_nationkey", "c_mktsegment"]
+    left, right = log("customer").filter(col("c_acctbal") < 0)[k], log("customer").filter(col("c_acctbal") >= 0)[k]
+    r = left.sem_join(right, "Is {c_mktsegment:left} longer than {c_mktsegment:right}?", how, on=["c_nationkey"])
+    return r.assign(a=col("c_custkey:left"), b=col("c_custkey:right"))[["a", "b"]]
+
+
+@registered("SELECT x.c_custkey AS a, y.c_custkey AS b FROM customer x JOIN customer y ON x.c_nationkey = y.c_nationkey AND length(x.c_mktsegment) > length(y.c_mktsegment) WHERE x.c_acctbal < 0 AND y.c_acctbal >= 0")
+def sem_join_balance(spark, sf_dir):
+    """As sem_join_rule, over the whole table."""
+    return over(spark, sf_dir, _sem_pairs_by_balance("inner"), "customer", model=RULES)
+
+
+@registered("SELECT x.c_custkey AS a, y.c_custkey AS b FROM (FROM customer WHERE c_acctbal < 0) x FULL JOIN (FROM customer WHERE c_acctbal >= 0) y ON x.c_nationkey = y.c_nationkey AND length(x.c_mktsegment) > length(y.c_mktsegment)")
+def sem_join_outer_balance(spark, sf_dir):
+    """As sem_join_outer_rule, over the whole table."""
+    return over(spark, sf_dir, _sem_pairs_by_balance("outer"), "customer", model=RULES)
+
+
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
@@ -572,6 +598,16 @@ def graph_components(spark, sf_dir):
     return components(a.join(b, (F.col("y") == F.col("x") + 7) & (F.col("m") <= F.col("n"))), "x", "y")
 
 
+@registered("""WITH RECURSIVE e AS (SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 7 AND a.c_nationkey <= b.c_nationkey),
+u AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r AS (SELECT x AS node, x AS root FROM u UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.node)
+SELECT node, min(root) AS root FROM r GROUP BY node""")
+def graph_components_whole(spark, sf_dir):
+    """As graph_components, over the whole table."""
+    k = table(spark, sf_dir, "customer")
+    a, b = k.select(F.col("c_custkey").alias("x"), F.col("c_nationkey").alias("m")), k.select(F.col("c_custkey").alias("y"), F.col("c_nationkey").alias("n"))
+    return components(a.join(b, (F.col("y") == F.col("x") + 7) & (F.col("m") <= F.col("n"))), "x", "y")
+
+
 # Policies over conversations, and evaluation
 
 POLICY_RULES = RuleModel({
