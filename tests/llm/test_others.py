@@ -106,6 +106,19 @@ def test_exact_top_k(spark, monkeypatch):
     assert top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_a_repeated_query(spark, monkeypatch):
+    monkeypatch.setattr(voronoi, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    vectors = [(i, (rng.normal(size=4) + 1).round(3).tolist()) for i in range(1, 200) if i % 100]
+    vectors += [(100, [50.0, 0.0, 0.0, 0.0])] * 30  # a cell of the query's own rows
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = [(r["vec_id"], r["score"]) for r in top_k(df).orderBy("rank").collect()]
+    ids = np.array([i for i, _ in vectors])
+    x = np.floor(1024 * np.array([v for _, v in vectors], np.float32).astype(float))
+    s = x @ x[-1]
+    assert got == [(ids[j], int(s[j])) for j in np.lexsort((ids, -s)) if ids[j] != 100][:10]
+
+
 def test_pipeline_keeps_clean_documents(spark):
     from corpus_pipeline import STAGES, near_copies_stage, substring_stage
 

@@ -2,7 +2,8 @@
 
 Pivots come from a bounded sample; every vector goes to its nearest pivot's cell. A cell's summary is its
 row count and radius r (at most MAX_PIVOTS rows). For a query q, a vector x of the cell of p obeys
-|q.x - q.p| <= |q| r, so the summaries give a score that at least k candidates reach, and a cell whose
+|q.x - q.p| <= |q| r, so the summaries give a score that at least k candidates reach (rows with
+the query's own id are counted beforehand, as they are none), and a cell whose
 upper bound is below it is not needed. Queries are grouped by their own cells; a data row is sent only to the
 groups that need its cell, in blocks of bounded size, and each (group, block) pair is solved by one matrix
 product. No pair of rows is ever a shuffled row; a hot cell or a repeated vector only makes more blocks.
@@ -125,7 +126,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embeddi
             slack = slack + 1e-9 * (np.abs(mid) + slack) + 1
             low, high = np.where(count[None] > 0, mid - slack, -np.inf), np.where(count[None] > 0, mid + slack, -np.inf)
             order = np.argsort(-low, axis=1)
-            enough = np.cumsum(count[order], axis=1) >= k + 1
+            enough = np.cumsum(count[order], axis=1) >= k + b.column(3).to_numpy()[:, None]
             reach = np.where(enough.any(1), enough.argmax(1), n_cells - 1)
             floor = np.where(enough.any(1), low[np.arange(len(x)), order[np.arange(len(x)), reach]], -np.inf)
             need = (high >= floor[:, None]) & (count[None] > 0)
@@ -133,7 +134,9 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embeddi
             row, c = np.nonzero(need)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(group[row], pa.int64()), pa.array(c, pa.int32()), pa.array(blocks[c], pa.int32())], names=["vec_id", "v", "grp", "cell", "blocks"])
 
-    queries = celled.filter(F.col("vec_id") % query_every == 0).select("vec_id", "v", "cell").dropDuplicates(["vec_id", "v"])
+    asking = celled.filter(F.col("vec_id") % query_every == 0)
+    same = asking.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own"))
+    queries = asking.select("vec_id", "v", "cell").dropDuplicates(["vec_id", "v"]).join(same, "vec_id").select("vec_id", "v", "cell", "own")
     queries = materialize(queries.mapInArrow(ask, "vec_id long, v array<long>, grp long, cell int, blocks int"), "queries")
     need = materialize(queries.select("cell", "grp").distinct(), "needed")
     asked_of = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("grp", "cell", "block", "vec_id", "v")
