@@ -71,6 +71,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.fit(docs, given.limit(0)).score("x") == toxicity.fit(docs, given.limit(0)).score("horrid")
 
 
+def test_repeated_documents_leave_both_classes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST", 8)
+    rows = [(1, f"you are horrid {i}", "x", 1) for i in range(200)] + [(i, f"plain text {i}", "x", 1) for i in range(2, 60)] + [(i, f"so horrid a thing {i}", "x", 1) for i in range(60, 90)]
+    labels = [(i, 1, int(i == 1 or i >= 60)) for i in range(1, 90)]
+    rows += [r for r in rows if 60 <= r[0]] * 20  # one class fills any limit of rows
+    docs, given = spark.createDataFrame(rows, DOCS).coalesce(1), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert "horrid" in toxicity.fit(docs, given).lexicon.words | toxicity.fit(docs, given).lexicon.stems
+
+
 def test_rare_terms_are_found_misspelled():
     rng = random.Random(8)
     letters = "abcdefghijklmnopqrstuvwxyz"

@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     for label in (0, 1):
         part = known.filter(F.col("toxic") == label).groupBy("doc_id", "toxic").agg(F.lit(1).alias("one")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST).select("doc_id", "toxic")
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = doc_rows(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("toxic", "text").limit(4 * MOST).collect()
+    rows = doc_rows(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text").collect()
     clean, toxic = [r["text"] for r in rows if not r["toxic"]], [r["text"] for r in rows if r["toxic"]]
     empty = Lexicon(frozenset(), frozenset())
     if not clean or not toxic:
