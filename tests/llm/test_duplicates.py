@@ -68,17 +68,17 @@ def brute_bytes(docs, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_substring_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("split", [500, 1])
+def test_substring_dedup(spark, monkeypatch, split):
+    monkeypatch.setattr(repeats, "SPLIT", split)
     docs = corpus()
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup(frame(spark, docs), window=20, k=6).collect()}
     assert got == brute_words(docs, 20)
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_byte_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("split", [500, 1])
+def test_byte_dedup(spark, monkeypatch, split):
+    monkeypatch.setattr(repeats, "SPLIT", split)
     docs = corpus(5)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in byte_dedup(frame(spark, docs), window=60, k=20).collect()}
     assert got == brute_bytes(docs, 60)
@@ -182,11 +182,15 @@ def test_components_of_a_chain(spark):
 def test_structures():
     rng = random.Random(2)
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(12)]
-    stats = RunLengthIndex(texts).matching_statistics()
+    index = RunLengthIndex(texts, 8)
+    stats = index.matching_statistics()
     suffixes = [t[i:] for t in texts for i in range(len(t))]
     for k, s in enumerate(suffixes):
         want = max(next((n for n, (x, y) in enumerate(zip(s, o, strict=False)) if x != y), min(len(s), len(o))) for j, o in enumerate(suffixes) if j != k)
-        assert stats[k] == want
+        assert stats[k] == min(want, index.depth)
+        pattern = s[: rng.randint(1, index.depth)]
+        assert index.count(pattern) == sum(o.startswith(pattern) for o in suffixes)
+    assert index.count(b"abx") == 0 and index.runs <= len(suffixes)
     automaton = SuffixAutomaton()
     for i, t in enumerate(texts):
         automaton.add(list(t), i)

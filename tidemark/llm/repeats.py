@@ -4,15 +4,16 @@ Every window (so many bytes, or words) is routed by the smallest hash of its k-g
 equal anchors. Runs of windows with one anchor form a segment. Anchors seen only once in the corpus are
 dropped at once (most are), the remaining segments are collapsed by content, and all segments of an anchor
 meet in one shard, whose index (a callable of the operator) gives for each window what its other
-occurrences are. Anchors with more than ``HOT`` distinct segments would make a shard unbounded: their
-windows are compared by 128-bit digests in a plain shuffle instead, an exact way for the rest.
-Whatever the skew, a task sees bounded groups; copies only raise a counter before the shuffle.
+occurrences are. An anchor with more than ``SPLIT`` distinct segments would make a shard large: its segments
+are cut again by longer grams, step by step up to whole windows, so that each of its windows goes to the
+shard of a rarer anchor. All windows are judged by the shards' index; a task sees bounded groups whatever the
+skew, and copies only raise a counter before the shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize, text_slices
+from tidemark.llm.shared import discard, materialize, text_slices, trim
 
-HOT = 2000  # distinct segments of an anchor that one shard takes
+SPLIT = 500  # distinct segments of an anchor that one shard takes
 PIECE = 1024  # windows of a segment at most
 SPAN = "sd binary, off int, n int, first long"
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -79,6 +80,14 @@ class Unit:
     symbols: Callable[[bytes], tuple[np.ndarray, object]]
     cut: Callable[[bytes, object, int, int], bytes]
 
+    @property
+    def longer(self) -> Unit | None:
+        """The same windows with anchors of longer grams: half way to the window, at last the window itself."""
+        if self.k >= self.window:
+            return None
+        further = (self.k + self.window + 1) // 2
+        return replace(self, k=further if self.window - further > self.window // 24 else self.window)
+
     def runs(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Anchor, first window and number of windows of each run; and the hash of every k-gram."""
         grams = gram_hashes(symbols, self.k)
@@ -111,28 +120,35 @@ def word_cut(_: bytes, tokens: list[bytes], a: int, b: int) -> bytes:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, text): the key tells rows of one doc_id apart by their text."""
+    """(doc_id, key, text): rows of one doc_id are told apart by ``key``, a digest of their text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    doc_id = F.col(id_col).cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+
+def _twice(anchors: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct anchors, and 1 or 2 as each is once or more often among the grams."""
+    own = np.unique(anchors)
+    at = np.searchsorted(own, grams)
+    hit = own[np.minimum(at, len(own) - 1)] == grams
+    return own, np.minimum(2, np.bincount(at[hit], minlength=len(own)))
 
 
 def _anchors(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            found, keys = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found, times, place = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 anchors, _, _, grams = unit.runs(unit.symbols(text.encode())[0])
                 if len(anchors):
-                    own = np.unique(anchors)
-                    # An anchor that occurs twice in one document goes out twice.
-                    at = np.searchsorted(own, grams)
-                    hit = own[np.minimum(at, len(own) - 1)] == grams
-                    own = np.repeat(own, np.minimum(2, np.bincount(at[hit], minlength=len(own))))
+                    own, n = _twice(anchors, grams)
                     found.append(own)
-                    keys.append(np.full(len(own), key, np.int64))
+                    times.append(n)
+                    place.append(np.full(len(own), i))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys))], names=["anchor", "key"])
+                at = pa.array(np.concatenate(place))
+                cols = [pa.array(np.concatenate(found).view(np.int64)), batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(np.concatenate(times).astype(np.int8))]
+                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "doc_id", "key", "times"])
+        trim()
 
     return run
 
@@ -163,6 +179,38 @@ def _segments(unit: Unit):
                     cols, size = [[] for _ in names], 0
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+        trim()
+
+    return run
+
+
+def _finer(unit: Unit):
+    """Distinct segments cut by the anchors of a longer gram: the same rows, with the segment they come from and
+    the place in it."""
+    names = ["anchor", "sd", "seg", "cnt", "first", "up", "at", "times"]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 1 << 20):
+            cols: list[list] = [[] for _ in names]
+            size = 0
+            for sd, raw, cnt, first in zip(*(batch.column(c).to_pylist() for c in ("sd", "seg", "cnt", "first")), strict=True):
+                symbols, how = unit.symbols(raw)
+                anchors, starts, counts, grams = unit.runs(symbols)
+                own, times = _twice(anchors, grams)
+                often = dict(zip(own.tolist(), times.tolist(), strict=True))
+                for anchor, a, n in zip(anchors.tolist(), starts.tolist(), counts.tolist(), strict=True):
+                    seg = unit.cut(raw, how, a, a + n + unit.window - 1)
+                    signed = anchor - (1 << 64) if anchor >> 63 else anchor
+                    for c, x in zip(cols, (signed, xxhash.xxh3_128_digest(seg), seg, cnt, first, sd, a, cnt * often[anchor]), strict=True):
+                        c.append(x)
+                    size += len(seg)
+                if size > 2 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+                    cols, size = [[] for _ in names], 0
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+        trim()
 
     return run
 
@@ -187,25 +235,29 @@ def _shards(index: Callable, unit: Unit, most_bytes: int):
                 last = row[0]
         if rows:
             yield from solved(rows)
+        trim()
 
     return run
 
 
-def _window_digests(unit: Unit):
-    names = ["wd", "sd", "off", "cnt", "first"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 1 << 20):
-            cols: list[list] = [[] for _ in names]
-            for sd, seg, cnt, first in zip(*(batch.column(c).to_pylist() for c in ("sd", "seg", "cnt", "first")), strict=True):
-                symbols, how = unit.symbols(seg)
-                for off in range(len(symbols) - unit.window + 1):
-                    for c, x in zip(cols, (xxhash.xxh3_128_digest(unit.cut(seg, how, off, off + unit.window)), sd, off, cnt, first), strict=True):
-                        c.append(x)
-            kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
-
-    return run
+def _spans(distinct: DataFrame, unit: Unit, index: Callable, shard_bytes: int) -> DataFrame:
+    """Runs of repeated windows of the distinct segments (anchor, sd, seg, cnt, first), as ``SPAN``, stored."""
+    longer, cold, spans = unit.longer, distinct, None
+    if longer is not None:
+        hot = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT).select("anchor"), "hot")
+        if hot.take(1):
+            cold = distinct.join(hot, "anchor", "left_anti")
+            schema = "anchor long, sd binary, seg binary, cnt long, first long, up binary, at int, times long"
+            cut = materialize(distinct.join(hot, "anchor", "left_semi").select("sd", "seg", "cnt", "first").mapInArrow(_finer(longer), schema), "finer")
+            often = cut.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1").select("anchor")
+            kept = materialize(cut.join(often, "anchor", "left_semi"), "finer")
+            discard(cut)
+            parts = materialize(kept.groupBy("anchor", "sd", "seg").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first")), "distinct")
+            found = _spans(parts, longer, index, shard_bytes)
+            lifted = kept.select("sd", "up", "at").join(found, "sd")
+            spans = lifted.select(F.col("up").alias("sd"), (F.col("at") + F.col("off")).alias("off"), "n", "first")
+    solved = cold.select("anchor", "sd", "seg", "cnt", "first").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(index, unit, shard_bytes), SPAN)
+    return materialize(solved if spans is None else solved.unionByName(spans), "spans")
 
 
 def repeated_windows(rows: DataFrame, unit: Unit, index: Callable, *, across: bool, shard_bytes: int = 1 << 20) -> DataFrame:
@@ -214,26 +266,19 @@ def repeated_windows(rows: DataFrame, unit: Unit, index: Callable, *, across: bo
     ``rows`` come from ``keyed``. ``across``: only windows that another row has too; else a second place in
     the same row counts. ``index(unit, segments)`` takes (anchor, sd, seg, cnt, first) rows of whole anchors.
     """
-    emitted = materialize(rows.select("key", "text").mapInArrow(_anchors(unit), "anchor long, key long"), "anchors")
+    emitted = materialize(rows.select("doc_id", "key", "text").mapInArrow(_anchors(unit), "anchor long, doc_id long, key long, times byte"), "anchors")
     if across:
-        seen = emitted.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b")
+        seen = emitted.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("doc_id").alias("c"), F.max("doc_id").alias("d")).filter("a <> b or c <> d")
     else:
-        seen = emitted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        seen = emitted.groupBy("anchor").agg(F.sum("times").alias("n")).filter("n > 1")
     repeated = materialize(seen.select("anchor"), "repeated")
-    wanted = emitted.join(repeated, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("wanted"))
-    found = rows.join(wanted, "key").select("doc_id", "key", "text", "wanted")
+    wanted = emitted.join(repeated, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("wanted"))
+    found = rows.join(wanted.withColumnRenamed("doc_id", "own"), (rows.key == wanted.key) & F.col("doc_id").eqNullSafe(F.col("own"))).select("doc_id", rows.key, "text", "wanted")
     segments = materialize(found.mapInArrow(_segments(unit), "anchor long, sd binary, seg binary, doc_id long, key long, start long, n int"), "segments")
     distinct = materialize(segments.groupBy("anchor", "sd", "seg").agg(F.count(F.lit(1)).alias("cnt"), F.min("doc_id").alias("first")), "distinct")
-    hot = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("anchor"), "hot")
-    any_hot = bool(hot.take(1))
-    cold = distinct.join(hot, "anchor", "left_anti") if any_hot else distinct
-    spans = cold.select("anchor", "sd", "seg", "cnt", "first").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(index, unit, shard_bytes), SPAN)
-    if any_hot:
-        windows = distinct.join(hot, "anchor").select("sd", "seg", "cnt", "first").mapInArrow(_window_digests(unit), "wd binary, sd binary, off int, cnt long, first long")
-        windows = materialize(windows, "windows")
-        shared = materialize(windows.groupBy("wd").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first")).filter("cnt > 1"), "shared")
-        spans = spans.unionByName(windows.select("wd", "sd", "off").join(shared, "wd").select("sd", "off", F.lit(1).alias("n"), "first"))
-    spans = materialize(spans, "spans")
+    discard(emitted, repeated)
+    spans = _spans(distinct, unit, index, shard_bytes)
+    discard(distinct)
     placed = segments.select("sd", "doc_id", "key", "start").join(spans, "sd")
     return placed.select("doc_id", "key", (F.col("start") + F.col("off")).alias("start"), "n", "first")
 

@@ -1,17 +1,19 @@
 """Suffix-array dedup over bytes with a run-length index.
 
-For a shard's segments the Burrows-Wheeler transform is built from their suffix array and kept by its runs;
-suffix-array samples are taken at run heads and run ends together with the match length to the suffix before
-or after. Between samples a suffix's match with its neighbour is one shorter per byte, so streaming the text
+For a shard's segments the Burrows-Wheeler transform is built from their suffixes, sorted by as many bytes as a
+window needs, and kept by its runs: the byte and first row of each, with suffix-array samples at both sides of
+every run border and the match length across it. Positions whose whole sorted context occurs again are kept as
+saturated. Inside a run a suffix's match with its neighbour is one shorter per byte, so streaming the text
 from sample to sample gives every position's matching statistic, the longest match with any other place in
-the shard. The samples are as few as the runs, and repetitive text has few. Positions whose statistic reaches
-the window's length are marked.
+the shard, up to the sorted depth. The samples are as few as the runs, and repetitive text has few. Positions
+whose statistic reaches the window's length are marked. Patterns are counted by backward search over the runs.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,91 +21,137 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.repeats import Unit, byte_cut, byte_symbols, covered, keyed, repeated_windows
-from tidemark.llm.shared import text_slices
+from tidemark.llm.shared import text_slices, trim
+
+FIRST = 7  # bytes of a position that the first sort takes
 
 
 class RunLengthIndex:
-    """Of a list of byte strings; no match crosses a string's end."""
+    """Of a list of byte strings; no match crosses a string's end. Matches are told up to ``depth`` bytes, which
+    is the least FIRST * 2**n from ``least`` on."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], least: int = 200):
         sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
         self.text = np.frombuffer(b"".join(texts), np.uint8)
         self.n = n = len(self.text)
         self.owner = np.repeat(np.arange(len(texts)), sizes)
         self.left = self.starts[self.owner + 1] - np.arange(n)  # bytes from each position to its string's end
-        order = self._suffix_order()
-        # Run heads: positions in suffix order where the byte before differs from the one above; a string's first byte has a mark of its own.
+        self.depth = FIRST
+        while self.depth < least:
+            self.depth *= 2
+        order, fresh, levels = self._sorted()
+        # Runs: a string's first byte has a mark of its own before it.
         before = np.where(order == self.starts[self.owner[order]], 256 + self.owner[order], self.text[order - 1].astype(np.int64))
-        heads = np.flatnonzero(before[1:] != before[:-1]) + 1
-        self.runs = len(heads) + 1
-        # Samples: (position, length of its match with the neighbour in suffix order).
-        match = self._common(order[heads], order[heads - 1])
-        self.above = order[heads], match
-        self.below = order[heads - 1], match
-
-    def _packed(self, width: int) -> np.ndarray:
-        """The next ``width`` (at most 7) bytes of each position, each plus one, zero after the string's end."""
+        borders = np.flatnonzero(before[1:] != before[:-1]) + 1
+        self.run_row = np.concatenate([[0], borders]) if n else borders
+        self.run_byte = before[self.run_row]
+        self.below, self.above = order[borders], order[borders - 1]
+        self.match = self._common(self.below, self.above, fresh[borders], levels)
+        self.saturated = order[~fresh | ~np.append(fresh[1:], True)]
+
+    @property
+    def runs(self) -> int:
+        return len(self.run_row)
+
+    def _packed(self) -> np.ndarray:
+        """The next FIRST bytes of each position, each plus one, zero after the string's end."""
         out = np.zeros(self.n, np.uint64)
-        for i in range(width):
-            b = np.zeros(self.n, np.uint64)
-            b[: self.n - i or None] = self.text[i:] if i else self.text
-            out = out * np.uint64(257) + np.where(self.left > i, b + np.uint64(1), np.uint64(0))
+        for i in range(FIRST):
+            out *= np.uint64(257)
+            if i >= self.n:
+                continue
+            b = self.text[i:].astype(np.uint64) + np.uint64(1)
+            b[self.left[: self.n - i] <= i] = 0
+            out[: self.n - i] += b
         return out
 
-    def _suffix_order(self) -> np.ndarray:
-        """Suffix array by doubling; only positions that still tie are sorted again, ties at a string's end
-        go by string. Keeps the ranks of each level for match lengths."""
-        n, self.levels = self.n, []
-        key = self._packed(7)
+    def _sorted(self) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+        """Positions by their first ``depth`` bytes; where a row differs from the one above; the ranks of each
+        width below that. Widths double, and only rows that still tie are sorted again."""
+        n, levels, width = self.n, [], FIRST
+        key = self._packed()
         order = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-        width = 7
-        while True:
-            group = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))  # rank: where its group begins
-            rank = np.empty(n, np.int64)
+        key = key[order]
+        fresh = np.ones(n, bool)
+        fresh[1:] = key[1:] != key[:-1]
+        bits, rows = max(1, (n + len(self.starts)).bit_length()), np.arange(n)
+        while width < self.depth:
+            group = np.maximum.accumulate(np.where(fresh, rows, 0))  # rank: where its group begins
+            rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
             rank[order] = group
-            self.levels.append((width, rank))
-            tied = np.flatnonzero(~fresh | ~np.concatenate([fresh[1:], [True]]))
-            if not len(tied):
-                return order
-            at = order[tied]
-            further = np.where(self.left[at] > width, rank[np.minimum(at + width, n - 1)] + len(self.starts), self.owner[at])
-            by = np.lexsort((further, group[tied]))
-            order[tied] = at[by]
-            key2, g = further[by], group[tied]
-            fresh[tied] = np.concatenate([[True], (g[1:] != g[:-1]) | (key2[1:] != key2[:-1])])
+            levels.append((width, rank))
+            tied = np.flatnonzero(~fresh | ~np.append(fresh[1:], True))
+            if len(tied):
+                at, g = order[tied], group[tied]
+                further = np.where(self.left[at] > width, rank[np.minimum(at + width, n - 1)] + len(self.starts), self.owner[at])
+                if 3 * bits <= 64:  # group, further and place in one number
+                    packed = np.sort(((g << bits | further) << bits).view(np.uint64) | np.arange(len(tied), dtype=np.uint64))
+                    by = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+                else:
+                    by = np.lexsort((further, g))
+                order[tied] = at[by]
+                further, g = further[by], g[by]
+                fresh[tied[1:]] = (g[1:] != g[:-1]) | (further[1:] != further[:-1])
             width *= 2
-
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common beginning of the suffixes at a and b, both within their strings."""
-        a, b, most, length = a.copy(), b.copy(), np.minimum(self.left[a], self.left[b]), np.zeros(len(a), np.int64)
-        last = self.n - 1
-        for width, rank in reversed(self.levels):
-            while True:
-                same = (length + width <= most) & (rank[np.minimum(a + length, last)] == rank[np.minimum(b + length, last)])
-                if not same.any():
-                    break
-                length[same] += width
-        for _ in range(7):
+        return order, fresh, levels
+
+    def _common(self, a: np.ndarray, b: np.ndarray, differ: np.ndarray, levels: list) -> np.ndarray:
+        """Length of the common beginning of the suffixes at a and b within their strings; ``depth`` if they tie.
+        One shorter than ``depth`` is a sum of each smaller width at most once, and some bytes."""
+        most, length, last = np.minimum(self.left[a], self.left[b]), np.zeros(len(a), np.int64), self.n - 1
+        for width, rank in reversed(levels):
+            same = (length + width <= most) & (rank[np.minimum(a + length, last)] == rank[np.minimum(b + length, last)])
+            length[same] += width
+        for _ in range(FIRST):
             same = (length < most) & (self.text[np.minimum(a + length, last)] == self.text[np.minimum(b + length, last)])
             length[same] += 1
-        return length
+        return np.minimum(np.where(differ, length, self.depth), most)
 
     def matching_statistics(self) -> np.ndarray:
-        """For each position the longest match with another, streamed from the samples."""
-        out = np.zeros(self.n, np.int64)
-        place = np.arange(self.n)
-        for at, match in (self.above, self.below):
-            reach = np.zeros(self.n, np.int64)
-            np.maximum.at(reach, at, at + match)
-            np.maximum(out, np.maximum.accumulate(reach) - place, out=out)
-        return np.minimum(out, self.left)
+        """For each position the longest match with another, up to ``depth``, streamed from the samples."""
+        reach = np.zeros(self.n, np.int64)
+        reach[self.below] = self.below + self.match
+        reach[self.above] = np.maximum(reach[self.above], self.above + self.match)
+        reach[self.saturated] = self.saturated + np.minimum(self.left[self.saturated], self.depth)
+        return np.minimum(np.maximum.accumulate(reach) - np.arange(self.n), self.depth)
+
+    @cached_property
+    def _search(self) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Runs of each byte with the rows of that byte before each; first rows by byte; strings that end in it."""
+        sizes = np.diff(np.append(self.run_row, self.n))
+        runs = {}
+        for c in range(256):
+            own = np.flatnonzero(self.run_byte == c)
+            runs[c] = own, np.concatenate([[0], np.cumsum(sizes[own])])
+        first = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=256))])
+        filled = self.starts[1:][self.starts[1:] > self.starts[:-1]]
+        return runs, first, np.bincount(self.text[filled - 1], minlength=256)
+
+    def count(self, pattern: bytes) -> int:
+        """Occurrences of a pattern of 1 to ``depth`` bytes, by backward search over the runs."""
+        if not 1 <= len(pattern) <= self.depth:
+            raise ValueError("a pattern has 1 to depth bytes")
+        runs, first, ends = self._search
+        low, high = int(first[pattern[-1]]), int(first[pattern[-1] + 1])
+        for c in reversed(pattern[:-1]):
+            own, sums = runs[c]
+
+            def rank(row: int) -> int:
+                at = int(np.searchsorted(self.run_row, row, "right")) - 1
+                k = int(np.searchsorted(own, at))
+                inside = row - int(self.run_row[at]) if k < len(own) and own[k] == at else 0
+                return int(sums[k]) + inside
+
+            low, high = (int(first[c] + ends[c]) + rank(row) if row else int(first[c] + ends[c]) for row in (low, high))
+            if low >= high:
+                return 0
+        return high - low
 
 
 def shard_repeats(unit: Unit, rows: list[tuple]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows that occur twice or more, for each segment of a shard."""
-    index = RunLengthIndex([r[2] for r in rows])
+    index = RunLengthIndex([r[2] for r in rows], unit.window)
     often = np.array([r[3] > 1 for r in rows])
     marked = (index.left >= unit.window) & ((index.matching_statistics() >= unit.window) | often[index.owner])
     owner = np.where(marked, index.owner, -1)
@@ -143,6 +191,7 @@ def byte_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             if keep_bytes:
                 cols, names = [*cols, pa.array([m[4] for m in made], pa.binary())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        trim()
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
     joined = rows.join(spans, (rows.key == spans.key) & F.col("doc_id").eqNullSafe(F.col("own")), "left")

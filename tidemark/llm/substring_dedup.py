@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.repeats import Unit, covered, keyed, repeated_windows, word_cut, word_symbols
-from tidemark.llm.shared import text_slices
+from tidemark.llm.shared import text_slices, trim
 
 
 class SuffixAutomaton:
@@ -107,7 +107,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """Rows (doc_id, key, text) of the documents, and (doc_id, key, spans) of those that lose words."""
     rows = keyed(docs, id_col, text_col)
     unit = Unit(window, min(k, window), word_symbols, word_cut)
-    found = repeated_windows(rows, unit, shard_firsts, across=True).filter(F.col("first") < F.col("doc_id"))
+    found = repeated_windows(rows, unit, shard_firsts, across=True, shard_bytes=1 << 18).filter(F.col("first") < F.col("doc_id"))
     return rows, found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
@@ -140,6 +140,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             if keep_text:
                 cols, names = [*cols, pa.array([g[2].decode() for g in got], pa.string())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        trim()
 
     schema = "doc_id long, key long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
     joined = rows.join(spans.withColumnRenamed("doc_id", "own"), (rows.key == spans.key) & F.col("doc_id").eqNullSafe(F.col("own")), "left")
@@ -161,7 +162,7 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
         return pd.Series([kept_words(t, s, window)[2].decode() for t, s in zip(texts, found, strict=True)])
 
-    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     spans = spans.select(F.col("doc_id").alias("__own"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
     joined = docs.withColumn("__of", key).join(spans, (F.col("__of") == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__own")), "left")
     whole = joined.filter("__spans is null").select(*(F.col(c) for c in docs.columns))
