@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.functions.model import CachedModel, CascadeModel, PackedModel, PairwiseModel, ReplyError, Request, RuleModel, ask, check_keep, parse_reply
+from tidemark.functions.model import CachedModel, CascadeModel, PackedModel, PairwiseModel, ReplyError, Request, RuleModel, TextModel, ask, parse_reply, reads_keep, reads_label, reads_record
 from tidemark.plans.expressions import col
 from tidemark.plans.relation import Log, array_agg, avg, count, min_, sem_agg, sum_
 from tidemark.streaming.engine import Dataflow, Memory, evaluate
@@ -126,7 +126,7 @@ def test_replies():
             return [next(replies) for _ in requests]
 
     request = Request("filter", "x", {})
-    assert ask(Flaky(), [request], check_keep) == [True]
+    assert ask(Flaky(), [request], reads_keep(None)) == [True]
     packed = PackedModel(lambda p: '{"results": [{"id": 0, "result": 1}, {"id": 1, "result": 2}]}', size=2)
     assert packed.answer([request, request]) == ["1", "2"]
     with pytest.raises(ReplyError):

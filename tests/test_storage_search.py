@@ -40,7 +40,7 @@ def test_graph_sink(spark, tmp_path):
 
 def test_ids_and_types(spark):
     got = spark.range(1).select(physical_id("ns", "node", [F.lit("a"), F.lit(1)])).first()[0]
-    want = uuid.uuid5(uuid.uuid5(uuid.NAMESPACE_URL, "ns"), '["node","a","1"]')
+    want = uuid.uuid5(uuid.uuid5(uuid.NAMESPACE_URL, "ns"), '["node","a",1]')
     assert got == str(want)
     assert sql_type("ARRAY<ROW<a STRING, b BIGINT>>").simpleString() == "array<struct<a:string,b:bigint>>"
     with pytest.raises(ValueError):

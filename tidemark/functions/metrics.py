@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import math
+import re
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.stemming import stem
 from tidemark.operators.components import components
+from tidemark.sources.store import stored
 
 #: Words that answer normalisation drops.
 ARTICLES = ("a", "an", "the", "and")
@@ -42,9 +47,83 @@ def token_f1(answer: Column, gold: Column, stem: Callable[[Column], Column] = la
     return F.when(same > 0, 2.0 * same / (F.size(a) + F.size(b))).otherwise(F.lit(0.0))
 
 
-def plain_stem(token: Column) -> Column:
-    """A light suffix stemmer: plural and common verbal endings."""
-    return F.regexp_replace(F.regexp_replace(token, r"(sses)$", "ss"), r"(?<=\w{3})(ing|edly|ed|es|s)$", "")
+def stemmed(tokens: Column) -> Column:
+    """Porter stems of an array of tokens."""
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda xs: [stem(x) for x in xs])
+
+    return run(tokens)
+
+
+def porter_f1(answer: Column, gold: Column) -> Column:
+    """As ``token_f1`` over stems; two empty sides agree."""
+    a, b = stemmed(normal_tokens(answer)), stemmed(normal_tokens(gold))
+    same = common_tokens(a, b)
+    none = (F.size(a) == 0) | (F.size(b) == 0)
+    both = ((F.size(a) == 0) & (F.size(b) == 0)).cast("double")
+    return F.when(none, both).when(same > 0, 2.0 * same / (F.size(a) + F.size(b))).otherwise(F.lit(0.0))
+
+
+def multi_answer_f1(answer: Column, gold: Column) -> Column:
+    """Answers and golds are lists between commas: the mean over the golds of the best answer's stem F1."""
+
+    @F.pandas_udf("double")
+    def run(answers: pd.Series, golds: pd.Series) -> pd.Series:
+        return pd.Series([_best_mean(a or [], g or []) for a, g in zip(answers, golds, strict=True)], dtype=float)
+
+    return run(_token_lists(answer), _token_lists(gold))
+
+
+def _token_lists(text: Column) -> Column:
+    return F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda part: normal_tokens(F.trim(part)))
+
+
+def _f1(a: list[str], b: list[str]) -> float:
+    if not a or not b:
+        return float(a == b)
+    same = (Counter(a) & Counter(b)).total()
+    return 2 * same / (len(a) + len(b))
+
+
+def _best_mean(answers: list, golds: list) -> float:
+    said = [[stem(t) for t in a] for a in answers]
+    return sum(max((_f1(a, [stem(t) for t in g]) for a in said), default=0.0) for g in golds) / max(1, len(golds))
+
+
+#: What an answer to an unanswerable question says.
+UNANSWERABLE = ("no information available", "not mentioned")
+
+
+def category_score(answer: Column, gold: Column, category: Column) -> Column:
+    """1: lists of answers; 2, 4: stem F1; 3: that of the gold's part before a semicolon; 5: says that it is not known."""
+    said = F.lower(F.coalesce(answer, F.lit("")))
+    unknown = (F.contains(said, F.lit(UNANSWERABLE[0])) | F.contains(said, F.lit(UNANSWERABLE[1]))).cast("double")
+    first = F.when(category == 3, F.trim(F.element_at(F.split(gold, ";"), 1))).otherwise(gold)
+    known = F.when(category.isin(2, 3, 4), porter_f1(answer, first)).when(category == 1, multi_answer_f1(answer, gold)).when(category == 5, unknown)
+    return F.coalesce(known, F.raise_error(F.lit("unknown category")).cast("double"))
+
+
+def plain_answer(text: Column) -> Column:
+    """Lower case without ASCII punctuation, the articles a, an, the, and repeated spaces."""
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[!-/:-@\[-`{-~]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"\s+", " "))
+
+
+def exact_match(answer: Column, golds: Column) -> Column:
+    """Whether the answer is one of an array of accepted ones, normalised."""
+    return F.exists(golds, lambda g: plain_answer(g) == plain_answer(answer)).cast("int")
+
+
+def substring_match(answer: Column, golds: Column) -> Column:
+    return F.exists(golds, lambda g: F.contains(plain_answer(answer), plain_answer(g))).cast("int")
+
+
+def parsed_answer(output: Column, prefix: str = "Answer:") -> Column:
+    """The rest of the line after the prefix, whatever its case, else the first line."""
+    after = F.regexp_extract(output, "(?i)" + re.escape(prefix) + r"([^\n]*)", 1)
+    return F.when(F.contains(F.lower(output), F.lit(prefix.lower())), F.trim(after)).otherwise(F.trim(F.element_at(F.split(output, "\n"), 1)))
 
 
 def recall_at(ranked: Column, wanted: Column, k: int) -> Column:
@@ -72,16 +151,25 @@ def paired(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame
 
 
 def bootstrap(df: DataFrame, value: str, samples: int = 2000, seed: int = 0) -> DataFrame:
-    """95 % interval of the mean by Poisson resampling: each row has a keyed weight in each sample, so that
-    samples are sums that combine before the shuffle."""
-    draws = df.select(F.col(value).alias("v"), F.monotonically_increasing_id().alias("i")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "i", "s"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    weight, p, total = F.lit(0), math.exp(-1), math.exp(-1)
-    for n in range(1, 12):  # inverse of the Poisson(1) distribution
-        weight = F.when(u >= total, n).otherwise(weight)
-        p /= n
-        total += p
-    means = draws.withColumn("w", weight).groupBy("s").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
+    """95 % interval of the mean by Poisson resampling. A task draws each row's weight in every sample, from a generator
+    of the seed and its partition, and passes on one pair of sums for each sample."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        draw = np.random.Generator(np.random.Philox(key=(seed << 32) + TaskContext.get().partitionId()))
+        sums, weights = np.zeros(samples), np.zeros(samples)
+        for batch in batches:
+            v = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(v), 1024):
+                part = v[at : at + 1024]
+                w = draw.poisson(1.0, (len(part), samples))
+                sums += part @ w
+                weights += w.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(samples)), pa.array(sums), pa.array(weights)], names=["s", "v", "w"])
+
+    parts = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double")).mapInArrow(run, "s long, v double, w double")
+    means = parts.groupBy("s").agg(F.try_divide(F.sum("v"), F.sum("w")).alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
@@ -110,10 +198,16 @@ def fold_of(key: Column) -> Column:
 
 
 def calibrate(scored: DataFrame, score: str, truth: str) -> DataFrame:
-    """The threshold with the best F1, ties to the higher one: sums by distinct score, then running sums over those."""
+    """The threshold with the best F1, ties to the higher one: sums by distinct score, then running sums within ranges
+    of scores, each on top of the sums of the ranges above it."""
     by = scored.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "all_pos": F.sum("pos").over(Window.partitionBy())})
+    ranged = stored(by.repartitionByRange(F.desc("threshold")).withColumn("__part", F.spark_partition_id()), "scores")
+    above = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over ranges
+    sums = ranged.groupBy("__part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    starts = sums.select("__part", *(F.coalesce(F.sum(x).over(above), F.lit(0)).alias(f"__{x}") for x in "pn"), F.sum("p").over(Window.partitionBy()).alias("all_pos"))
+    down = Window.partitionBy("__part").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    run = ranged.join(F.broadcast(starts), "__part")  # a row for each range
+    run = run.withColumns({"tp": F.sum("pos").over(down) + F.col("__p"), "fp": F.sum("neg").over(down) + F.col("__n")})
     f1 = F.expr("2D * tp / (tp + fp + all_pos)")
     return run.select("threshold", f1.alias("f1")).orderBy(F.desc("f1"), F.desc("threshold")).limit(1)
 
@@ -183,12 +277,42 @@ def evidence_trace(questions: DataFrame, question: str, evidence: str, stages: d
     return out
 
 
+def latest_states(states: DataFrame, case: str, seq: str) -> DataFrame:
+    """The last row of each case."""
+    rest = [x for x in states.columns if x != case]
+    last = states.groupBy(case).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("__last"))
+    return last.select(case, *(F.col("__last").getField(x).alias(x) for x in rest))
+
+
+TITLES = 10_000  # of a catalog in one array
+
+
 def nearest_name(names: DataFrame, name: str, catalog: DataFrame, title: str) -> DataFrame:
-    """Each name with the catalog title of least edit distance, ties to the smaller title. ``catalog`` is a
-    fixed list of titles: it is aggregated into one array and scored without a join of both."""
-    titles = catalog.agg(F.sort_array(F.collect_set(title)).alias("__titles"))
+    """Each distinct name with the catalog title of least edit distance, ties to the smaller title. Titles are laid out
+    in arrays of about TITLES; each name meets each array once, whatever the size of either side."""
+    titles = catalog.select(F.col(title).alias("t")).filter(F.col(title).isNotNull()).distinct()
+    lists = -(-titles.count() // TITLES)
+    titles = titles.groupBy(F.pmod(F.xxhash64("t"), F.lit(max(1, lists))).alias("__list")).agg(F.sort_array(F.collect_list("t")).alias("__titles"))
+    asked = names.select(name).distinct()
     best = F.array_min(F.transform("__titles", lambda t: F.struct(F.levenshtein(F.lower(t), F.lower(F.col(name))).alias("d"), t.alias("t"))))
-    return names.crossJoin(F.broadcast(titles)).select(*names.columns, best["t"].alias("nearest"), best["d"].alias("distance"))
+    found = asked.crossJoin(F.broadcast(titles) if lists <= 10 else titles).select(name, best.alias("__best"))
+    found = found.groupBy(name).agg(F.min("__best").alias("__best")).select(F.col(name).alias("__name"), F.col("__best.t").alias("nearest"), F.col("__best.d").alias("distance"))
+    return names.join(found, names[name] == found["__name"], "left").drop("__name")
+
+
+def question_summary(graded: DataFrame, question: str, category: str, scores: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A row for each question with its mean scores and runs, and the means of these by category and over all
+    (``_all``)."""
+    each = graded.groupBy(question, category).agg(F.count(F.lit(1)).alias("runs"), *(F.avg(x).alias(x) for x in scores))
+    means = each.rollup(category).agg(F.grouping(category).alias("__all"), F.count(F.lit(1)).alias("questions"), *(F.avg(x).alias(x) for x in scores))
+    return each, means.select(F.when(F.col("__all") == 1, "_all").otherwise(F.col(category).cast("string")).alias(category), "questions", *scores)
+
+
+def normal_calls(calls: DataFrame, prompt: str, cached: str, completion: str) -> DataFrame:
+    """Provider calls with token columns ``hit``, ``miss`` and ``output``: what is missing counts zero, and no more
+    is cached than was prompted."""
+    p, h, o = (F.greatest(F.coalesce(F.col(x), F.lit(0)), F.lit(0)).cast("long") for x in (prompt, cached, completion))
+    return calls.withColumns({"hit": F.least(h, p), "miss": p - F.least(h, p), "output": o})
 
 
 def question_facts(questions: DataFrame, answers: DataFrame, grades: DataFrame, calls: DataFrame, question: str, phases: list[str]) -> DataFrame:

@@ -64,12 +64,8 @@ class ReplyError(ValueError):
     pass
 
 
-def parse_reply(text: str):
-    """JSON, possibly fenced, with trailing commas or missing closers; several readings are an error."""
-    body = text.strip()
-    fenced = re.search(r"```(?:json)?\s*(.*?)```", body, re.S)
-    if fenced:
-        body = fenced[1].strip()
+def _read_json(body: str):
+    """JSON, possibly with trailing commas or missing closers."""
     try:
         return json.loads(body)
     except json.JSONDecodeError:
@@ -88,19 +84,41 @@ def parse_reply(text: str):
     try:
         return json.loads(smaller + '"' * quoted + "".join(reversed(stack)))
     except json.JSONDecodeError as e:
-        raise ReplyError(f"no JSON in reply: {text[:80]!r}") from e
+        raise ReplyError(f"no JSON in reply: {body[:80]!r}") from e
+
+
+def parse_reply(text: str):
+    """The JSON value of a reply. Of fenced blocks that hold JSON all must say the same."""
+    fenced = re.findall(r"```(?:json)?\s*(.*?)```", text, re.S)
+    if not fenced:
+        return _read_json(text.strip())
+    found = []
+    for body in fenced:
+        try:
+            found.append(_read_json(body.strip()))
+        except ReplyError:
+            continue
+    if not found or any(x != found[0] for x in found):
+        raise ReplyError("the reply's blocks have no or several readings")
+    return found[0]
 
 
 SCALARS = (str, int, float, bool, type(None))
 
 
+YES, NO = frozenset(("true", "yes")), frozenset(("false", "no"))
+
+
 def check_keep(reply, default: bool | None = None) -> bool:
+    """A decision of a parsed reply or of plain text; ``default`` where it decides nothing, None: an error."""
     if isinstance(reply, Mapping):
         reply = reply.get("keep")
     if isinstance(reply, bool):
         return reply
-    if isinstance(reply, str) and reply.strip().lower() in ("true", "false", "yes", "no"):
-        return reply.strip().lower() in ("true", "yes")
+    if isinstance(reply, str):
+        said = {w.lower() for w in re.findall(r"[^\W\d_]+", reply)}
+        if bool(said & YES) != bool(said & NO):
+            return bool(said & YES)
     if default is None:
         raise ReplyError("the reply is not a boolean")
     return default
@@ -123,8 +141,75 @@ def check_rows(reply, outputs: Sequence[str]) -> list[dict]:
     return [check_record(r, outputs) for r in rows]
 
 
-def ask(model: Model, requests: Sequence[Request], check: Callable, retries: int = 3, batch: int = 64) -> list:
-    """Checked replies in order; only tasks whose reply fails are asked again."""
+# Readers: what an operator makes of a reply's text
+
+
+def reads_keep(default: bool | None) -> Callable[[str], bool]:
+    """Yes or no, as JSON or plain text; with a default no text is an error."""
+
+    def read(text: str) -> bool:
+        try:
+            reply = parse_reply(text)
+        except ReplyError:
+            reply = text
+        return check_keep(reply if isinstance(reply, bool | str | Mapping) else text, default)
+
+    return read
+
+
+def reads_record(outputs: Sequence[str]) -> Callable[[str], dict]:
+    """Several outputs are strict JSON. A single one is the reply's text, unless that is JSON of the one output."""
+
+    def read(text: str) -> dict:
+        if len(outputs) > 1:
+            return check_record(parse_reply(text), outputs)
+        try:
+            reply = parse_reply(text)
+            if isinstance(reply, Mapping) or isinstance(reply, SCALARS):
+                return check_record(reply, outputs)
+        except ReplyError:
+            pass
+        return {outputs[0]: text.strip()}
+
+    return read
+
+
+def reads_text(text: str) -> str | None:
+    return reads_record(("text",))(text)["text"]
+
+
+def reads_rows(outputs: Sequence[str]) -> Callable[[str], list[dict]]:
+    return lambda text: check_rows(parse_reply(text), outputs)
+
+
+def reads_label(labels: Sequence[str]) -> Callable[[str], str]:
+    def read(text: str) -> str:
+        said = reads_record(("label",))(text)["label"]
+        found = [x for x in labels if said is not None and x.lower() == said.strip(" .\n\"'").lower()]
+        if not found:
+            raise ReplyError(f"undeclared label {said!r}")
+        return said if said in labels else found[0]
+
+    return read
+
+
+def reads_ids(n: int, least: int, most: int) -> Callable[[str], list[int]]:
+    """From ``least`` to ``most`` unique ids below ``n``."""
+
+    def read(text: str) -> list[int]:
+        reply = parse_reply(text)
+        reply = reply.get("selected_ids") if isinstance(reply, Mapping) else reply
+        if not isinstance(reply, list) or not all(type(x) is int for x in reply):
+            raise ReplyError("a list of ids is needed")
+        if not least <= len(reply) <= most or len(set(reply)) != len(reply) or not set(reply) <= set(range(n)):
+            raise ReplyError("the ids repeat, are unknown, too few or too many")
+        return reply
+
+    return read
+
+
+def ask(model: Model, requests: Sequence[Request], read: Callable[[str], object], retries: int = 3, batch: int = 64) -> list:
+    """What ``read`` makes of the replies, in order; only tasks whose reply fails are asked again."""
     out: list = [None] * len(requests)
     todo = list(range(len(requests)))
     for attempt in range(retries + 1):
@@ -133,7 +218,7 @@ def ask(model: Model, requests: Sequence[Request], check: Callable, retries: int
             part = todo[at : at + batch]
             for i, text in zip(part, model.answer([requests[i] for i in part]), strict=True):
                 try:
-                    out[i] = check(parse_reply(text))
+                    out[i] = read(text)
                 except ReplyError:
                     if attempt == retries:
                         raise
@@ -144,6 +229,20 @@ def ask(model: Model, requests: Sequence[Request], check: Callable, retries: int
     return out
 
 
+@dataclass
+class TextModel:
+    """Rules that answer as a text model does: booleans as words, single values as bare text, the rest as JSON."""
+
+    rules: Mapping[str, Callable[[Mapping], object]]
+
+    def answer(self, requests: Sequence[Request]) -> list[str]:
+        out = []
+        for r in requests:
+            said = self.rules[r.instruction](r.values)
+            out.append(said if isinstance(said, str) else str(said) if isinstance(said, bool | int | float) else json.dumps(said, ensure_ascii=False, default=str))
+        return out
+
+
 @dataclass
 class PackedModel:
     """Packs up to ``size`` tasks in one prompt of an inner text model; replies must cover exactly the ids."""
@@ -201,7 +300,7 @@ class PairwiseModel:
 
     def _better(self, request: Request, a: Mapping, b: Mapping) -> bool:
         values = {"query": request.values["query"], "a": a, "b": b}
-        return ask(self.inner, [Request("compare", request.instruction, values)], check_keep)[0]
+        return ask(self.inner, [Request("compare", request.instruction, values)], reads_keep(None))[0]
 
     def answer(self, requests: Sequence[Request]) -> list[str]:
         out = []

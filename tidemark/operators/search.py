@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -11,9 +13,12 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.relational import c
 from tidemark.operators.semantic import cosine
+from tidemark.sources.store import shared_dir, stored
 
 ADDED = ("record_id", "rank", "score")
 K1, B = 1.2, 0.75
+SPLIT = 16 << 20  # bytes of input for each core, below which texts are dealt out anew
+FEW = 10_000  # ranked rows that may be broadcast
 
 
 @dataclass(frozen=True)
@@ -57,23 +62,67 @@ def _is(term: str) -> Callable[[Column], Column]:
     return lambda x: x == term
 
 
+def _asked(query: str) -> list[str]:
+    return sorted(set("".join(ch if ch.isalnum() else " " for ch in query.lower()).split()))
+
+
 def bm25(docs: DataFrame, id_col: str, columns: Sequence[str], query: str) -> DataFrame:
-    """(record_id, score): BM25 with k1 1.2 and b 0.75; documents without a query term are left out."""
-    asked = sorted({t for t in "".join(ch if ch.isalnum() else " " for ch in query.lower()).split()})
+    """(record_id, score): BM25 with k1 1.2 and b 0.75; documents without a query term are left out. The texts are cut
+    into tokens once: their counts are stored, and both the totals and the scores are made of these. For
+    many queries over one corpus, see ``Postings``."""
+    asked = _asked(query)
     if not asked:
         return docs.select(c(id_col).alias("record_id"), F.lit(0.0).alias("score")).limit(0)
-    words = docs.select(c(id_col).alias("record_id"), tokens(F.concat_ws(" ", *map(c, columns))).alias("w"))
-    counted = words.select("record_id", F.size("w").alias("dl"), *(F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(asked)))
+    texts = docs.select(c(id_col).alias("record_id"), F.concat_ws(" ", *map(c, columns)).alias("text"))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SPLIT:
+        texts = texts.repartition(cores)  # a few large row groups would keep most cores idle
+    words = texts.select("record_id", tokens(c("text")).alias("w"))
+    counted = stored(words.select("record_id", F.size("w").alias("dl"), *(F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(asked))), "counted")
     totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count(F.when(c(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(asked))))
     joined = counted.crossJoin(F.broadcast(totals))  # totals: one row
     score = F.lit(0.0)
     for i in range(len(asked)):
-        idf = F.log(1 + (c("n") - c(f"df{i}") + 0.5) / (c(f"df{i}") + 0.5))
-        tf = c(f"tf{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * c("dl") / c("avgdl")))
+        score = score + _weight(c("n"), c(f"df{i}"), c(f"tf{i}"), c("dl"), c("avgdl"))
     return joined.select("record_id", score.alias("score")).filter("score > 0")
 
 
+def _weight(n: Column, df: Column, tf: Column, dl: Column, mean: Column) -> Column:
+    """What one term adds to a document's score."""
+    return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+
+
+@dataclass(frozen=True)
+class Postings:
+    """A stored inverted index: a query reads the shards of its terms, and of these the row groups that may hold them."""
+
+    spark: SparkSession
+    path: str
+    schema: object
+    n: int
+    mean: float
+    SHARDS = 64
+
+    @staticmethod
+    def build(docs: DataFrame, id_col: str, columns: Sequence[str]) -> Postings:
+        words = stored(docs.select(c(id_col).alias("record_id"), tokens(F.concat_ws(" ", *map(c, columns))).alias("w")), "words")
+        facts = words.agg(F.count(F.lit(1)), F.avg(F.size("w"))).first()
+        terms = words.select("record_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "record_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        terms = terms.withColumn("shard", F.pmod(F.crc32("term"), F.lit(Postings.SHARDS)).cast("int"))
+        path = f"{shared_dir(docs.sparkSession)}/postings-{uuid.uuid4().hex}"
+        terms.repartition("shard", F.pmod(F.xxhash64("record_id"), F.lit(8))).sortWithinPartitions("shard", "term").write.partitionBy("shard").parquet(path)
+        return Postings(docs.sparkSession, path, terms.schema, facts[0], facts[1] or 0.0)
+
+    def search(self, query: str) -> DataFrame:
+        """(record_id, score) as ``bm25`` gives them."""
+        asked = _asked(query)
+        shards = [zlib.crc32(t.encode()) % self.SHARDS for t in asked]
+        found = self.spark.read.schema(self.schema).parquet(self.path).filter(c("shard").isin(shards) & c("term").isin(asked))
+        df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term asked
+        scored = found.join(F.broadcast(df), "term").select("record_id", _weight(F.lit(self.n), c("df"), c("tf"), c("dl"), F.lit(self.mean)).alias("s"))
+        return scored.groupBy("record_id").agg(F.sum("s").alias("score"))
+
+
 def similar(docs: DataFrame, id_col: str, method: CosineSimilarity) -> DataFrame:
     """Default threshold: above 0.6; an explicit one may be met."""
     vector = F.array(*map(F.lit, map(float, method.query)))
@@ -136,7 +185,8 @@ def search(docs: DataFrame, id_col: str, query: str, methods: Sequence, reranker
             return pd.Series(list(scorer(query, text.tolist())), dtype=float)
 
         best = top(texts.select("record_id", scored("__text").alias("score")), limit)
-    return docs.join(F.broadcast(best), docs[f"`{id_col}`"] == best["record_id"])  # ``limit`` rows
+    best = F.broadcast(best) if limit <= FEW else best
+    return docs.join(best, docs[f"`{id_col}`"] == best["record_id"])
 
 
 @dataclass

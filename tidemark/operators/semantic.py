@@ -12,12 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.model import Request, ask, check_keep, check_record, check_rows, placeholders
+from tidemark.functions.model import PairwiseModel, Request, ask, placeholders, reads_ids, reads_keep, reads_label, reads_record, reads_rows, reads_text
 from tidemark.operators.components import components
 from tidemark.operators.relational import OCC, Context, aggregate_column, c, lowers, pair_condition, suffixed
 from tidemark.operators.windows import with_positions
 from tidemark.plans.expressions import Expr
-from tidemark.sources.store import stored
+from tidemark.sources.store import State, store, stored
 
 FAN = 64
 
@@ -30,7 +30,7 @@ def _equal(left: DataFrame, names: Sequence[str]) -> Column:
     return out
 
 
-def asked(df: DataFrame, ctx: Context, kind: str, instruction: str, inputs: Sequence[str], result: str, check: Callable) -> DataFrame:
+def asked(df: DataFrame, ctx: Context, kind: str, instruction: str, inputs: Sequence[str], result: str, read: Callable) -> DataFrame:
     """Distinct ``inputs`` with the checked reply as ``__reply`` (type ``result``), stored."""
     if ctx.model is None:
         raise ValueError("a semantic operator needs a model")
@@ -42,19 +42,20 @@ def asked(df: DataFrame, ctx: Context, kind: str, instruction: str, inputs: Sequ
         for pdf in frames:
             if len(pdf):
                 requests = [Request(kind, instruction, {k: None if _null(v) else v for k, v in r.items()}) for r in pdf.to_dict("records")]
-                yield pdf.assign(__reply=pd.Series(ask(model, requests, check), index=pdf.index, dtype=object))
+                yield pdf.assign(__reply=pd.Series(ask(model, requests, read), index=pdf.index, dtype=object))
 
     kept = ctx.options.get("__replies")  # of earlier steps, by question: what was asked is not asked again
     if kept is None:
         return stored(tasks.mapInPandas(run, schema), "replies")
     key = f"{kind}|{instruction}|{schema}"
-    if key not in kept:
-        kept[key] = stored(tasks.mapInPandas(run, schema), "replies")
-        return kept[key]
-    known = kept[key]
-    fresh = tasks.join(known.select(*(c(n).alias(f"__k{i}") for i, n in enumerate(inputs))), _equal(tasks, inputs), "left_anti")
-    kept[key] = known.unionByName(stored(fresh.mapInPandas(run, schema), "replies"))
-    return with_reply(tasks, kept[key], inputs)
+    known = kept.get(key)
+    if known is not None:
+        tasks = stored(tasks, "tasks")
+        before = known.frame(ctx.spark).select(*(c(n).alias(f"__k{i}") for i, n in enumerate(inputs)))
+        fresh = tasks.join(before, _equal(tasks, inputs), "left_anti")
+    path, made = store((tasks if known is None else fresh).mapInPandas(run, schema), "replies")
+    kept[key] = (known or State(made.schema)).plus(path)
+    return made if known is None else with_reply(tasks, kept[key].frame(ctx.spark), inputs)
 
 
 def _null(v) -> bool:
@@ -83,7 +84,7 @@ def _inputs(instruction: str, columns: Sequence[str]) -> list[str]:
 def _sem_filter(node, ctx, inputs):
     df, text = inputs[0], node.params["instruction"]
     names = _inputs(text, node.columns)
-    replies = asked(df, ctx, "filter", text, names, "boolean", lambda r: check_keep(r, True))
+    replies = asked(df, ctx, "filter", text, names, "boolean", reads_keep(True))
     return with_reply(df, replies.filter("__reply"), names)
 
 
@@ -92,7 +93,7 @@ def _sem_map(node, ctx, inputs):
     p, df = node.params, inputs[0]
     outs = p["output_cols"]
     kind = "struct<" + ",".join(f"`{o}`:string" for o in outs) + ">"
-    out = with_reply(df, asked(df, ctx, "map", p["instruction"], p["input_cols"], kind, lambda r: check_record(r, outs)), p["input_cols"])
+    out = with_reply(df, asked(df, ctx, "map", p["instruction"], p["input_cols"], kind, reads_record(outs)), p["input_cols"])
     return out.withColumns({o: c("__reply").getField(o) for o in outs})
 
 
@@ -101,39 +102,84 @@ def _sem_flat_map(node, ctx, inputs):
     p, df = node.params, inputs[0]
     outs = p["output_cols"]
     kind = "array<struct<" + ",".join(f"`{o}`:string" for o in outs) + ">>"
-    replies = asked(df, ctx, "flat_map", p["instruction"], p["input_cols"], kind, lambda r: check_rows(r, outs))
+    replies = asked(df, ctx, "flat_map", p["instruction"], p["input_cols"], kind, reads_rows(outs))
     rows = with_reply(df, replies, p["input_cols"]).select("*", F.posexplode("__reply").alias("__ord", "__row"))
     rows = rows.withColumns({o: c("__row").getField(o) for o in outs} | {OCC: F.concat(OCC, F.array(c("__ord").cast("long")))})
     return rows.withColumn(p["ordinal_col"], c("__ord").cast("long")) if p["ordinal_col"] else rows
 
 
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda i, j: i * j), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(v: Column) -> Column:
+    """The vector divided by its length, as doubles; null for a zero vector."""
+    v = v.cast("array<double>")
+    size = F.sqrt(_dot(v, v))
+    return F.when(size > 0, F.transform(v, lambda e: e / size))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two number arrays in [-1, 1]; null for a zero vector."""
+    a, b = a.cast("array<double>"), b.cast("array<double>")
+    size = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+    return F.when(size > 0, _dot(a, b) / size)
+
 
-    def dot(x, y):
-        return F.aggregate(F.zip_with(x.cast("array<double>"), y.cast("array<double>"), lambda i, j: i * j), F.lit(0.0), lambda s, v: s + v)
+UNROLLED = 512  # the widest vectors whose product is written out, so that it compiles
 
-    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(size > 0, dot(a, b) / size)
+
+def product(a: Column, b: Column, width: int | None) -> Column:
+    """Inner product of two arrays of ``width`` doubles (None: of any); null where their sizes differ."""
+    if width is None or width > UNROLLED:
+        return _dot(a, b)
+    terms = [F.get(a, F.lit(i)) * F.get(b, F.lit(i)) for i in range(width)]
+    while len(terms) > 1:
+        terms = [x + y for x, y in zip(terms[::2], terms[1::2], strict=False)] + terms[len(terms) // 2 * 2 :]
+    return F.when((F.size(a) == width) & (F.size(b) == width), terms[0])
 
 
 def screened(pairs: DataFrame, profile: dict, left_id: Sequence[str], right_id: Sequence[str]) -> DataFrame:
-    """Candidates by similarity: a threshold, then the best ``k`` for each left (or right) row, ties by pair id."""
-    out = pairs.withColumn("__score", cosine(c(profile["left"]), c(profile["right"])))
+    """Candidates by ``__score``: a threshold, then the best ``k`` for each row of the side ``per`` (left, right, or
+    symmetric: a pair is among the best of either of its rows), ties by pair id."""
+    out = pairs
     if profile.get("threshold") is not None:
         out = out.filter(c("__score") >= profile["threshold"])
-    if profile.get("k") is not None:
-        side = left_id if profile.get("per", "left") == "left" else right_id
-        best = Window.partitionBy(*map(c, side)).orderBy(F.desc("__score"), *map(c, (*left_id, *right_id)))
-        out = out.withColumn("__n", F.row_number().over(best)).filter(c("__n") <= profile["k"]).drop("__n")
-    return out
+    k, per = profile.get("k"), profile.get("per", "left")
+    if k is None:
+        return out
+    order = [F.desc("__score"), *map(c, (*left_id, *right_id))]
+    if per != "symmetric":
+        best = Window.partitionBy(*map(c, left_id if per == "left" else right_id)).orderBy(*order)
+        return out.withColumn("__n", F.row_number().over(best)).filter(c("__n") <= k).drop("__n")
+    # Each pair stands at both its rows; it stays if it is among the best of one.
+    ends = F.array(*(F.struct(*(c(x).alias(f"n{i}") for i, x in enumerate(side))) for side in (left_id, right_id)))
+    at_both = out.withColumn("__end", F.explode(ends)).withColumn("__n", F.row_number().over(Window.partitionBy("__end").orderBy(*order)))
+    chosen = at_both.filter(c("__n") <= k).select(*map(c, (*left_id, *right_id))).distinct()
+    return out.join(chosen, [*left_id, *right_id], "left_semi")
+
+
+def scored(left: DataFrame, right: DataFrame, profile: dict) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides with their unit vectors, made once a row, and the score of a joined pair."""
+    left = left.withColumn("__lu", unit(c(profile["left"])))
+    right = right.withColumn("__ru", unit(c(profile["right"])))
+    width = left.agg(F.max(F.size("__lu"))).first()[0]
+    return left, right, product(c("__lu"), c("__ru"), width)
+
+
+def _profile(options: dict, name: str) -> dict | None:
+    """The candidate profile, unless it leaves all to the model."""
+    found = options.get(name)
+    return None if not found or found.get("mode") == "oracle-only" else found
 
 
 def candidate_pairs(node, ctx: Context, inputs: list[DataFrame]) -> DataFrame:
     """Pairs in the domain that ``on`` leaves, with both occurrence ids."""
     p, sides = node.params, node.params["sides"]
     left, right = (suffixed(df, n.columns, s, o) for df, n, s, o in zip(inputs, node.inputs, sides, ("__l", "__r"), strict=True))
-    on = p["on"]
+    on, profile = p["on"], _profile(ctx.options, "pairs")
+    if profile:
+        left, right, score = scored(left, right, profile)
     if on and all(isinstance(e, Expr) for e in on):
         kinds = [{n: (d[f"{n}:{s}"], d.schema[f"{n}:{s}"].dataType) for n in x.columns} for d, x, s in zip((left, right), node.inputs, sides, strict=True)]
         pairs = left.join(right, pair_condition(on, *kinds, sides))
@@ -144,27 +190,72 @@ def candidate_pairs(node, ctx: Context, inputs: list[DataFrame]) -> DataFrame:
         pairs = left.join(right, condition)
     else:
         pairs = left.crossJoin(right)  # the operator's own domain: every pair is a question
-    profile = ctx.options.get("pairs")
-    return screened(pairs, profile, ["__l"], ["__r"]) if profile else pairs
+    return screened(pairs.withColumn("__score", score).drop("__lu", "__ru"), profile, ["__l"], ["__r"]) if profile else pairs
+
+
+def verified_pairs(node, ctx: Context, pairs: DataFrame) -> DataFrame:
+    """Pairs that the model says yes to."""
+    p = node.params
+    said = {n: n.replace(":left", f":{p['sides'][0]}").replace(":right", f":{p['sides'][1]}") for n in placeholders(p["instruction"])}
+    text = p["instruction"]
+    for a, b in said.items():
+        text = text.replace("{" + a + "}", "{" + b + "}")
+    names = list(said.values())
+    model = _Renamed(ctx.model, text, p["instruction"], said)
+    replies = asked(pairs, Context(ctx.spark, {}, model), "join", text, names, "boolean", reads_keep(False))
+    return with_reply(pairs, replies.filter("__reply"), names).drop("__reply")
+
+
+def chosen_rows(node, ctx: Context, pairs: DataFrame, kind: str) -> DataFrame:
+    """At most ``k`` right rows of each left one, chosen from a list. A left row's candidates are dealt to lists of
+    about FAN, each list keeps at most k, and so on until one list is left; no prompt or task holds more.
+
+    ``kind``: ``select`` keeps what fits, none to k; ``rank`` exactly k where there are more."""
+    p, k = node.params, node.params["k"]
+    left, right = ([x for x in node.columns if x.endswith(f":{s}")] for s in p["sides"])
+    rule, model, fan = p["instruction"], ctx.model, max(FAN, 2 * k)
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(__o=pdf["__r"].map(tuple)).sort_values("__o").drop(columns="__o").reset_index(drop=True)
+        first = {n.rpartition(":")[0]: _plain(pdf[n].iloc[0]) for n in left}
+        items = [{"id": i, **{n.rpartition(":")[0]: _plain(r[n]) for n in right}} for i, r in enumerate(pdf.to_dict("records"))]
+        most = min(k, len(items))
+        asks = Request(kind, rule, {"query": first, "left": first, "items": items, "k": most})
+        return pdf.iloc[ask(model, [asks], reads_ids(len(items), most if kind == "rank" else 0, most))[0]]
+
+    while True:
+        counts = pairs.groupBy("__l").agg(F.count(F.lit(1)).alias("__c"))
+        most = counts.agg(F.max("__c")).first()[0] or 0
+        lists = pairs.join(counts, "__l").withColumn("__g", F.pmod(F.xxhash64("__r"), F.ceil(c("__c") / fan)).cast("int"))
+        kept = lists.filter(c("__c") <= k).drop("__c", "__g") if kind == "rank" else None
+        lists = lists.filter(c("__c") > k) if kind == "rank" else lists
+        out = lists.drop("__c").groupBy("__l", "__g").applyInPandas(lambda pdf: best(pdf.drop(columns="__g")), pairs.schema)
+        pairs = stored(out if kept is None else out.unionByName(kept), "chosen")
+        if most <= fan:
+            return pairs
+
+
+def _plain(v):
+    """A value for a prompt."""
+    return None if _null(v) else v.tolist() if hasattr(v, "tolist") else v
 
 
 def kept_pairs(node, ctx: Context, pairs: DataFrame) -> DataFrame:
+    """Without ``k`` the pairs that the model confirms. With ``k``: the best by score where only scores decide, else a
+    choice from lists, or (``topk_method`` pairwise, quick or heap) confirmed pairs ranked by comparisons."""
     p = node.params
-    if (ctx.options.get("pairs") or {}).get("mode") != "proxy-only":
-        names = [n.replace(":left", f":{p['sides'][0]}").replace(":right", f":{p['sides'][1]}") for n in placeholders(p["instruction"])]
-        said = dict(zip(placeholders(p["instruction"]), names, strict=True))
-        text = p["instruction"]
-        for a, b in said.items():
-            text = text.replace("{" + a + "}", "{" + b + "}")
-        rule = p["instruction"]
-        model = ctx.model
-        replies = asked(pairs, Context(ctx.spark, {}, _Renamed(model, text, rule, said)), "join", text, names, "boolean", lambda r: check_keep(r, False))
-        pairs = with_reply(pairs, replies.filter("__reply"), names)
-    if p["k"] is not None:
-        order = [F.desc("__score")] if "__score" in pairs.columns else []
-        best = Window.partitionBy("__l").orderBy(*order, "__r")
-        pairs = pairs.withColumn("__n", F.row_number().over(best)).filter(c("__n") <= p["k"])
-    return pairs
+    by_score = (ctx.options.get("pairs") or {}).get("mode") == "proxy-only"
+    if p["k"] is None:
+        return pairs if by_score else verified_pairs(node, ctx, pairs)
+    if by_score:
+        best = Window.partitionBy("__l").orderBy(F.desc("__score"), "__r")
+        return pairs.withColumn("__n", F.row_number().over(best)).filter(c("__n") <= p["k"]).drop("__n")
+    pairs = pairs.drop("__score")
+    method = ctx.options.get("topk_method", "listwise")
+    if method == "listwise":
+        return chosen_rows(node, ctx, stored(pairs, "pairs"), "select")
+    ranking = Context(ctx.spark, {}, PairwiseModel(ctx.model, {"pairwise": "naive"}.get(method, method)), options=ctx.options)
+    return chosen_rows(node, ranking, stored(verified_pairs(node, ctx, pairs), "pairs"), "rank")
 
 
 class _Renamed:
@@ -199,36 +290,32 @@ def _sem_groupby(node, ctx, inputs):
     names = list(p["input_cols"])
     if p["labels"]:
         labels = [n for n, _ in p["labels"]]
-
-        def closed(reply):
-            record = check_record(reply, ["label"])
-            if record["label"] not in labels:
-                raise ValueError(f"undeclared label {record['label']!r}")
-            return record["label"]
-
-        return with_reply(df, asked(df, ctx, "label", p["instruction"], names, "string", closed), names).withColumn(p["group_col"], c("__reply"))
+        return with_reply(df, asked(df, ctx, "label", p["instruction"], names, "string", reads_label(labels)), names).withColumn(p["group_col"], c("__reply"))
     keys = list(dict.fromkeys([*names, *p["partition_by"], *ctx.keys]))
     nodes = stored(with_positions(df.groupBy(*map(c, keys)).agg(F.min(OCC).alias(OCC)), "__id"), "keys")
     a, b = (nodes.select(*(c(k).alias(f"{k}:{s}") for k in keys), c("__id").alias(f"__{s}")) for s in ("left", "right"))
+    profile = _profile(ctx.options, "groups")
+    if profile:
+        profile = {"left": f"{profile['column']}:left", "right": f"{profile['column']}:right", **profile}
+        a, b, score = scored(a, b, profile)
     condition = c("__left") < c("__right")
     for k in (*p["partition_by"], *ctx.keys):
         condition = condition & a[f"`{k}:left`"].eqNullSafe(b[f"`{k}:right`"])
     pairs = a.join(b, condition)
-    profile = ctx.options.get("groups")
     if profile:
-        pairs = screened(pairs, {"left": f"{profile['column']}:left", "right": f"{profile['column']}:right", **profile}, ["__left"], ["__right"])
+        pairs = screened(pairs.withColumn("__score", score).drop("__lu", "__ru"), profile, ["__left"], ["__right"])
     if not profile or profile.get("mode") != "proxy-only":
         sides = [f"{n}:{s}" for n in names for s in ("left", "right")]
-        pairs = with_reply(pairs, asked(pairs, ctx, "same", p["instruction"], sides, "boolean", lambda r: check_keep(r, False)).filter("__reply"), sides)
+        pairs = with_reply(pairs, asked(pairs, ctx, "same", p["instruction"], sides, "boolean", reads_keep(False)).filter("__reply"), sides)
     roots = components(pairs.select("__left", "__right"), "__left", "__right")
     grouped = nodes.join(roots, nodes["__id"] == roots["node"], "left").select(*map(c, keys), F.coalesce("root", "__id").alias("__reply"))
     return with_reply(df, grouped, keys).withColumn(p["group_col"], c("__reply"))
 
 
-def _fold(model, instruction: str, columns: Sequence[str], level: str, budget: int):
+def _fold(model, instruction: str, budget: int):
     """Folds ordered items to one text, as many at a time as fit in ``budget`` characters."""
 
-    def run(items: list) -> str | None:
+    def run(items: list, kind: str = "agg") -> str | None:
         while True:
             parts, size = [[]], 0
             for x in items:
@@ -240,8 +327,7 @@ def _fold(model, instruction: str, columns: Sequence[str], level: str, budget: i
                     size = 0
                 parts[-1].append(x)
                 size += n
-            kind = "agg" if level == "leaf" else "agg_state"
-            folded = ask(model, [Request(kind, instruction, {"items": part}) for part in parts], lambda r: check_record(r, ["x"])["x"] if not isinstance(r, str) else r)
+            folded = ask(model, [Request(kind, instruction, {"items": part}) for part in parts], reads_text)
             if len(folded) == 1:
                 return folded[0]
             items, kind = folded, "agg_state"
@@ -249,57 +335,86 @@ def _fold(model, instruction: str, columns: Sequence[str], level: str, budget: i
     return run
 
 
+def _last(model, instruction: str, budget: int, outputs: Sequence[str]):
+    """Of texts folded so far, the aggregate's outputs: one is the text itself, several are asked for in a last pass."""
+    fold = _fold(model, instruction, budget)
+
+    def run(texts: list) -> dict:
+        if len(outputs) == 1:
+            return {outputs[0]: texts[0] if len(texts) == 1 else fold(texts, "agg_state")}
+        if sum(len(str(x)) for x in texts) > budget:
+            texts = [fold(texts, "agg_state")]
+        return ask(model, [Request("agg_final", instruction, {"items": texts, "final": True})], reads_record(outputs))[0]
+
+    return run
+
+
 def _leaves(fold: Callable, columns: Sequence[str], hidden: Sequence[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(__o=pdf[OCC].map(tuple)).sort_values("__o")
-        items = [r[columns[0]] if len(columns) == 1 else r for r in pdf[list(columns)].to_dict("records")]
+        items = [_plain(r[columns[0]]) if len(columns) == 1 else {k: _plain(v) for k, v in r.items()} for r in pdf[list(columns)].to_dict("records")]
         return pd.DataFrame([{**{h: pdf[h].iloc[0] for h in hidden}, "__b": pdf["__b"].iloc[0], "__x": fold(items)}])
 
     return run
 
 
-def _tops(fold: Callable, hidden: Sequence[str]):
+def _states(fold: Callable, hidden: Sequence[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         items = pdf.sort_values("__b")["__x"].tolist()
-        return pd.DataFrame([{**{h: pdf[h].iloc[0] for h in hidden}, "__x": items[0] if len(items) == 1 else fold(items)}])
+        return pd.DataFrame([{**{h: pdf[h].iloc[0] for h in hidden}, "__b": pdf["__b"].iloc[0] // FAN, "__x": items[0] if len(items) == 1 else fold(items, "agg_state")}])
 
     return run
 
 
+def _tops(last: Callable, hidden: Sequence[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{**{h: pdf[h].iloc[0] for h in hidden}, **last(pdf.sort_values("__b")["__x"].tolist())}])
+
+    return run
+
+
+LEAF = 4096  # rows that a leaf of a fold takes
+
+
 def semantic_aggregate(node, ctx: Context, df: DataFrame) -> DataFrame:
-    """Semantic specs by a two-level fold (arrival buckets, then groups), others natively, joined on the keys."""
+    """Semantic specs by a fold in levels (stretches of arrival, then FAN of their texts at a time, then groups), others
+    natively, joined on the keys. No task takes more than LEAF rows or FAN texts of a group."""
     keys = list(dict.fromkeys([*ctx.keys, *node.params["keys"]]))
     hidden = [f"__k{i}" for i in range(len(keys))]
     df = df.withColumns({h: F.coalesce(c(k).cast("string"), F.lit("\x00null")) for h, k in zip(hidden, keys, strict=True)})
     rest = [aggregate_column(df, s).alias(s.output) for s in node.params["specs"] if s.kind != "sem_agg"]
     out = df.groupBy(*hidden).agg(*(F.first(c(k)).alias(k) for k in keys), *rest, F.min(OCC).alias(OCC))
     budget, model = ctx.options.get("max_chars", 100_000), ctx.model
+    begin = "".join(f"{h} string, " for h in hidden)
     for s in (s for s in node.params["specs"] if s.kind == "sem_agg"):
-        leaf, top = (_fold(model, s.options[0], s.columns, level, budget) for level in ("leaf", "node"))
-        schema = ", ".join(f"{h} string" for h in hidden)
-
-        part = df.select(*hidden, *map(c, dict.fromkeys(s.columns)), OCC).withColumn("__b", F.floor(F.element_at(OCC, 1) / 4096).cast("long"))
-        low = stored(part.groupBy(*hidden, "__b").applyInPandas(_leaves(leaf, s.columns, hidden), f"{schema}{', ' * bool(schema)}__b long, __x string"), "fold")
-        high = stored(low.groupBy(*hidden).applyInPandas(_tops(top, hidden), f"{schema}{', ' * bool(schema)}__x string"), "fold").withColumnRenamed("__x", s.output)
+        fold, last = _fold(model, s.options[0], budget), _last(model, s.options[0], budget, s.outputs)
+        part = with_positions(df.select(*hidden, *map(c, dict.fromkeys(s.columns)), OCC)).withColumn("__b", F.floor(c("__pos") / LEAF).cast("long")).drop("__pos")
+        low = stored(part.groupBy(*hidden, "__b").applyInPandas(_leaves(fold, s.columns, hidden), f"{begin}__b long, __x string"), "fold")
+        while low.groupBy(*hidden).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FAN).take(1):
+            higher = low.withColumn("__up", F.floor(c("__b") / FAN)).groupBy(*hidden, "__up")
+            low = stored(higher.applyInPandas(lambda pdf, f=_states(fold, hidden): f(pdf.drop(columns="__up")), low.schema), "fold")
+        high = stored(low.groupBy(*hidden).applyInPandas(_tops(last, hidden), begin + ", ".join(f"`{o}` string" for o in s.outputs)), "fold")
         out = out.join(high, hidden) if hidden else out.crossJoin(high)  # one row each
     return out
 
 
 @lowers("sem_fold")
 def _sem_fold(node, ctx, inputs):
-    """Over a frame: one fold for each row; an empty frame gives null without a question."""
+    """Over a frame: one fold for each row; an empty frame gives nulls without a question."""
     p, model, df = node.params, ctx.model, inputs[0]
-    fold = _fold(model, p["instruction"], (), "leaf", ctx.options.get("max_chars", 100_000))
+    budget, outputs = ctx.options.get("max_chars", 100_000), p["outputs"]
+    fold, last = _fold(model, p["instruction"], budget), _last(model, p["instruction"], budget, outputs)
 
-    @F.pandas_udf("string")
-    def run(frames: pd.Series) -> pd.Series:
+    @F.pandas_udf(", ".join(f"`{o}` string" for o in outputs))
+    def run(frames: pd.Series) -> pd.DataFrame:
         import json
 
         items = [[next(iter(x.values())) if len(x) == 1 else x for x in json.loads(f)] for f in frames]
-        return pd.Series([fold(x) if x else None for x in items])
+        return pd.DataFrame([last([fold(x)]) if x else dict.fromkeys(outputs) for x in items], columns=list(outputs))
 
     said = F.to_json(c(p["column"]), {"ignoreNullFields": "false"})
-    return stored(df.withColumn(p["output"], run(said)).select(*map(c, node.columns), *map(c, ctx.keys), OCC), "folds")
+    made = df.withColumn("__made", run(said)).withColumns({o: c("__made").getField(o) for o in outputs})
+    return stored(made.select(*map(c, node.columns), *map(c, ctx.keys), OCC), "folds")
 
 
 @lowers("sem_topk")
@@ -314,14 +429,7 @@ def _sem_topk(node, ctx, inputs):
         items = [{"id": i, **{n: r[n] for n in node.columns}} for i, r in enumerate(pdf.to_dict("records"))]
         want = min(k, len(items))
 
-        def checked(reply):
-            if not isinstance(reply, list) or len(reply) != want or len(set(reply)) != want or not set(reply) <= set(range(len(items))):
-                from tidemark.functions.model import ReplyError
-
-                raise ReplyError("a ranking of unique ids is needed")
-            return reply
-
-        order = ask(model, [Request("rank", rule, {"query": instruction, "items": items, "k": want})], checked)[0]
+        order = ask(model, [Request("rank", rule, {"query": instruction, "items": items, "k": want})], reads_ids(len(items), want, want))[0]
         return pdf.iloc[order].assign(__rank=range(len(order)))
 
     rows = df.select(*map(c, node.columns), OCC).withColumn("__rank", F.lit(0).cast("long"))

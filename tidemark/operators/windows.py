@@ -1,8 +1,8 @@
 """Positional windows without a single ordered task.
 
-Rows get dense positions from bucket counts: a bucket is a range of arrival, counts of buckets (few) are
-summed in one task, rows are numbered within their bucket. Frames look back a bounded number of rows, so each
-bucket also receives the tail of the one before it.
+Rows get dense positions from bucket counts: a bucket is a range of the whole order of arrival, counts of buckets
+(few) are summed in one task, rows are numbered within their bucket. Frames look back a bounded number of rows, so
+each bucket also receives the tail of the one before it.
 """
 
 from __future__ import annotations
@@ -11,18 +11,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.relational import OCC, Context, c, in_windows, lower, lowers
+from tidemark.sources.store import stored
 
 BUCKET = 1 << 14
 
 
 def with_positions(df: DataFrame, name: str = "__pos") -> DataFrame:
-    """Adds the 0-based position in order of arrival."""
-    bucketed = df.withColumn("__bucket", F.floor(F.element_at(OCC, 1) / BUCKET).cast("long"))
-    counts = bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # over buckets
-    starts = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    own = Window.partitionBy("__bucket").orderBy(OCC)
-    return bucketed.withColumn("__k", F.row_number().over(own)).join(starts, "__bucket").withColumn(name, F.col("__start") + F.col("__k") - 1).drop("__bucket", "__k", "__start")
+    """Adds the 0-based position in order of arrival.
+
+    Rows are range-partitioned by all of their order, so that rows behind one another's operators (a union's second
+    side, a join's partners) are spread, too; stored, so that the ranges are read twice but found once.
+    """
+    ranged = stored(df.repartitionByRange(OCC).sortWithinPartitions(OCC).withColumn("__mid", F.monotonically_increasing_id()), "ranged")
+    counts = ranged.groupBy(F.shiftright("__mid", 33).alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over ranges
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    placed = ranged.withColumn("__part", F.shiftright("__mid", 33)).join(F.broadcast(starts), "__part")  # a row for each range
+    return placed.withColumn(name, F.col("__start") + F.col("__mid").bitwiseAND((1 << 33) - 1)).drop("__part", "__start", "__mid")
 
 
 @lowers("process_window")

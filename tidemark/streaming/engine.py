@@ -1,22 +1,27 @@
 """Incremental maintenance: a shared plan over all views, fed with appends.
 
-Each distinct node (plans are hash-consed) keeps its frame as tables in the shared folder. A step computes
-for each node what was inserted and retracted:
+Each distinct node is evaluated once a step (plans are hash-consed). Stored in the shared folder are the log, the
+views, and what a later step reads: inputs of stateful operators, and frames that are compared with their
+former selves. A step computes for each node what was inserted and retracted:
 
 * row-local operators work on the change alone, ``concat`` passes it on;
 * inner joins join the change of one side with the state of the other;
-* count, sum and avg keep signed partial state by key;
+* count, sum and avg keep signed partial sums by key, one table a step, and finish touched keys only;
 * semantic row operators ask about inserted rows only, semantic inner joins about new pairs only;
 * windows read the tail that new rows can reach;
-* everything else is computed anew from stored inputs and compared as a bag.
+* everything else is computed anew from stored inputs and compared as a bag;
+* where nothing reaches a node, nothing runs.
 
-A step that fails leaves the published tables as they were: states are swapped only at its end.
+A step that fails leaves states and sinks as they were: sinks stage their tables first, are published together, and
+those published are taken back if a later one fails. States are swapped at the end, and tables that no
+state of the last two steps and no snapshot names are deleted.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -29,7 +34,7 @@ import tidemark.operators.semantic  # noqa: F401  registers its operators
 import tidemark.operators.windows  # noqa: F401
 from tidemark.operators.relational import OCC, Context, apply_op, c
 from tidemark.plans.relation import SYSTEM_COLUMNS, Log, Node, Relation, walk
-from tidemark.sources.store import shared_dir, store, stored
+from tidemark.sources.store import State, delete, recorded, shared_dir, store, stored
 
 ROW_LOCAL = ("select", "filter", "assign", "explode", "unnest", "flatten")
 SEMANTIC_ROW = ("sem_filter", "sem_map", "sem_flat_map", "sem_fold")
@@ -53,21 +58,17 @@ def kind_of(node: Node) -> str:
     return {"log": "source", "process_window": "process_window", "over": "over_window"}.get(node.op, "deterministic")
 
 
-@dataclass
-class State:
-    """A node's frame as stored parts; ``parts`` are added to by appends and replaced otherwise."""
-
-    schema: T.StructType
-    parts: list[str] = field(default_factory=list)
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(self.schema).parquet(*self.parts) if self.parts else spark.createDataFrame([], self.schema)
+#: Kinds whose steps read stored inputs, and kinds that are compared with what they were.
+READS_INPUTS = ("relational_state", "semantic_binary_state", "over_window", "process_window", "deterministic", "semantic_state")
+COMPARED = ("deterministic", "algebraic_state", "semantic_state", "process_window")
+MOST_PARTS = 16  # of a state; more become one
 
 
 @dataclass
 class Change:
     inserted: DataFrame
     retracted: DataFrame | None = None
+    empty: bool = False  # known to hold nothing
 
 
 def bag_difference(new: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,6 +76,16 @@ def bag_difference(new: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame
     return new.exceptAll(old), old.exceptAll(new)
 
 
+def _among(df: DataFrame, keys: tuple[str, ...], touched: DataFrame | None) -> DataFrame:
+    """Rows whose keys are in ``touched`` (``__k0``, ...; nulls are equal); all rows without it."""
+    if touched is None:
+        return df
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & df[f"`{k}`"].eqNullSafe(touched[f"__k{i}"])
+    return df.join(touched, same, "left_semi")
+
+
 class Dataflow:
     """``apply`` appends a batch and brings all views up to date; ``view`` reads one."""
 
@@ -93,10 +104,40 @@ class Dataflow:
         if source.node not in self.nodes:
             self.nodes.insert(0, source.node)
         self.sinks = dict(sinks or {})
+        for names, sink in self.sinks.items():
+            self._bound(names, sink)
         self.rows = self.commit = 0
         self.state: dict[str, State] = {}
         self.hidden: dict[str, State] = {}
-        self.replies: dict[str, DataFrame] = {}
+        self.replies: dict[str, State] = {}
+        self.schemas: dict[str, T.StructType] = {}
+        self.batches: dict[str, int] = {}  # last batch of each stream
+        self.pinned: set[str] = set()  # tables that snapshots name
+        self.dead: list[tuple[int, str]] = []
+        self.kept = self._kept()
+
+    def _bound(self, names, sink) -> None:
+        """A sink with a descriptor takes a view with exactly its columns."""
+        for name in (names,) if isinstance(names, str) else names:
+            if name not in self.views:
+                raise ValueError(f"no view {name}")
+        descriptor = getattr(sink, "descriptor", None)
+        if descriptor is not None and tuple(descriptor.schema.fieldNames()) != self.views[names].columns:
+            raise ValueError(f"view {names} has columns {self.views[names].columns}, the sink {tuple(descriptor.schema.fieldNames())}")
+
+    def _kept(self) -> set[str]:
+        """Nodes whose frames are stored."""
+        retracting: set[str] = set()
+        kept = {self.source.node.fingerprint, *(n.fingerprint for n in self.views.values())}
+        for node in self.nodes:  # inputs first
+            kind, from_below = kind_of(node), any(n.fingerprint in retracting for n in node.inputs)
+            if kind in ("deterministic", "algebraic_state", "semantic_state") or from_below:
+                retracting.add(node.fingerprint)
+            if kind in COMPARED or (from_below and kind not in ("row_local", "bag")):
+                kept.add(node.fingerprint)
+            if kind in READS_INPUTS:
+                kept |= {n.fingerprint for n in node.inputs}
+        return kept
 
     @property
     def fingerprint(self) -> str:
@@ -108,60 +149,102 @@ class Dataflow:
         return Context(self.spark, bound or {}, self.model, options=self.options)
 
     # Ingest
-    def _arrived(self, batch: DataFrame) -> DataFrame:
-        """Dense positions in order of arrival: per-partition counts, then offsets; stored once."""
+    def _arrived(self, batch: DataFrame) -> tuple[DataFrame, int]:
+        """The batch with dense positions in order of arrival. It is stored once as it comes, so that partition counts
+        and positions are of the same rows."""
         if tuple(batch.columns) != self.source.declared:
             raise ValueError(f"the batch's columns must be {self.source.declared}")
         clean = batch.select(*(F.when(~F.isnan(c(f.name)), c(f.name)).alias(f.name) if isinstance(f.dataType, T.FloatType | T.DoubleType) else c(f.name) for f in batch.schema.fields))
-        marked = stored(clean.withColumn("__mid", F.monotonically_increasing_id()), "batch")
+        own = [F.uuid().alias(SYSTEM_COLUMNS[0]), F.current_timestamp().alias(SYSTEM_COLUMNS[1])] if self.source.system_columns else []
+        marked = stored(clean.select("*", *own, F.monotonically_increasing_id().alias("__mid")), "batch")
         counts = marked.groupBy(F.shiftright("__mid", 33).alias("__part")).agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()  # a row for each partition
-        offsets, at = {}, self.rows
+        offsets, at = [], self.rows
         for r in counts:
-            offsets[r["__part"]], at = at, at + r["n"]
-        if not offsets:
-            return marked.select(*map(c, batch.columns), *self._system(F.lit(0)), F.array(F.lit(0).cast("long")).alias(OCC)).limit(0)
-        starts = F.create_map(*(F.lit(x).cast("long") for kv in offsets.items() for x in kv))
-        seq = starts[F.shiftright("__mid", 33)] + F.col("__mid").bitwiseAND((1 << 33) - 1)
-        self._coming = at
-        return stored(marked.select(*map(c, batch.columns), *self._system(seq), F.array(seq).alias(OCC)), "log")
-
-    def _system(self, seq) -> list:
-        if not self.source.system_columns:
-            return []
-        return [F.uuid().alias(SYSTEM_COLUMNS[0]), F.current_timestamp().alias(SYSTEM_COLUMNS[1]), seq.cast("long").alias(SYSTEM_COLUMNS[2])]
+            offsets += [r["__part"], at]
+            at += r["n"]
+        starts = F.create_map(*(F.lit(x).cast("long") for x in offsets or (0, 0)))
+        seq = (starts[F.shiftright("__mid", 33)] + F.col("__mid").bitwiseAND((1 << 33) - 1)).cast("long")
+        system = [*map(c, SYSTEM_COLUMNS[:2]), seq.alias(SYSTEM_COLUMNS[2])] if self.source.system_columns else []
+        return marked.select(*map(c, batch.columns), *system, F.array(seq).alias(OCC)), at - self.rows
 
     # Steps
     def apply(self, batch: DataFrame) -> None:
-        self._coming = self.rows
+        with recorded() as made:
+            self._apply(batch, made)
+
+    def _apply(self, batch: DataFrame, made: list[str]) -> None:
         states, hidden, changes = dict(self.state), dict(self.hidden), {}
         for node in self.nodes:
-            change = Change(self._arrived(batch)) if node.op == "log" else self._step(node, changes, states, hidden)
-            changes[node.fingerprint] = self._keep(node, change, states)
-        for name, sink in self.sinks.items():
-            change = changes[self.views[name].fingerprint]
-            node = self.views[name]
-            gone = change.retracted.select(*map(c, node.columns)) if change.retracted is not None else None
-            sink.write(change.inserted.select(*map(c, node.columns)), gone, self.commit + 1, self.fingerprint)
+            key = node.fingerprint
+            below = [changes[n.fingerprint] for n in node.inputs]
+            if node.op == "log":
+                frame, n = self._arrived(batch)
+                change = Change(frame, None, not n)
+            elif all(g.empty for g in below) and key in self.schemas and (key not in self.kept or key in states):
+                change = Change(self.spark.createDataFrame([], self.schemas[key]), None, True)
+            else:
+                change = self._step(node, changes, states, hidden)
+                change.empty = change.empty or (key not in self.kept and all(g.empty for g in below))
+            self.schemas.setdefault(key, change.inserted.schema)
+            changes[key] = self._keep(node, change, states) if key in self.kept else change
+        self._publish(changes)
+        before = {p for group in (self.state, self.hidden) for s in group.values() for p in s.parts}
+        after = {p for group in (states, hidden, self.replies) for s in group.values() for p in s.parts}
         self.state, self.hidden = states, hidden
-        self.rows, self.commit = self._coming, self.commit + 1
+        self.rows, self.commit = self.rows + n, self.commit + 1
+        self.dead += [(self.commit, p) for p in (before | set(made)) - after]
+        gone = {p for at, p in self.dead if at < self.commit - 1} - self.pinned
+        delete(self.spark, gone)
+        self.dead = [x for x in self.dead if x[1] not in gone]
+
+    def _publish(self, changes: dict[str, Change]) -> None:
+        """All sinks or none."""
+        staged = []
+        for names, sink in self.sinks.items():
+            parts = []
+            for name in (names,) if isinstance(names, str) else names:
+                node, change = self.views[name], changes[self.views[name].fingerprint]
+                gone = change.retracted.select(*map(c, node.columns)) if change.retracted is not None else None
+                parts.append((change.inserted.select(*map(c, node.columns)), gone))
+            inserted, retracted = (parts[0] if isinstance(names, str) else ([p[i] for p in parts] for i in (0, 1)))
+            staged.append(sink.stage(inserted, retracted, self.commit + 1, self.fingerprint))
+        done = []
+        try:
+            for s in staged:
+                if s is not None:
+                    s.publish()
+                    done.append(s)
+        except BaseException:
+            for s in reversed(done):
+                s.undo()
+            raise
 
     def _keep(self, node: Node, change: Change, states: dict[str, State]) -> Change:
-        """Store a node's new state; an insert-only change is appended."""
+        """Store a node's new state; an insert-only change is appended, an empty one leaves it."""
         old = states.get(node.fingerprint)
+        if change.empty and old is not None:
+            return change
         path, inserted = store(change.inserted, "inserted")
+        none = change.empty or not inserted.take(1)
         if change.retracted is None:
-            parts = (old.parts if old else []) + [path]
-            states[node.fingerprint] = State(inserted.schema, parts)
-            if len(parts) > 16:  # many small parts become one
-                path, whole = store(states[node.fingerprint].frame(self.spark).coalesce(8), "compacted")
-                states[node.fingerprint] = State(whole.schema, [path])
-            return Change(inserted)
+            state = old if old and none else (old or State(inserted.schema)).plus(path)
+            if len(state.parts) > MOST_PARTS:
+                path, whole = store(state.frame(self.spark).coalesce(8), "compacted")
+                state = State(whole.schema, [path])
+            states[node.fingerprint] = state
+            return Change(inserted, None, none)
         retracted = stored(change.retracted, "retracted")
+        lost = bool(retracted.take(1))
+        if none and not lost:
+            return Change(inserted, None, True)
+        if not lost:
+            states[node.fingerprint] = (old or State(inserted.schema)).plus(path)
+            return Change(inserted)
         before = old.frame(self.spark) if old else inserted.limit(0)
-        kept, new = before.join(retracted.select(OCC).distinct(), OCC, "left_anti").select(*inserted.columns), inserted
-        path, whole = store(kept.unionByName(new), "state")
+        kept = before.join(retracted.select(OCC).distinct(), OCC, "left_anti").select(*inserted.columns)
+        path, whole = store(kept.unionByName(inserted), "state")
         states[node.fingerprint] = State(whole.schema, [path])
-        return Change(inserted, retracted if retracted.take(1) else None)
+        return Change(inserted, retracted)
 
     def _step(self, node: Node, changes: dict[str, Change], states: dict[str, State], hidden: dict[str, State]) -> Change:
         kind = kind_of(node)
@@ -209,49 +292,68 @@ class Dataflow:
         return Change(inserted, retracted)
 
     def _algebraic(self, node: Node, change: Change, old: State | None, hidden: dict[str, State]) -> Change:
-        """Signed partial sums by key; only touched keys are finished anew."""
+        """Signed partial sums by key, one small table a step; only touched keys are read, finished and compared."""
         keys, specs = node.params["keys"], node.params["specs"]
         df = change.inserted.withColumn("__sign", F.lit(1).cast("long"))
         if change.retracted is not None:
             df = df.unionByName(change.retracted.withColumn("__sign", F.lit(-1).cast("long")))
-        cols = [F.sum("__sign").alias("__rows"), F.min(OCC).alias(OCC)]
+        cols, kinds = [F.sum("__sign").alias("__rows"), F.min(OCC).alias(OCC)], {}
         for i, s in enumerate(specs):
             if s.kind != "count":
-                if not isinstance(df.schema[s.columns[0]].dataType, T.NumericType):
+                kinds[i] = df.schema[s.columns[0]].dataType
+                if not isinstance(kinds[i], T.NumericType):
                     raise TypeError(f"{s.columns[0]} is not numeric")
-                kind = "long" if isinstance(df.schema[s.columns[0]].dataType, T.IntegralType) else "double"
-                cols += [F.sum(c(s.columns[0]).cast(kind) * c("__sign")).alias(f"__sum{i}"), F.sum(F.when(c(s.columns[0]).isNotNull(), c("__sign"))).alias(f"__n{i}")]
-        delta = df.groupBy(*map(c, keys)).agg(*cols)
-        before = hidden.get(node.fingerprint)
-        merged = delta.unionByName(before.frame(self.spark)) if before else delta
-        names = [x for x in delta.columns if x not in (*keys, OCC)]
-        merged = merged.groupBy(*map(c, keys)).agg(*(F.sum(x).alias(x) for x in names), F.min(OCC).alias(OCC))
-        path, state = store(merged.filter(F.coalesce("__rows", F.lit(0)) > 0) if keys else merged, "partial")
-        hidden[node.fingerprint] = State(state.schema, [path])
+                v = c(s.columns[0]).cast(self._summed(kinds[i]))
+                cols += [F.sum(F.when(c("__sign") > 0, v).otherwise(-v)).cast(self._summed(kinds[i])).alias(f"__sum{i}"), F.sum(F.when(v.isNotNull(), c("__sign"))).alias(f"__n{i}")]
+        path, delta = store(df.groupBy(*map(c, keys)).agg(*cols), "partial")
+        whole = hidden.get(node.fingerprint, State(delta.schema)).plus(path)
+        narrow = old is not None and set(keys) <= set(node.columns)
+        touched = delta.select(*(c(k).alias(f"__k{i}") for i, k in enumerate(keys))).distinct() if narrow and keys else None
+
+        def summed(parts: DataFrame) -> DataFrame:
+            of = {x.name: x.dataType for x in delta.schema.fields}
+            sums = [F.sum(x).cast(of[x]).alias(x) for x in delta.columns if x not in (*keys, OCC)]
+            return parts.groupBy(*map(c, keys)).agg(*sums, F.min(OCC).alias(OCC))
+
+        if len(whole.parts) > MOST_PARTS:
+            path, state = store(summed(whole.frame(self.spark)).filter(F.lit(not keys) | (F.coalesce("__rows", F.lit(0)) > 0)).select(*delta.columns), "partial")
+            whole = State(state.schema, [path])
+        hidden[node.fingerprint] = whole
+        state = summed(_among(whole.frame(self.spark), keys, touched))
+        if keys:
+            state = state.filter(F.coalesce("__rows", F.lit(0)) > 0)
         out = [c(k) for k in keys]
         for i, s in enumerate(specs):
             if s.kind == "count":
                 out.append(F.coalesce("__rows", F.lit(0)).cast("long").alias(s.output))
-            else:
-                total = F.when(c(f"__n{i}") > 0, c(f"__sum{i}"))
-                out.append((total if s.kind == "sum" else total / c(f"__n{i}")).alias(s.output))
+                continue
+            total = F.when(c(f"__n{i}") > 0, c(f"__sum{i}"))
+            if s.kind == "avg":
+                total = total / c(f"__n{i}")
+                if isinstance(kinds[i], T.DecimalType):  # the type that an average has at once
+                    total = total.cast(T.DecimalType(min(38, kinds[i].precision + 4), min(38, kinds[i].scale + 4)))
+            out.append(total.alias(s.output))
         full = state.select(*out, F.coalesce(OCC, F.array(F.lit(0).cast("long"))).alias(OCC)).select(*map(c, node.columns), OCC)
-        return Change(full) if old is None else self._compared(full, old)
+        if old is None:
+            return Change(full)
+        full = stored(full, "full")
+        inserted, retracted = bag_difference(full, _among(old.frame(self.spark), keys, touched).select(*full.columns))
+        return Change(inserted, retracted)
+
+    @staticmethod
+    def _summed(kind: T.DataType) -> T.DataType:
+        """The type that a sum of ``kind`` has."""
+        if isinstance(kind, T.DecimalType):
+            return T.DecimalType(min(38, kind.precision + 10), kind.scale)
+        return T.LongType() if isinstance(kind, T.IntegralType) else T.DoubleType()
 
     def _touched_groups(self, node: Node, change: Change, old: State, states: dict[str, State]) -> Change:
         """A semantic aggregate by exact keys folds again only the groups that the change touches."""
         keys = node.params["keys"]
         touched = change.inserted if change.retracted is None else change.inserted.unionByName(change.retracted)
         touched = stored(touched.select(*(c(k).alias(f"__k{i}") for i, k in enumerate(keys))).distinct(), "touched")
-
-        def of(df: DataFrame) -> DataFrame:
-            same = F.lit(True)
-            for i, k in enumerate(keys):
-                same = same & df[f"`{k}`"].eqNullSafe(touched[f"__k{i}"])
-            return df.join(touched, same, "left_semi")
-
-        rows = of(states[node.inputs[0].fingerprint].frame(self.spark))
-        return Change(apply_op(node, self._context(), [rows]), of(old.frame(self.spark)))
+        rows = _among(states[node.inputs[0].fingerprint].frame(self.spark), keys, touched)
+        return Change(apply_op(node, self._context(), [rows]), _among(old.frame(self.spark), keys, touched))
 
     def _over(self, node: Node, change: Change) -> Change:
         """New rows with the tail of old ones that their frames reach; emitted rows are the new ones."""
@@ -283,40 +385,59 @@ class Dataflow:
         return lower(relation.node, ctx).select(*map(c, relation.columns))
 
     # Snapshots
-    def snapshot(self) -> str:
-        """Writes a manifest over the stored tables; returns its path. The name is unique: nothing is overwritten."""
-        def states(of):
-            return {k: {"schema": s.schema.json(), "parts": s.parts} for k, s in of.items()}
+    def _said(self) -> dict:
+        groups = {"state": self.state, "hidden": self.hidden, "replies": self.replies}
+        said = {k: {x: s.to_json() for x, s in v.items()} for k, v in groups.items()}
+        return said | {"version": 2, "plan": self.fingerprint, "model": self._model_mark(), "rows": self.rows, "commit": self.commit, "batches": self.batches, "schemas": {k: v.json() for k, v in self.schemas.items()}}
+
+    def _model_mark(self) -> str:
+        """Of the model's class and, if it has one, its ``fingerprint``: replies are only reused under the same one."""
+        return f"{type(self.model).__qualname__}:{getattr(self.model, 'fingerprint', '')}"
 
-        said = {"version": 1, "plan": self.fingerprint, "rows": self.rows, "commit": self.commit, "state": states(self.state), "hidden": states(self.hidden)}
-        path = f"{shared_dir(self.spark)}/snapshot-{self.commit}-{self.fingerprint[:12]}.json"
+    def _write(self, path: str) -> None:
+        """In place of what was there; readers see the old manifest or the new one."""
         fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
         with fs.open_output_stream(at + ".new") as f:
-            f.write(json.dumps(said).encode())
+            f.write(json.dumps(self._said()).encode())
         fs.move(at + ".new", at)
+        self.pinned |= {p for group in (self.state, self.hidden, self.replies) for s in group.values() for p in s.parts}
+
+    def snapshot(self) -> str:
+        """Writes a manifest over the stored tables, replies among them; returns its path, another one each time. The
+        tables it names are not deleted by later steps."""
+        path = f"{shared_dir(self.spark)}/snapshot-{self.commit}-{self.fingerprint[:12]}-{uuid.uuid4().hex[:8]}.json"
+        self._write(path)
         return path
 
     def restore(self, path: str) -> None:
         fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
         with fs.open_input_stream(at) as f:
             said = json.loads(f.read())
-        if said["version"] != 1 or said["plan"] != self.fingerprint:
+        if said["version"] != 2 or said["plan"] != self.fingerprint:
             raise ValueError("the snapshot is of another plan")
-
-        def states(of):
-            return {k: State(T.StructType.fromJson(json.loads(v["schema"])), v["parts"]) for k, v in of.items()}
-
-        self.state, self.hidden = states(said["state"]), states(said["hidden"])
-        self.rows, self.commit = said["rows"], said["commit"]
+        self.state, self.hidden, self.replies = ({k: State.from_json(v) for k, v in said[x].items()} for x in ("state", "hidden", "replies"))
+        if said["model"] != self._model_mark():
+            self.replies = {}
+        self.schemas = {k: T.StructType.fromJson(json.loads(v)) for k, v in said["schemas"].items()}
+        self.rows, self.commit, self.batches = said["rows"], said["commit"], dict(said["batches"])
+        self.pinned |= {p for group in (self.state, self.hidden, self.replies) for s in group.values() for p in s.parts}
 
     def attach(self, stream: DataFrame, checkpoint: str, **trigger):
-        """Feed from a Structured Streaming source; a batch that was applied before is not applied again."""
-        done = {"batch": -1}
+        """Feed from a Structured Streaming source. A batch's number is written with the state that it led to, beside
+        the stream's checkpoint: after a crash between the step and the stream's own commit, a new Dataflow that is
+        attached goes on from there, and the batch that comes again is not applied again."""
+        kept = f"{checkpoint.rstrip('/')}-flow.json"
+        fs, at = pafs.FileSystem.from_uri(kept if "://" in kept else f"file://{kept.removeprefix('file:')}")
+        if not self.commit and fs.get_file_info(at).type != pafs.FileType.NotFound:
+            self.restore(kept)
 
         def each(batch: DataFrame, batch_id: int) -> None:
-            if batch_id > done["batch"]:
+            if batch_id > self.batches.get(checkpoint, -1):
+                last = set(self.pinned)
                 self.apply(batch)
-                done["batch"] = batch_id
+                self.batches[checkpoint] = batch_id
+                self._write(kept)
+                self.pinned -= last - {p for g in (self.state, self.hidden, self.replies) for s in g.values() for p in s.parts}
 
         return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
