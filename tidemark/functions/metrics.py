@@ -47,23 +47,14 @@ def token_f1(answer: Column, gold: Column, stem: Callable[[Column], Column] = la
     return F.when(same > 0, 2.0 * same / (F.size(a) + F.size(b))).otherwise(F.lit(0.0))
 
 
-def stemmed(tokens: Column) -> Column:
-    """Porter stems of an array of tokens."""
-
-    @F.pandas_udf("array<string>")
-    def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda xs: [stem(x) for x in xs])
-
-    return run(tokens)
+def porter_f1(answer: Column, gold: Column) -> Column:
+    """As ``token_f1`` over Porter stems; two empty sides agree."""
 
+    @F.pandas_udf("double")
+    def run(answers: pd.Series, golds: pd.Series) -> pd.Series:
+        return pd.Series([_f1([stem(t) for t in a], [stem(t) for t in g]) for a, g in zip(answers, golds, strict=True)], dtype=float)
 
-def porter_f1(answer: Column, gold: Column) -> Column:
-    """As ``token_f1`` over stems; two empty sides agree."""
-    a, b = stemmed(normal_tokens(answer)), stemmed(normal_tokens(gold))
-    same = common_tokens(a, b)
-    none = (F.size(a) == 0) | (F.size(b) == 0)
-    both = ((F.size(a) == 0) & (F.size(b) == 0)).cast("double")
-    return F.when(none, both).when(same > 0, 2.0 * same / (F.size(a) + F.size(b))).otherwise(F.lit(0.0))
+    return run(normal_tokens(answer), normal_tokens(gold))
 
 
 def multi_answer_f1(answer: Column, gold: Column) -> Column:
@@ -71,7 +62,7 @@ def multi_answer_f1(answer: Column, gold: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(answers: pd.Series, golds: pd.Series) -> pd.Series:
-        return pd.Series([_best_mean(a or [], g or []) for a, g in zip(answers, golds, strict=True)], dtype=float)
+        return pd.Series([_best_mean(a, g) for a, g in zip(answers, golds, strict=True)], dtype=float)
 
     return run(_token_lists(answer), _token_lists(gold))
 
@@ -81,8 +72,8 @@ def _token_lists(text: Column) -> Column:
 
 
 def _f1(a: list[str], b: list[str]) -> float:
-    if not a or not b:
-        return float(a == b)
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
     same = (Counter(a) & Counter(b)).total()
     return 2 * same / (len(a) + len(b))
 

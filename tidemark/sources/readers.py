@@ -16,10 +16,10 @@ SAMPLE = "sample_id string, conversation map<string,string>, qa array<struct<que
 TURNS = "array<struct<speaker:string,dia_id:string,text:string>>"
 
 
-def read_sessions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_sessions(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(events, questions) of samples whose conversation has ``session_n`` turn lists and ``session_n_date_time``.
-    Turns without text are dropped."""
-    raw = spark.read.schema(SAMPLE).option("multiLine", True).json(path)
+    Turns without text are dropped. ``lines``: a sample in each line, which can be read in parts."""
+    raw = spark.read.schema(SAMPLE).option("multiLine", not lines).json(path)
     parts = raw.select("sample_id", "conversation", F.explode("conversation").alias("session", "said")).filter(F.col("session").rlike(r"^session_\d+$"))
     turns = parts.select("sample_id", "session", F.col("conversation")[F.concat("session", F.lit("_date_time"))].alias("timestamp"), F.posexplode(F.from_json("said", TURNS)).alias("n", "turn"))
     events = turns.filter(F.trim(F.coalesce("turn.text", F.lit(""))) != "").select("sample_id", F.coalesce("turn.dia_id", F.concat_ws(":", "session", "n")).alias("event_id"), F.col("turn.speaker").alias("speaker"), F.col("turn.text").alias("text"), F.col("session").alias("session_id"), "timestamp", F.lit("{}").alias("metadata"))
@@ -28,10 +28,10 @@ def read_sessions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return events, questions
 
 
-def read_haystacks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_haystacks(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(events, questions) of cases with ``haystack_sessions`` (lists of turns) and one question each."""
     schema = "question_id string, question string, answer string, question_type string, haystack_dates array<string>, haystack_session_ids array<string>, haystack_sessions array<array<struct<role:string,content:string,has_answer:boolean>>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = spark.read.schema(schema).option("multiLine", not lines).json(path)
     sessions = raw.select("question_id", "haystack_dates", "haystack_session_ids", F.posexplode("haystack_sessions").alias("s", "turns"))
     turns = sessions.select("question_id", F.get("haystack_session_ids", F.col("s")).alias("session_id"), F.get("haystack_dates", F.col("s")).alias("timestamp"), F.posexplode("turns").alias("n", "t"))
     events = turns.filter(F.trim(F.coalesce("t.content", F.lit(""))) != "").select(F.col("question_id").alias("sample_id"), F.concat_ws(":", "session_id", "n").alias("event_id"), F.col("t.role").alias("speaker"), F.col("t.content").alias("text"), "session_id", "timestamp", F.lit("{}").alias("metadata"), F.coalesce("t.has_answer", F.lit(False)).alias("__evidence"))

@@ -273,7 +273,7 @@ def read_session_turns(spark, sf_dir):
     sample = F.struct(F.col("l.t").alias("session_1"), F.lit("May 1").alias("session_1_date_time"))
     place = _place(spark, "samples")
     turns.select(F.col("conv_id").cast("string").alias("sample_id"), sample.alias("conversation"), F.array(F.struct(F.lit("q").alias("question"), F.lit("a").alias("answer"))).alias("qa")).write.json(place)
-    events, _ = readers.read_sessions(spark, place)
+    events, _ = readers.read_sessions(spark, place, lines=True)
     return events.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -403,7 +403,7 @@ def _graph(spark, sf_dir, communities: bool = False, *views: str) -> tuple[polic
 
 
 FIRST_TWO = """SELECT *, list_filter(list_slice(string_split(text, ' '), 1, 2), lambda x: x <> '') AS w,
-lpad((conv_id * 1000 + turn)::VARCHAR, 12, '0') AS at, row_number() OVER (ORDER BY conv_id, turn) AS seq FROM conversations"""
+lpad((conv_id * 1000 + turn)::VARCHAR, 12, '0') AS stamp, row_number() OVER (ORDER BY conv_id, turn) AS seq FROM conversations"""
 
 
 @registered(f"SELECT min(name) AS name, count(*) AS mentions FROM (SELECT DISTINCT seq, unnest(w) AS name FROM ({FIRST_TWO})) GROUP BY lower(name)")
@@ -413,8 +413,8 @@ def policy_graph_entities(spark, sf_dir):
     return run.view("entities").select("name", F.size("mentions").cast("long").alias("mentions"))
 
 
-@registered(f"""WITH f AS (SELECT seq, at, w[1] AS a, w[2] AS b FROM ({FIRST_TWO}) WHERE len(w) = 2 AND w[1] <> w[2])
-SELECT a || ' ' || b AS fact, at AS reference_time, (SELECT min(g.at) FROM f g WHERE lower(g.a) = lower(f.a) AND lower(g.b) = lower(f.b) AND g.seq > f.seq) AS invalid_at FROM f""")
+@registered(f"""WITH f AS (SELECT seq, stamp, w[1] AS a, w[2] AS b FROM ({FIRST_TWO}) WHERE len(w) = 2 AND w[1] <> w[2])
+SELECT a || ' ' || b AS fact, stamp AS reference_time, (SELECT min(g.stamp) FROM f g WHERE lower(g.a) = lower(f.a) AND lower(g.b) = lower(f.b) AND g.seq > f.seq) AS invalid_at FROM f""")
 def policy_graph_facts(spark, sf_dir):
     """A fact ends when a later one of the same entities says so."""
     _, run = _graph(spark, sf_dir, False, "facts")
