@@ -1,17 +1,19 @@
 """Token files, counts, packing and piece dropout against the libraries."""
 
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
-from tidemark.llm import packing
+from tidemark.llm import packing, piece_dropout
 from tidemark.llm.packing import pack
 from tidemark.llm.piece_dropout import DropoutEncoder, encode_pieces
 from tidemark.llm.piece_encoder import PieceEncoder
 from tidemark.llm.queries import tokenizer_path
-from tidemark.llm.token_counts import token_counts, whole_tokens
+from tidemark.llm.token_counts import _Counter, token_counts, whole_tokens
 from tidemark.llm.token_files import read_shard, sequence, token_files, write_token_files
 
 TEXTS = [None, "", "a", "Same text.\nTwo lines, really.", "Same text.\nTwo lines, really.", "don't we'll 'tis x.'s", "é naïve  café x", "<|endoftext|> in a text", "a\x1cb \r\n\t c", "Σας ΑΣ.Β", "12 345abc !!! ??", "_a b_", "x" * 5000, "word and " * 3000]
@@ -113,6 +115,44 @@ def test_dropout_is_seeded_and_lossless(spark):
     assert encode_pieces(frame(spark, []), model).count() == 0
 
 
+def agenda(enc, text):
+    """Every occurrence on its own: pop the best adjacent pair that is not skipped, skip it or merge it."""
+    mask = (1 << 64) - 1
+    out, place, key = [], 0, xxhash.xxh64_intdigest(text.encode(), enc.seed)
+    for chunk in enc.cuts.findall("▁" + text.replace(" ", "▁")):
+        place += 1
+        draw = piece_dropout._mixed((place * piece_dropout.GOLDEN + key) & mask)
+        wait = enc._gap(draw)
+        symbols, fresh, skipped = [(c, i) for i, c in enumerate(chunk)], len(chunk), set()
+        while True:
+            pairs = [(enc.rank[a[0] + b[0]], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if a[0] + b[0] in enc.rank and (a[1], b[1]) not in skipped]
+            if not pairs:
+                break
+            i = min(pairs)[1]
+            if wait:
+                wait -= 1
+                symbols[i : i + 2] = [(symbols[i][0] + symbols[i + 1][0], fresh)]
+                fresh += 1
+            else:
+                skipped.add((symbols[i][1], symbols[i + 1][1]))
+                draw = piece_dropout._mixed((draw + piece_dropout.GOLDEN) & mask)
+                wait = enc._gap(draw)
+        for p, _ in symbols:
+            out += [enc.ids[p]] if p in enc.ids else [enc.byte[b] for b in p.encode()]
+    return out
+
+
+@pytest.mark.parametrize("alpha", [0.1, 0.3, 0.5])
+def test_dropout_is_that_of_the_agenda(alpha):
+    enc = DropoutEncoder(tokenizer_path("piece_bpe_32k.model"), seed=5, alpha=alpha)
+    rng = random.Random(1)
+    words = ["understanding", "the", "international", "co-operation's", "naïve", "x" * 60, "日本語", "a", "tion", "12,345.67"]
+    for _ in range(2):  # the second time from the cache
+        for _ in range(60):
+            text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 30)))
+            assert enc.encode(text).tolist() == agenda(enc, text)
+
+
 def test_dropout_varies_by_occurrence():
     model = tokenizer_path("piece_bpe_32k.model")
     word, n = "understanding", 2000
@@ -127,7 +167,7 @@ def test_dropout_varies_by_occurrence():
         return Counter(map(tuple, words))
 
     chunk = "▁" + word
-    passed = plain.chunk(chunk, iter([1 << 30]))[1]
+    passed = plain.chunk(chunk, (1 << 30,), 0)[1]
     within = segmentations(enc.encode(" ".join([word] * n)))
     across = segmentations(np.concatenate([enc.encode(f"{word} {i}") for i in range(300)]))
     assert len(within) > 10 and sum(within.values()) == n
@@ -135,3 +175,25 @@ def test_dropout_varies_by_occurrence():
     assert within[tuple(plain.encode(word).tolist())] > 0.9**passed * n * 0.8
     long = "understanding" * 40
     assert enc.decode(enc.encode(long)) == long and enc.encode(long).tolist() != plain.encode(long).tolist()
+
+
+def test_null_ids_are_rows_like_others(spark):
+    rows = [(None, "some text", "s", "q", 1), (None, "some text", "s", "q", 1), (None, None, "s", "q", 1), (3, "some text", "s", "q", 1)]
+    df, path = frame(spark, rows), tokenizer_path("byte_bpe_50k.json")
+    n = len(_ids("byte_bpe_50k.json", "some text"))
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in token_counts(df, path).collect()) == {(None, n): 2, (None, 0): 1, (3, n): 1}
+    assert Counter(r["doc_id"] for r in encode_pieces(df, tokenizer_path("piece_bpe_32k.model")).collect()) == {None: 3, 3: 1}
+    pieces = pack(df, tokenizer_path("word_bpe_49k.json")).collect()
+    assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == {None: 3, 3: 1}
+    assert Counter(r["doc_id"] for r in token_files(df, path).collect()) == {None: 3, 3: 1}
+
+
+def test_texts_above_a_million_letters():
+    path = tokenizer_path("byte_bpe_50k.json")
+    text = "word and, then 42 more\n" * 50_000
+    enc = PieceEncoder(path)
+    assert len(text) > 1 << 20 and enc.encode(text) == enc.whole(text)
+    counter = _Counter(path, whole_tokens(path))
+    assert counter.count(text) == len(enc.whole(text)) // 4
+    dropping = DropoutEncoder(tokenizer_path("piece_bpe_32k.model"), seed=1)
+    assert dropping.decode(dropping.encode(text)) == text

@@ -101,7 +101,8 @@ def _rows(sequences: list[list], first_id: int, keep_ids: bool, part: int | None
 def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, seq_len: int = 4096, open_windows: int = 16, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if kept).
 
-    Null and empty texts are the end id alone; repeated rows are packed each; an empty table gives no rows.
+    Null and empty texts are the end id alone; repeated rows are packed each, rows with a null doc_id like others; an
+    empty table gives no rows.
     """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,9 +11,11 @@ of the library. Every segmentation decodes to the text itself.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -46,8 +48,13 @@ def _mixed(x):
     return x ^ (x >> 31 if whole else x >> np.uint64(31))
 
 
+#: Texts that show whether a model normalises, trims or joins spaces, and falls back to bytes.
+PROBES = ("a", "  a  b ", "Ａ①ﬁ e\u0301", "naïve\tTab\n\nline", "\U0001f600日本語")
+
+#: What no node has below it; never written to.
+NONE: dict = {}
 #: A node is [ids as little-endian uint32 bytes, candidates popped, {next gap: node}]; this one stands for an unknown chunk.
-FRESH: list = [b"", NEVER + 1, {}]
+FRESH: list = [b"", 1 << 40, NONE]
 
 
 class DropoutEncoder:
@@ -73,14 +80,63 @@ class DropoutEncoder:
         self.times = 1 / math.log1p(-alpha) if 0 < alpha < 1 else 0.0
         self.known: dict[str, list] = {}
         self.most, self.nodes = most, 0
+        self._check(library)
+
+    def _check(self, library) -> None:
+        """Models that rewrite texts, add no space before them or have no byte pieces would get other ids: an error."""
+        if len(self.byte) != 256:
+            raise ValueError("the model has no piece for each byte")
+        wanted, self.alpha = self.alpha, 0.0
+        for probe in PROBES:
+            if self.encode(probe).tolist() != library.encode(probe):
+                raise ValueError(f"the model does not take texts as they are: {probe!r}")
+        self.alpha = wanted
+        self.known.clear()
+        self.nodes = 0
+
+    def chunk(self, text: str, gaps: tuple[int, ...], draw: int) -> tuple[bytes, int]:
+        """Ids of one chunk, and the candidates popped. ``gaps`` has the numbers that pass before each skip, ``draw``
+        gives those after them. The agenda of a short chunk is the list of its neighbours' ranks, whose least is
+        popped, the leftmost of equal ones."""
+        if len(text) > KEPT:
+            symbols, popped = self._long(text, gaps, draw)
+        else:
+            rank, popped, used, wait = self.rank.get, 0, 1, gaps[0]
+            symbols = list(text)
+            ranks = [rank(text[i : i + 2], NEVER) for i in range(len(text) - 1)]
+            while ranks and (r := min(ranks)) != NEVER:
+                i = ranks.index(r)
+                popped += 1
+                if not wait:
+                    ranks[i] = NEVER  # until one of its symbols changes
+                    if used < len(gaps):
+                        wait = gaps[used]
+                        used += 1
+                    else:
+                        draw = _mixed(draw + GOLDEN & MASK)
+                        wait = self._gap(draw)
+                    continue
+                wait -= 1
+                del ranks[i]
+                symbols[i] = joined = symbols[i] + symbols.pop(i + 1)
+                if i < len(ranks):
+                    ranks[i] = rank(joined + symbols[i + 1], NEVER)
+                if i:
+                    ranks[i - 1] = rank(symbols[i - 1] + joined, NEVER)
+        ids = self.ids
+        try:
+            return array("I", [ids[p] for p in symbols]).tobytes(), popped
+        except KeyError:
+            found = ([ids[p]] if p in ids else [self.byte.get(b, self.unknown) for b in p.encode()] for p in symbols)
+            return array("I", chain.from_iterable(found)).tobytes(), popped
 
-    def chunk(self, text: str, gaps: Iterator[int]) -> tuple[list[int], int]:
-        """Ids of one chunk, and the candidates popped; ``gaps`` has the number that pass before each skip. A
-        linked list of symbols, and an agenda of candidates packed as (rank, left, right)."""
-        n = len(text)
+    def _long(self, text: str, gaps: tuple[int, ...], draw: int) -> tuple[list[str], int]:
+        """Symbols of a long chunk, and the candidates popped: the same agenda as a heap of (rank, left, right), each
+        packed in one number, over a linked list."""
+        n, used, wait = len(text), 1, gaps[0]
         symbols, after, before = list(text), list(range(1, n + 1)), list(range(-1, n - 1))
-        width = n.bit_length()
-        low, rank, popped, wait = (1 << width) - 1, self.rank.get, 0, next(gaps)
+        width, rank, popped = n.bit_length(), self.rank.get, 0
+        low = (1 << width) - 1
         agenda = [(r << width | i) << width | i + 1 for i in range(n - 1) if (r := rank(text[i : i + 2])) is not None]
         heapify(agenda)
         while agenda:
@@ -91,7 +147,12 @@ class DropoutEncoder:
                 continue  # one of its symbols has changed
             popped += 1
             if not wait:
-                wait = next(gaps)
+                if used < len(gaps):
+                    wait = gaps[used]
+                    used += 1
+                else:
+                    draw = _mixed(draw + GOLDEN & MASK)
+                    wait = self._gap(draw)
                 continue
             wait -= 1
             symbols[left], symbols[right] = joined, ""
@@ -103,48 +164,48 @@ class DropoutEncoder:
             right = before[left]
             if right >= 0 and (r := rank(symbols[right] + joined)) is not None:
                 heappush(agenda, (r << width | right) << width | left)
-        ids, out = self.ids, []
-        for p in symbols:
-            if p in ids:
-                out.append(ids[p])
-            elif p:
-                out += [self.byte.get(b, self.unknown) for b in p.encode()]
-        return out, popped
+        return [p for p in symbols if p], popped
 
     def _gap(self, draw: int) -> int:
         """Candidates that pass before a skip: geometric, of a 64-bit draw."""
         return min(NEVER, int(math.log(((draw >> 11) + 1) * 2.0**-53) * self.times))
 
-    def _gaps(self, draw: int) -> Iterator[int]:
-        while True:
-            draw = _mixed(draw + GOLDEN & MASK)
-            yield self._gap(draw)
-
-    def _made(self, chunk: str, into: dict, name: str | int, skips: tuple[int, ...], gap: int, more: int, draw: int) -> bytes:
-        """Ids of an occurrence with ``skips`` and those by the gaps after them, kept as ``into[name]`` if none came after."""
-        ids, popped = self.chunk(chunk, chain(skips, (gap, more), self._gaps(draw)))
-        packed = np.array(ids, "<u4").tobytes()
-        if len(chunk) <= KEPT and popped <= sum(skips) + len(skips) + gap:
+    def _made(self, chunk: str, above: list | None, gap: int, skips: tuple[int, ...], more: int, draw: int, known: tuple[int, ...]) -> bytes:
+        """Ids of an occurrence with ``skips``, then ``more``, then those ``known``, then those of ``draw``. Kept below
+        the node ``above`` at ``gap`` (None: as the chunk's own) if no skip came after ``skips``."""
+        packed, popped = self.chunk(chunk, (*skips, more, *known), draw)
+        if len(chunk) <= KEPT and popped <= sum(skips) + len(skips) + more:
             if self.nodes >= self.most:
                 self.known.clear()
                 self.nodes = 0
-            into[name] = [packed, popped, {}]
+                if above is not None:
+                    return packed
+            if above is None:
+                self.known[chunk] = [packed, popped, NONE]
+            else:
+                if above[2] is NONE:
+                    above[2] = {}
+                above[2][gap] = [packed, popped, NONE]
             self.nodes += 1
         return packed
 
     def _skipped(self, chunk: str, node: list, gap: int, more: int, draw: int) -> bytes:
         """Ids of an occurrence whose skips come after ``gap`` candidates, then ``more``, then what ``draw`` gives."""
         if node is FRESH:
-            return self._made(chunk, self.known, chunk, (), gap, more, draw)
-        passed, skips = 0, ()
+            return self._made(chunk, None, 0, (), gap, draw, (more,))
+        above, passed = node, gap + 1
+        node = above[2].get(gap)
+        if node is None:
+            return self._made(chunk, above, gap, (gap,), more, draw, ())
+        skips, gap = (gap,), more
         while passed + gap < node[1]:
-            above, name = node[2], gap
+            above, name = node, gap
             skips, passed = (*skips, gap), passed + gap + 1
             draw = _mixed(draw + GOLDEN & MASK)
-            gap, more = more, self._gap(draw)
-            node = above.get(name)
+            gap = self._gap(draw)
+            node = above[2].get(name)
             if node is None:
-                return self._made(chunk, above, name, skips, gap, more, draw)
+                return self._made(chunk, above, name, skips, gap, draw, ())
         return node[0]
 
     def _run(self, chunks: list[str], key: int, at: int) -> bytes:
@@ -155,7 +216,11 @@ class DropoutEncoder:
         draws = _mixed(np.arange(at + 1, at + 1 + len(chunks), dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(key))
         later = _mixed(draws + np.uint64(GOLDEN))
         first, second = (np.minimum(np.log(((x >> np.uint64(11)) + np.uint64(1)) * 2.0**-53) * self.times, NEVER).astype(np.int64).tolist() for x in (draws, later))
-        return b"".join([n[0] if g >= (n := get(c, FRESH))[1] else skipped(c, n, g, h, d) for c, g, h, d in zip(chunks, first, second, later.tolist(), strict=True)])
+        # No skip, or one whose outcome is known; all else is for _skipped.
+        return b"".join([
+            n[0] if g >= (n := get(c, FRESH))[1] else m[0] if g + h + 1 >= (m := n[2].get(g, FRESH))[1] else skipped(c, n, g, h, int(later[i]))
+            for i, (c, g, h) in enumerate(zip(chunks, first, second, strict=True))
+        ])
 
     def encode(self, text: str) -> np.ndarray:
         """Ids. A literal space mark in the text goes out as its bytes, so that it is not read back as a space."""
@@ -183,11 +248,13 @@ def dropout_encoder(model: str, seed: int, alpha: float) -> DropoutEncoder:
 def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, alpha: float = 0.1, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_pieces, ids_crc32 (little-endian uint32 ids), lossless (and ids, if kept), without a shuffle.
 
-    Null and empty texts have no pieces; equal texts have equal ids; an empty table gives no rows.
+    Null and empty texts have no pieces; equal texts have equal ids, whatever their doc_id, which may be null; an
+    empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = dropout_encoder(model, seed, alpha)
+        gc.freeze()  # nothing of the cache is garbage
         for batch in text_slices(batches):
             size, n, crc, same, kept = [], [], [], [], []
             for text in batch.column(1).to_pylist():

@@ -65,7 +65,8 @@ _COUNTERS: dict[str, _Counter] = {}
 def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit per row, without a shuffle.
 
-    Null texts count 0 bytes and 0 tokens; repeated rows are counted each; an empty table gives no rows.
+    Null texts count 0 bytes and 0 tokens; repeated rows are counted each, rows with a null doc_id like others; an
+    empty table gives no rows.
     """
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(tokenizer))
 
