@@ -153,15 +153,15 @@ def test_queries_over_whole_tables(spark, tmp_path):
     orders = [(i, i, rng.choice("FOP"), 1.0, str(i % 3)) for i in range(5000, 5050)]
     spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
-    got = {n: Counter(map(tuple, queries.QUERIES[n](spark, str(tmp_path)).collect())) for n in ("concat_overlap", "sem_join_balance", "sem_join_outer_balance", "graph_components_whole")}
-    assert got["concat_overlap"] == Counter((o[2], o[4]) for bad in "PF" for o in orders if o[2] != bad)
+    got = {n: Counter(map(tuple, queries.QUERIES[n](spark, str(tmp_path)).collect())) for n in ("concat_bag", "sem_join_rule", "sem_join_outer_rule", "graph_components")}
+    assert got["concat_bag"] == Counter((o[2], o[4]) for bad in "PF" for o in orders if o[2] != bad)
     left, right = [c for c in customers if c[3] < 0], [c for c in customers if c[3] >= 0]
     pairs = {(x[0], y[0]) for x in left for y in right if x[2] == y[2] and len(x[4]) > len(y[4])}
-    assert pairs and got["sem_join_balance"] == Counter(pairs)
+    assert pairs and got["sem_join_rule"] == Counter(pairs)
     alone = {(x[0], None) for x in left if x[0] not in {a for a, _ in pairs}} | {(None, y[0]) for y in right if y[0] not in {b for _, b in pairs}}
-    assert got["sem_join_outer_balance"] == Counter(pairs | alone)
+    assert got["sem_join_outer_rule"] == Counter(pairs | alone)
     nation, root = {c[0]: c[2] for c in customers}, {}
     for i in sorted(nation):
         if i - 7 in nation and nation[i - 7] <= nation[i]:
             root[i] = root.setdefault(i - 7, i - 7)
-    assert root and got["graph_components_whole"] == Counter(root.items())
+    assert root and got["graph_components"] == Counter(root.items())
