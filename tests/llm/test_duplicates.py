@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import repeats
+from tidemark.llm import repeats, simhash
 from tidemark.llm.components import connected_components
 from tidemark.llm.run_length_index import RunLengthIndex, byte_dedup
 from tidemark.llm.simhash import drop_near_copies, near_duplicates
@@ -174,6 +174,34 @@ def test_near_copies_by_contiguous_edits(spark):
     assert sorted(r["doc_id"] for r in drop_near_copies(frame(spark, docs)).collect()) == survivors(docs)
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_near_copies_over_one_vocabulary(spark, monkeypatch, block):
+    """Few words in all texts, so that sketches and fingerprints are alike; long lists are met in parts."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(11)
+    texts = []
+    for i in range(150):
+        base = [f"v{rng.randint(0, 59)}" for _ in range(rng.randint(80, 200))]
+        texts.append(base)
+        if i % 5 == 0:
+            twin = list(base)
+            twin[rng.randrange(len(twin))] = "v60"
+            texts.append(twin)
+    common = [f"c{i}" for i in range(60)]  # in a third of all, and most of some
+    texts += [common + [f"v{rng.randint(0, 59)}" for _ in range(rng.randint(4, 60))] for _ in range(60)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept = sorted(r["doc_id"] for r in drop_near_copies(frame(spark, docs)).collect())
+    assert kept == survivors(docs) and len(kept) <= len(docs) - 30
+
+
+def test_near_copies_keep_rows_of_one_doc_id(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30)) for _ in range(3)]
+    docs = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (2, texts[1].upper())]
+    out = drop_near_copies(frame(spark, docs)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out) == sorted([("1", texts[0]), ("1", texts[1]), ("None", texts[2])])
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {tuple(r) for r in connected_components(chain, "a", "b").collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100)}

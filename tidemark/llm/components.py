@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import discard, materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return materialize(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
+    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of a pair that is not itself a root."""
+    """(node, root): the smallest node reachable, for every node of a pair that is not itself a root; stored."""
     edges = materialize(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "edges")
     before = None
     while True:
@@ -38,4 +38,7 @@ def connected_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         if not state["n"] or state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
-        edges = materialize(_small(materialize(_large(edges), "edges")), "edges")
+        large = materialize(_large(edges), "edges")
+        discard(edges)
+        edges = materialize(_small(large), "edges")
+        discard(large)
