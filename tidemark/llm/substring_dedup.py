@@ -156,11 +156,10 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     rows, spans = repeated_spans(docs, id_col=id_col, text_col=text_col, window=window, k=k)
 
-    @F.pandas_udf("string")
-    def rest(texts, found):
-        import pandas as pd
-
-        return pd.Series([kept_words(t, s, window)[2].decode() for t, s in zip(texts, found, strict=True)])
+    @F.arrow_udf("string")
+    def rest(texts: pa.Array, found: pa.Array) -> pa.Array:
+        kept = (kept_words(t.as_py(), s.as_py(), window)[2].decode() for t, s in zip(texts, found, strict=True))
+        return pa.array(kept, pa.string())
 
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     spans = spans.select(F.col("doc_id").alias("__own"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))

@@ -1,11 +1,13 @@
 """Toxicity scores: a lexicon learned from labels, misspellings by Levenshtein automata, and context windows.
 
-Fitting takes a bounded sample of labelled texts (``MOST`` of each class, by a hash of doc_id). Terms that
-mark toxic texts enter the lexicon: whole words, and stems where many words share the marking prefix. A
-token is looked up by walking the trie of the words with the states of a Levenshtein automaton for the token;
-a branch dies as soon as no state is within reach. Every hit gets a context window: quotation marks,
-reporting words and address to a reader around it separate quoting from abuse. A logistic model over the
-hit counts by kind and context gives the score; labels, language, source and doc_id are no inputs.
+Fitting takes a bounded sample of labelled texts (``MOST`` of each class and ``MOST_BYTES`` of their text, by a hash
+of doc_id). Terms that mark toxic texts enter the lexicon: whole words, and stems where many words share the
+marking prefix. A token is looked up by walking the trie of the words with the states of a Levenshtein automaton
+for the token; a branch dies as soon as no state is within reach. What clean texts use as a word of its own is
+no misspelling. Every hit gets a context window: quotation marks, reporting words and address to a reader
+around it separate quoting from abuse. A logistic model over the hit counts by kind and context gives the score:
+its weights keep their meaning's sign, and where the sample shows nothing of a kind or a context they
+stay at ``PRIOR``. Labels, language, source and doc_id are no inputs.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import doc_rows, text_slices
+from tidemark.llm.shared import discard, doc_rows, materialize, text_slices, trim
 
-MOST = 3000  # labelled texts of each class that are fitted on
+MOST, MOST_BYTES = 3000, 32 << 20  # labelled texts of each class that are fitted on, and bytes of them
 TOKENS = re.compile(r"[^\W_]+|[\"“”„«»]")
 QUOTES = frozenset('"“”„«»')
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes word words term dit écrit mot sagte schrieb wort dijo escribió palabra".split())
@@ -32,6 +34,9 @@ WINDOW = 6  # tokens on either side of a hit
 FUZZY_FROM = 5  # shortest term that may be misspelled
 
 EXACT, STEM, FUZZY = 0, 1, 2
+UNSEEN_TRUST, FEW_HITS = 0.7, 0.05  # trust where there are fewer misspelled hits than so many in 1000 tokens
+#: Weights before anything is seen, in the order of ``features``; each fitted weight keeps its sign.
+PRIOR = np.array([1.0, 1.0, 0.7, 1.0, -1.5, 0.5, 1.0])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -42,6 +47,8 @@ def held_out(doc_id: Column) -> Column:
 class Lexicon:
     words: frozenset[str]
     stems: frozenset[str]
+    plain: frozenset[str] = frozenset()  # words that clean texts use, though one edit from a term
+    trust: float = UNSEEN_TRUST  # what a misspelled hit counts: the share of such hits that toxic texts have beyond clean ones
     trie: dict = field(default_factory=dict)
     known: dict[str, int | None] = field(default_factory=dict)
 
@@ -59,10 +66,10 @@ class Lexicon:
         self.sizes = {len(w) for w in fuzzy}
 
     def __getstate__(self):
-        return (self.words, self.stems)
+        return (self.words, self.stems, self.plain, self.trust)
 
     def __setstate__(self, state):
-        self.words, self.stems, self.trie, self.known = *state, {}, {}
+        self.words, self.stems, self.plain, self.trust, self.trie, self.known = *state, {}, {}
         self.__post_init__()
 
     def near(self, token: str, most: int = 1) -> str | None:
@@ -102,7 +109,7 @@ class Lexicon:
             found = EXACT
         elif any(token[:n] in self.stems for n in self.stem_sizes if len(token) >= n):
             found = STEM
-        elif len(token) >= FUZZY_FROM - 1 and self.half_kept(token) and self.near(token):
+        elif len(token) >= FUZZY_FROM - 1 and token not in self.plain and self.half_kept(token) and self.near(token):
             found = FUZZY
         if len(self.known) >= 300_000:
             self.known.clear()
@@ -116,16 +123,18 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     tokens = TOKENS.findall(text.lower())
     get, kind = lexicon.known.get, lexicon.kind
     hits = [(i, k) for i, t in enumerate(tokens) if (k := get(t, -1)) is not None and (k >= 0 or (k := kind(t)) is not None)]
-    counts, quoting, abusing = [0.0, 0.0, 0.0], 0, 0
+    counts, quoting, abusing, n = [0.0, 0.0, 0.0], 0.0, 0.0, 0.0
     for i, k in hits:
+        worth = lexicon.trust if k == FUZZY else 1.0
         around = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
         quoted = QUOTES.intersection(tokens[max(0, i - WINDOW) : i]) and QUOTES.intersection(tokens[i + 1 : i + WINDOW + 1])
         reported = REPORTING.intersection(around)
-        quoting += bool(quoted or reported)
-        abusing += bool(ADDRESS.intersection(around)) and not quoted
-        counts[k] += 0.5 if quoted and reported else 1.0
-    n = max(1, len(hits))
-    return [*(math.log1p(c) for c in counts), math.log1p(sum(counts)), quoting / n, abusing / n, math.log1p(100 * len(hits) / max(20, len(tokens)))]
+        quoting += worth * bool(quoted or reported)
+        abusing += worth * (bool(ADDRESS.intersection(around)) and not quoted)
+        counts[k] += worth * (0.5 if quoted and reported else 1.0)
+        n += worth
+    shares = (quoting / n, abusing / n) if n else (0.0, 0.0)
+    return [*(math.log1p(c) for c in counts), math.log1p(sum(counts)), *shares, math.log1p(100 * n / max(20, len(tokens)))]
 
 
 @dataclass
@@ -169,13 +178,57 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> Lexicon:
                 longest = max(more, key=lambda q: prefixes[1][q])
             stems.add(longest)
     own = {w for w in words[1] if marks(words, w) and not any(w[:n] in stems for n in range(4, len(w) + 1))}
-    return Lexicon(frozenset(own), frozenset(stems))
+    found = Lexicon(frozenset(own), frozenset(stems))
+    plain = {w for w, n in words[0].items() if 5 * n / n_clean >= words[1][w] / n_toxic and found.kind(w) == FUZZY}
+    # Trust is measured on clean texts that had no part in what is taken for plain.
+    seen = {t for text in clean[::2] for t in TOKENS.findall(text.lower())}
+    half, rates = Lexicon(found.words, found.stems, frozenset(plain & seen)), []
+    for texts in (clean[1::2], toxic):
+        kinds = [half.kind(t) for text in texts for t in TOKENS.findall(text.lower())]
+        rates.append(1000 * kinds.count(FUZZY) / max(1, len(kinds)))
+    trust = UNSEEN_TRUST if sum(rates) < FEW_HITS else max(0.0, 1 - rates[0] / rates[1]) if rates[1] else 0.0
+    return Lexicon(found.words, found.stems, frozenset(plain), trust)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
+    """Weights and bias of a logistic model by Newton steps, with the classes weighted as the labels have them and a
+    ridge around ``PRIOR``. A weight that would change its sign is zero."""
+    n_toxic = y.sum()
+    case = np.where(y == 1, prior / n_toxic, (1 - prior) / (len(y) - n_toxic)) * len(y)
+    design = np.hstack([x, np.ones((len(x), 1))])
+    middle, ridge = np.append(PRIOR, 0.0), np.array([0.05] * x.shape[1] + [1e-3])
+    free = np.ones(len(middle), bool)
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float(case @ (np.logaddexp(0, z) - y * z) + ridge @ (w - middle) ** 2 / 2)
+
+    while True:
+        w = np.where(free, middle, 0.0)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
+            grad = (design.T @ (case * (p - y)) + ridge * (w - middle))[free]
+            part = design[:, free]
+            step = np.zeros(len(w))
+            step[free] = np.linalg.solve((part * (case * p * (1 - p))[:, None]).T @ part + np.diag(ridge[free]), grad)
+            now, size = loss(w), 1.0
+            while loss(w - size * step) > now and size > 1e-6:  # shorter steps where a whole one leads up
+                size /= 2
+            w = w - size * step
+            if np.abs(size * step).max() < 1e-6:
+                break
+        wrong = free & (w * middle < 0)
+        if not wrong.any():
+            return w
+        free &= ~wrong
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Fit on the rows outside the held-out fold. Collected: at most 2 * MOST texts, chosen from labels alone.
+    """Fit on the rows outside the held-out fold. Collected: at most 2 * MOST texts, chosen by doc_id alone, and of
+    each class no more than MOST_BYTES, whole texts in the order of the choice (the first in any case).
 
-    Without labels of both classes the lexicon is empty and every score is the share of toxic labels.
+    A doc_id that repeats gives its smallest text. Without labels of both classes the lexicon is empty and every
+    score is the share of toxic labels.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -183,27 +236,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     prior = (share.get(1, 0) + 0.5) / (total + 1)
     chosen = None
     for label in (0, 1):
-        part = known.filter(F.col("toxic") == label).groupBy("doc_id", "toxic").agg(F.lit(1).alias("one")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST).select("doc_id", "toxic")
+        part = known.filter(F.col("toxic") == label).groupBy("doc_id", "toxic").agg(F.xxhash64("doc_id").alias("draw")).orderBy("draw", "doc_id").limit(MOST)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = doc_rows(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text").collect()
+    texts = doc_rows(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text"))
+    texts = materialize(texts.withColumn("bytes", F.octet_length("text")), "labelled")
+    drawn = Window.partitionBy("toxic").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # over the chosen rows
+    within = texts.withColumn("before", F.coalesce(F.sum("bytes").over(drawn), F.lit(0))).filter((F.col("before") + F.col("bytes") <= MOST_BYTES) | (F.col("before") == 0))
+    rows = within.select("toxic", "text").collect()
+    discard(texts)
     clean, toxic = [r["text"] for r in rows if not r["toxic"]], [r["text"] for r in rows if r["toxic"]]
-    empty = Lexicon(frozenset(), frozenset())
     if not clean or not toxic:
-        return ToxicityModel(empty, np.zeros(7), math.log(prior / (1 - prior)))
+        return ToxicityModel(Lexicon(frozenset(), frozenset()), np.zeros(len(PRIOR)), math.log(prior / (1 - prior)))
     lexicon = learn_lexicon(toxic, clean)
-    x = np.array([features(t, lexicon) for t in clean + toxic])
-    y = np.array([0.0] * len(clean) + [1.0] * len(toxic))
-    case = np.where(y == 1, prior / len(toxic), (1 - prior) / len(clean)) * len(y)
-    design = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(design.shape[1])
-    ridge = np.diag([0.05] * x.shape[1] + [1e-3])
-    for _ in range(50):  # Newton steps of ridge logistic regression
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (case * (p - y)) + ridge @ w
-        step = np.linalg.solve((design * (case * p * (1 - p) + 1e-9)[:, None]).T @ design + ridge, grad)
-        w -= step
-        if np.abs(step).max() < 1e-6:
-            break
+    w = _logistic(np.array([features(t, lexicon) for t in clean + toxic]), np.array([0.0] * len(clean) + [1.0] * len(toxic)), prior)
     return ToxicityModel(lexicon, w[:-1], float(w[-1]))
 
 
@@ -214,16 +259,18 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
         for batch in text_slices(batches):
             got = [model.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
+        trim()
 
     scored = doc_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below ``threshold``. Null texts are empty."""
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``. Null and empty texts have no hits,
+    repeated rows all go or stay, ids play no part, an empty table stays empty."""
 
-    @F.pandas_udf("double")
-    def scores(texts):
-        return texts.fillna("").map(model.score).astype(float)
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(t or "") for at in range(0, len(texts), 512) for t in texts[at : at + 512].to_pylist()], pa.float64())
 
     return docs.filter(scores(F.col(text_col)) < threshold)
