@@ -55,7 +55,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` gave, once all that reads them is stored itself."""
+    """Delete tables that ``materialize`` gave, once all that reads them is stored itself. Spark drops the shuffle
+    files of finished steps when the driver collects garbage, so that is asked for, too."""
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
     for df in tables:
         at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
