@@ -117,6 +117,38 @@ def test_near_duplicates(spark):
     assert got == {i: (f"{prints[i]:016x}", part[i]) for i in prints}
 
 
+def stored(monkeypatch):
+    """Plan and rows of all that the search for repeats stores, in order."""
+    seen, real = [], repeats.materialize
+
+    def spy(df, tag):
+        plan, made = df._jdf.queryExecution().executedPlan().toString(), real(df, tag)
+        seen.append((plan, made.count()))
+        return made
+
+    monkeypatch.setattr(repeats, "materialize", spy)
+    return seen
+
+
+def behind_one_passage(n, seed=17):
+    """Texts that begin with the same 400 bytes."""
+    rng = random.Random(seed)
+    line = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(k))
+    passage = line(60)[:400]
+    return [(i, passage + line(60)) for i in range(n)]
+
+
+def test_spans_of_hot_anchors_are_not_broadcast(spark, monkeypatch):
+    """The files of these tables are a hundredth of what their rows take, so no size of theirs may lead to a broadcast."""
+    monkeypatch.setattr(repeats, "SPLIT", 20)
+    seen, docs = stored(monkeypatch), behind_one_passage(60)
+    out = byte_dedup(frame(spark, docs))
+    assert {r["doc_id"]: tuple(r[1:]) for r in out.collect()} == brute_bytes(docs, 200)
+    plans = [*(plan for plan, _ in seen), out._jdf.queryExecution().executedPlan().toString()]
+    joins = [line for plan in plans for line in plan.splitlines() if re.search(r"Join \[sd#", line)]
+    assert len(joins) >= 2 and not any("Broadcast" in line for line in joins)
+
+
 def test_near_copies_leave_one(spark):
     rng = random.Random(1)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]

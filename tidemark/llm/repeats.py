@@ -250,11 +250,12 @@ def _spans(distinct: DataFrame, unit: Unit, index: Callable, shard_bytes: int) -
             schema = "anchor long, sd binary, seg binary, cnt long, first long, up binary, at int, times long"
             cut = materialize(distinct.join(hot, "anchor", "left_semi").select("sd", "seg", "cnt", "first").mapInArrow(_finer(longer), schema), "finer")
             often = cut.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1").select("anchor")
-            kept = materialize(cut.join(often, "anchor", "left_semi"), "finer")
+            kept = materialize(cut.join(often.hint("merge"), "anchor", "left_semi"), "finer")
             discard(cut)
             parts = materialize(kept.groupBy("anchor", "sd", "seg").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first")), "distinct")
             found = _spans(parts, longer, index, shard_bytes)
-            lifted = kept.select("sd", "up", "at").join(found, "sd")
+            # Files of these tables are a hundredth of their rows in memory, so their size must not lead to a broadcast.
+            lifted = kept.select("sd", "up", "at").join(found.hint("merge"), "sd")
             spans = lifted.select(F.col("up").alias("sd"), (F.col("at") + F.col("off")).alias("off"), "n", "first")
     solved = cold.select("anchor", "sd", "seg", "cnt", "first").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(index, unit, shard_bytes), SPAN)
     return materialize(solved if spans is None else solved.unionByName(spans), "spans")
@@ -279,7 +280,7 @@ def repeated_windows(rows: DataFrame, unit: Unit, index: Callable, *, across: bo
     discard(emitted, repeated)
     spans = _spans(distinct, unit, index, shard_bytes)
     discard(distinct)
-    placed = segments.select("sd", "doc_id", "key", "start").join(spans, "sd")
+    placed = segments.select("sd", "doc_id", "key", "start").join(spans.hint("merge"), "sd")
     return placed.select("doc_id", "key", (F.col("start") + F.col("off")).alias("start"), "n", "first")
 
 
