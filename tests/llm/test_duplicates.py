@@ -149,6 +149,15 @@ def test_spans_of_hot_anchors_are_not_broadcast(spark, monkeypatch):
     assert len(joins) >= 2 and not any("Broadcast" in line for line in joins)
 
 
+def test_rows_of_hot_anchors_stay_few(spark, monkeypatch):
+    """Windows over the ends of a common passage are gone through in few steps, and equal pieces are one row."""
+    monkeypatch.setattr(repeats, "SPLIT", 20)
+    seen, docs = stored(monkeypatch), behind_one_passage(150)
+    assert {r["doc_id"]: tuple(r[1:]) for r in byte_dedup(frame(spark, docs)).collect()} == brute_bytes(docs, 200)
+    pieces = [n for plan, n in seen if re.search(r"Join \[anchor#\w+\], \[anchor#\w+\], LeftSemi", plan) and "MapInArrow" not in plan]
+    assert 0 < sum(pieces) <= 5 * len(docs)
+
+
 def test_near_copies_leave_one(spark):
     rng = random.Random(1)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]

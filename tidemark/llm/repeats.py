@@ -82,10 +82,11 @@ class Unit:
 
     @property
     def longer(self) -> Unit | None:
-        """The same windows with anchors of longer grams: half way to the window, at last the window itself."""
+        """The same windows with anchors of longer grams: most of the way to the window, at last the window itself.
+        What a common passage leaves are windows over its ends; each step goes through them again, so steps are few."""
         if self.k >= self.window:
             return None
-        further = (self.k + self.window + 1) // 2
+        further = self.window - (self.window - self.k) // 8
         return replace(self, k=further if self.window - further > self.window // 24 else self.window)
 
     def runs(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -249,13 +250,14 @@ def _spans(distinct: DataFrame, unit: Unit, index: Callable, shard_bytes: int) -
             cold = distinct.join(hot, "anchor", "left_anti")
             schema = "anchor long, sd binary, seg binary, cnt long, first long, up binary, at int, times long"
             cut = materialize(distinct.join(hot, "anchor", "left_semi").select("sd", "seg", "cnt", "first").mapInArrow(_finer(longer), schema), "finer")
-            often = cut.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1").select("anchor")
-            kept = materialize(cut.join(often.hint("merge"), "anchor", "left_semi"), "finer")
-            discard(cut)
-            parts = materialize(kept.groupBy("anchor", "sd", "seg").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first")), "distinct")
+            # Equal pieces are one row before any join; a piece of an anchor seen once has no spans, so nothing is lifted to it.
+            pieces = materialize(cut.groupBy("anchor", "sd", "seg").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first"), F.sum("times").alias("times")), "pieces")
+            often = pieces.groupBy("anchor").agg(F.sum("times").alias("all")).filter(F.col("all") > 1).select("anchor")
+            parts = materialize(pieces.join(often.hint("merge"), "anchor", "left_semi").drop("times"), "distinct")
+            discard(pieces)
             found = _spans(parts, longer, index, shard_bytes)
             # Files of these tables are a hundredth of their rows in memory, so their size must not lead to a broadcast.
-            lifted = kept.select("sd", "up", "at").join(found.hint("merge"), "sd")
+            lifted = cut.select("sd", "up", "at").join(found.hint("merge"), "sd")
             spans = lifted.select(F.col("up").alias("sd"), (F.col("at") + F.col("off")).alias("off"), "n", "first")
     solved = cold.select("anchor", "sd", "seg", "cnt", "first").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(index, unit, shard_bytes), SPAN)
     return materialize(solved if spans is None else solved.unionByName(spans), "spans")
