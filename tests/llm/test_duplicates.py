@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -235,6 +236,30 @@ def test_near_copies_over_one_vocabulary(spark, monkeypatch, block):
     assert kept == survivors(docs) and len(kept) <= len(docs) - 30
 
 
+def test_near_copies_go_through_ball_hashing(spark, monkeypatch):
+    """The pairs of fingerprints within two bits chain all such links, and the stage finds copies by them alone."""
+    from corpus_pipeline import near_copies_stage
+
+    rng = random.Random(23)
+    prints = [rng.getrandbits(63) for _ in range(12)]
+    prints += [f ^ 1 << rng.randrange(62) for f in prints] + [f ^ 3 << rng.randrange(61) for f in prints] + prints[:3]
+    rows = spark.createDataFrame(list(enumerate(prints)), "rid long, fp long")
+    pairs = {tuple(r) for r in simhash.fingerprint_pairs(rows, 2).collect()}
+    assert all(a < b and (prints[a] ^ prints[b]).bit_count() <= 2 for a, b in pairs)
+    part = list(range(len(prints)))
+    for a, b in sorted(pairs) * len(prints):
+        part[a] = part[b] = min(part[a], part[b])
+    assert all(part[i] == part[j] for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2)
+
+    base = [[f"w{rng.randint(0, 10**6)}" for _ in range(2000)] for _ in range(5)]
+    docs = [(i, " ".join(b)) for i, b in enumerate(base)] + [(10 + i, " ".join([*b, "end"])) for i, b in enumerate(base)]
+    print_of = {i: simhash.fingerprint(simhash.shingle_hashes(simhash.words(t), 5)) for i, t in docs}
+    within = {i for i in range(5) if (print_of[i] ^ print_of[10 + i]).bit_count() <= 2}
+    monkeypatch.setattr(simhash, "_meet", lambda *_: lambda batches: (pa.RecordBatch.from_pydict({"a": [], "b": []}, pa.schema([("a", pa.int64()), ("b", pa.int64())])) for _ in batches))
+    kept = {r["doc_id"] for r in near_copies_stage(spark, frame(spark, docs), "").collect()}
+    assert len(within) >= 3 and kept == {*range(5)} | {10 + i for i in range(5) if i not in within}
+
+
 def test_near_copies_keep_rows_of_one_doc_id(spark):
     rng = random.Random(12)
     texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30)) for _ in range(3)]

@@ -79,6 +79,15 @@ def linked(distinct: DataFrame, radius: int, bits: int = 64, by: tuple[str, ...]
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= radius).select(*by, "a", F.col("fp").alias("b")).distinct()
 
 
+def fingerprint_pairs(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b), a < b: of the rows (rid, fp) each with the least of its fingerprint, and those of linked fingerprints."""
+    least = rows.groupBy("fp").agg(F.min("rid").alias("least"))
+    same = rows.join(least, "fp").filter("rid <> least").select(F.col("least").alias("a"), F.col("rid").alias("b"))
+    x, y = (least.select(F.col("fp").alias(c), F.col("least").alias(f"of_{c}")) for c in "ab")
+    near = linked(least.select("fp"), radius).join(x, "a").join(y, "b")
+    return same.unionByName(near.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id per row.
 
@@ -144,8 +153,8 @@ def _unlike(similarity: float):
 
 
 def _marks(hot: np.ndarray, size: int, similarity: float):
-    """doc_id, the text's digest, a digest of the word sequence, and of its set of shingles the size, the prefix and
-    a sketch.
+    """doc_id, the text's digest, a digest of the word sequence, the fingerprint, and of its set of shingles the size,
+    the prefix and a sketch.
 
     The prefix is taken in one order of all shingles: those not in ``hot`` by hash, then ``hot`` from its end.
     Two sets of the asked similarity share a shingle of both prefixes. A sketch has the parity of the number
@@ -156,11 +165,13 @@ def _marks(hot: np.ndarray, size: int, similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            digests, sizes, prefixes, sketches = [], [], [], []
+            digests, prints, sizes, prefixes, sketches = [], [], [], [], []
             for t in batch.column("text").to_pylist():
                 tokens = words(t)
                 digests.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
-                own = np.unique(shingle_hashes(tokens, size))
+                hashes = shingle_hashes(tokens, size)
+                prints.append(fingerprint(hashes))
+                own = np.unique(hashes)
                 n = len(own)
                 most = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
                 if len(known) and n:
@@ -172,8 +183,8 @@ def _marks(hot: np.ndarray, size: int, similarity: float):
                 sizes.append(n)
                 prefixes.append(order[:most].view(np.int64))
                 sketches.append(parity(own, max(SKETCH, 1 << (n // 2).bit_length())).tobytes())
-            cols = [*(batch.column(c) for c in ("doc_id", "t1", "t2")), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t1", "t2", "digest", "n", "prefix", "sketch"])
+            cols = [*(batch.column(c) for c in ("doc_id", "t1", "t2")), pa.array(digests, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t1", "t2", "digest", "fp", "n", "prefix", "sketch"])
         trim()
 
     return run
@@ -316,26 +327,29 @@ def _places(tokens: DataFrame, all_pairs: bool) -> DataFrame:
     return other.withColumn("side", side).withColumn("place", F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other")
 
 
-def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """The rows of ``docs``, all columns, with one row (smallest doc_id) of each group of near copies.
 
     A pair links if the Jaccard similarity of its sets of ``shingle``-word shingles is at least ``similarity``;
-    links are followed. The groups are exact: every pair that can link shares a shingle of both prefixes. Pairs in
-    chains and the most alike are verified first, at last all pairs that share a prefix shingle, are not yet in
-    one group and whose sketches allow it. Texts of the same words are copies, null and empty ones among them; a null doc_id comes after
+    links are followed. Ball hashing of the fingerprints gives the first pairs, those within ``radius`` bits, and each
+    is verified on the whole sets. Copies farther apart than fingerprints tell are found as exactly: every pair that can
+    link shares a shingle of both prefixes. Pairs in chains are verified with the first, then the most alike, at last all
+    pairs that share a prefix shingle, are not yet in one group and whose sketches allow it. Texts of the same words are copies, null and empty ones among them; a null doc_id comes after
     all others; repeated rows are copies; an empty table stays empty.
     """
+    if radius % 2:
+        raise ValueError("radius must be even")
     doc_id, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
     marks = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]  # 128 bits tell texts of one doc_id apart
     rows = docs.select(doc_id.alias("doc_id"), *marks, text.alias("text"))
     hot = _hot_shingles(rows, shingle)
-    marked = materialize(rows.mapInArrow(_marks(hot, shingle, similarity), "doc_id long, t1 long, t2 long, digest binary, n int, prefix array<long>, sketch binary"), "marks")
+    marked = materialize(rows.mapInArrow(_marks(hot, shingle, similarity), "doc_id long, t1 long, t2 long, digest binary, fp long, n int, prefix array<long>, sketch binary"), "marks")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t1", "t2")
     best = marked.groupBy("digest").agg(F.min(order).alias("best"))
     # Texts of the same words are one node from here on.
     distinct = materialize(best.select(F.monotonically_increasing_id().alias("rid"), F.col("best.doc_id").alias("doc_id"), F.col("best.t1").alias("t1"), F.col("best.t2").alias("t2")), "distinct")
     same = [marked.doc_id.eqNullSafe(distinct.doc_id), marked.t1 == distinct.t1, marked.t2 == distinct.t2]
-    own = materialize(marked.join(distinct, same).select("rid", "n", "prefix", "sketch").dropDuplicates(["rid"]), "prefixes")
+    own = materialize(marked.join(distinct, same).select("rid", "fp", "n", "prefix", "sketch").dropDuplicates(["rid"]), "prefixes")
     discard(marked)
     tokens = own.select("rid", F.explode("prefix").alias("token"))
     met = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -346,7 +360,7 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def candidates(at: DataFrame, span: int | None, best: bool = False) -> DataFrame:
         full = _places(at, span is None).join(own.select("rid", "n", "sketch"), "rid").select("place", "side", "rid", "n", "comp", "sketch", F.xxhash64("rid", "place").alias("draw"))
         listed = full.repartition("place").sortWithinPartitions("place", "draw").drop("draw")
-        return materialize(listed.mapInArrow(_meet(similarity, span, best), "a long, b long").distinct(), "pairs")
+        return listed.mapInArrow(_meet(similarity, span, best), "a long, b long")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """rid and text of the rows in pairs; rows of one doc_id and text may come twice."""
@@ -359,7 +373,8 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         x, y = (of.select(F.col("rid").alias(k), *(F.col(c).alias("n" * i + v) for i, c in enumerate(columns))) for k, v in (("a", "x"), ("b", "y")))
         return pairs.join(x, "a").join(y, "b")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(found: DataFrame) -> DataFrame:
+        pairs = materialize(found.distinct(), "pairs")
         sketches = materialize(texts_of(pairs).mapInArrow(_long_sketches(shingle), "rid long, n int, sketch binary").dropDuplicates(["rid"]), "sketches")
         near = materialize(paired(pairs, sketches, "sketch", "n").select("a", "b", "x", "nx", "y", "ny").mapInArrow(_unlike(similarity), "a long, b long"), "near")
         discard(pairs, sketches)
@@ -369,9 +384,10 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         discard(near, sets)
         return links
 
-    # Chains along a few shingles first; then, as long as many more are found, of each row's pairs at one of these the
+    # Fingerprints that link, and chains along a few shingles first; then, as long as many more are found, of each row's pairs at one of these the
     # most alike; at last all pairs at all shingles. What is in one group is no pair any more.
-    links = verified(candidates(shared.filter("early").withColumn("comp", F.col("rid")), 1))
+    chains = candidates(shared.filter("early").withColumn("comp", F.col("rid")), 1)
+    links = verified(fingerprint_pairs(own.select("rid", "fp"), radius).unionByName(chains))
     best, total = True, links.count()
     roots = connected_components(links, "a", "b")
     while True:
