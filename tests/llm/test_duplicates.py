@@ -260,6 +260,18 @@ def test_near_copies_go_through_ball_hashing(spark, monkeypatch):
     assert len(within) >= 3 and kept == {*range(5)} | {10 + i for i in range(5) if i not in within}
 
 
+def test_near_copies_meet_once_in_a_passage():
+    """Rows that share ten tokens in a row are a pair once; a row that joins at the sixth is one with each there."""
+    batches = []
+    for place in range(10):
+        rids = [0, 1] if place < 5 else [0, 1, 2]
+        before = [None if place == 0 or r == 2 and place == 5 else place - 1 for r in rids]
+        cols = {"place": [place] * len(rids), "side": [0] * len(rids), "rid": rids, "n": [100] * len(rids), "comp": rids, "before": pa.array(before, pa.int64()), "sketch": [bytes(32)] * len(rids)}
+        batches.append(pa.RecordBatch.from_pydict(cols))
+    got = [tuple(r.values()) for b in simhash._meet(0.8, None)(iter(batches)) for r in b.to_pylist()]
+    assert sorted(got) == [(0, 1), (0, 2), (1, 2)]
+
+
 def test_near_copies_keep_rows_of_one_doc_id(spark):
     rng = random.Random(12)
     texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30)) for _ in range(3)]

@@ -240,14 +240,17 @@ class _Sketches:
 
 
 def _meet(similarity: float, span: int | None, best: bool = False):
-    """(a, b) of the rows (place, side, rid, n, comp, sketch; ordered by place) that meet at a place, lie in different
+    """(a, b) of the rows (place, side, rid, n, comp, before, sketch; ordered by place) that meet at a place, lie in different
     components, and whose sizes and sketches do not rule the similarity out. ``span`` bounds the distance of two
     rows in a place's list; None takes all pairs, but where a place has rows of two sides only those across.
-    ``best``: of each row's pairs only the one whose sketches are the most alike."""
+    ``best``: of each row's pairs only the one whose sketches are the most alike. ``before``: the token a row has before
+    this one, or null. Two rows with the same one meet there, too, so a pair is given where what is before differs, and
+    at its first token always."""
     most_apart = (1 - similarity) / (1 + similarity)
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         place, side, rid, n, comp = (t.column(c).to_numpy() for c in ("place", "side", "rid", "n", "comp"))
+        before, begins = t.column("before").fill_null(0).to_numpy(), t.column("before").is_null().to_numpy()
         sketches = _Sketches(t.column("sketch"))
         found = [np.empty((0, 2), np.int64)]
         nearest, partner = np.full(len(place), 2.0), np.zeros(len(place), np.int64)
@@ -255,7 +258,7 @@ def _meet(similarity: float, span: int | None, best: bool = False):
         def compare(i: np.ndarray, j: np.ndarray) -> None:
             """Takes in the pairs of rows i and j (of one place) that may be alike. i has each row once, or one row only."""
             x, y = n[i], n[j]
-            fits = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6)
+            fits = (comp[i] != comp[j]) & (begins[i] | begins[j] | (before[i] != before[j])) & ((side[i] != side[j]) | (side[i] == 0)) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6)
             i, j = i[fits], j[fits]
             share = sketches.apart(i, j) / (n[i] + n[j])
             near = share <= most_apart + 1e-9
@@ -358,7 +361,8 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = materialize(tokens.join(met, "token").withColumns({"rare": next(ends), "common": next(ends)}).select("rid", "token", "c", (F.col("rare") | F.col("common")).alias("early")), "shared")
 
     def candidates(at: DataFrame, span: int | None, best: bool = False) -> DataFrame:
-        full = _places(at, span is None).join(own.select("rid", "n", "sketch"), "rid").select("place", "side", "rid", "n", "comp", "sketch", F.xxhash64("rid", "place").alias("draw"))
+        last = F.lag("token").over(Window.partitionBy("rid").orderBy(F.desc("c"), "token")) if span is None and not best else F.lit(None).cast("long")
+        full = _places(at.withColumn("before", last), span is None).join(own.select("rid", "n", "sketch"), "rid").select("place", "side", "rid", "n", "comp", "before", "sketch", F.xxhash64("rid", "place").alias("draw"))
         listed = full.repartition("place").sortWithinPartitions("place", "draw").drop("draw")
         return listed.mapInArrow(_meet(similarity, span, best), "a long, b long")
 
