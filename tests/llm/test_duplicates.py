@@ -159,6 +159,40 @@ def test_rows_of_hot_anchors_stay_few(spark, monkeypatch):
     assert 0 < sum(pieces) <= 5 * len(docs)
 
 
+def test_rows_cut_from_hot_segments_grow_with_their_number(spark, monkeypatch):
+    """A segment over an end of a common passage makes few rows, and twice the group makes twice the rows."""
+    monkeypatch.setattr(repeats, "SPLIT", 20)
+    made = []
+    for n in (150, 300):
+        with monkeypatch.context() as m:
+            seen, docs = stored(m), behind_one_passage(n)
+            assert {r["doc_id"]: tuple(r[1:]) for r in byte_dedup(frame(spark, docs)).collect()} == brute_bytes(docs, 200)
+        made.append(sum(rows for plan, rows in seen if re.search(r"MapInArrow run\(.*, up#", plan)))
+    assert 0 < made[0] <= 7 * 150 and made[1] <= 2.4 * made[0]
+
+
+@pytest.mark.parametrize("many", [20000, 0])
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_hot_segments_beside_a_reference(spark, monkeypatch, unit, many):
+    """Passages with other texts before, behind and inside, changed places and grams that come twice, all hot."""
+    monkeypatch.setattr(repeats, "SPLIT", 1)
+    monkeypatch.setattr(repeats, "MANY", many)
+    rng = random.Random(23)
+    line = lambda n: " ".join(rng.choice(["ab", "c", "dd", "e", "fgh"]) for _ in range(n))
+    base = line(60)
+    docs = [None, "", base, "x " * 90, "x " * 70 + "y", "y " + "x " * 80]
+    for _ in range(24):
+        a, b = sorted(rng.sample(range(len(base)), 2))
+        docs += [line(rng.randint(0, 9)) + " " + base[: rng.choice([a, 999])] + line(rng.randint(0, 3)) + base[b:] + " " + line(rng.randint(0, 9))]
+    docs = list(enumerate(docs + docs[7:9]))
+    if unit == "bytes":
+        got = {r["doc_id"]: tuple(r[1:]) for r in byte_dedup(frame(spark, docs), window=60, k=20).collect()}
+        assert got == brute_bytes(docs, 60)
+    else:
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup(frame(spark, docs), window=12, k=4).collect()}
+        assert got == brute_words(docs, 12)
+
+
 def test_near_copies_leave_one(spark):
     rng = random.Random(1)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
