@@ -153,6 +153,22 @@ def test_dropout_is_that_of_the_agenda(alpha):
             assert enc.encode(text).tolist() == agenda(enc, text)
 
 
+def test_dropout_keeps_outcomes_of_one_skip(monkeypatch):
+    """An outcome of one skip is looked up, too, where the chunk has never come without skips."""
+    enc, made = DropoutEncoder(tokenizer_path("piece_bpe_32k.model"), seed=5, alpha=0.1), []
+    real = enc.chunk
+    monkeypatch.setattr(enc, "chunk", lambda *a: made.append(a) or real(*a))
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("aeioulnrst") for _ in range(9)) for _ in range(600))
+    wanted = agenda(enc, text)
+    assert enc.encode(text).tolist() == wanted
+    first = len(made)
+    assert enc.encode(text).tolist() == wanted
+    assert 0 < len(made) - first < first / 4
+    third = " ".join(text.split()[::-1])
+    assert enc.encode(third).tolist() == agenda(enc, third)
+
+
 def test_dropout_varies_by_occurrence():
     model = tokenizer_path("piece_bpe_32k.model")
     word, n = "understanding", 2000

@@ -19,7 +19,8 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,9 @@ class DropoutEncoder:
         self.ids = {library.id_to_piece(i): i for i in plain}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces with an inner space mark: texts cannot be cut into chunks")
-        self.rank = {p: r for r, p in enumerate(sorted(self.ids, key=lambda p: -library.get_score(self.ids[p])))}
+        self.ranked = sorted(self.ids, key=lambda p: -library.get_score(self.ids[p]))
+        self.rank = {p: r for r, p in enumerate(self.ranked)}
+        self.packed = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.byte = {int(library.id_to_piece(i)[1:-1], 16): i for i in range(n) if library.is_byte(i)}
         self.unknown = library.unk_id()
         self.bytes_of = [b""] * n
@@ -101,32 +104,35 @@ class DropoutEncoder:
         if len(text) > KEPT:
             symbols, popped = self._long(text, gaps, draw)
         else:
-            rank, popped, used, wait = self.rank.get, 0, 1, gaps[0]
+            rank, ranked, popped, used, skip = self.rank.get, self.ranked, 0, 1, gaps[0]
             symbols = list(text)
-            ranks = [rank(text[i : i + 2], NEVER) for i in range(len(text) - 1)]
-            while ranks and (r := min(ranks)) != NEVER:
+            last = len(symbols) - 1
+            ranks = list(map(rank, map(add, text, text[1:]), repeat(NEVER)))
+            ranks.append(NEVER)  # so that there always is a least one
+            while (r := min(ranks)) != NEVER:
                 i = ranks.index(r)
-                popped += 1
-                if not wait:
+                if popped == skip:
                     ranks[i] = NEVER  # until one of its symbols changes
+                    popped += 1
                     if used < len(gaps):
-                        wait = gaps[used]
+                        skip = popped + gaps[used]
                         used += 1
                     else:
                         draw = _mixed(draw + GOLDEN & MASK)
-                        wait = self._gap(draw)
+                        skip = popped + self._gap(draw)
                     continue
-                wait -= 1
-                del ranks[i]
-                symbols[i] = joined = symbols[i] + symbols.pop(i + 1)
-                if i < len(ranks):
+                popped += 1
+                last -= 1
+                del ranks[i], symbols[i]
+                symbols[i] = joined = ranked[r]
+                if i < last:
                     ranks[i] = rank(joined + symbols[i + 1], NEVER)
                 if i:
                     ranks[i - 1] = rank(symbols[i - 1] + joined, NEVER)
-        ids = self.ids
         try:
-            return array("I", [ids[p] for p in symbols]).tobytes(), popped
+            return b"".join(map(self.packed.__getitem__, symbols)), popped
         except KeyError:
+            ids = self.ids
             found = ([ids[p]] if p in ids else [self.byte.get(b, self.unknown) for b in p.encode()] for p in symbols)
             return array("I", chain.from_iterable(found)).tobytes(), popped
 
@@ -172,26 +178,35 @@ class DropoutEncoder:
 
     def _made(self, chunk: str, above: list | None, gap: int, skips: tuple[int, ...], more: int, draw: int, known: tuple[int, ...]) -> bytes:
         """Ids of an occurrence with ``skips``, then ``more``, then those ``known``, then those of ``draw``. Kept below
-        the node ``above`` at ``gap`` (None: as the chunk's own) if no skip came after ``skips``."""
+        the node ``above`` at ``gap`` (None: as the chunk's own) if no skip came after ``skips``. Where the chunk's own
+        ids are not known yet, an outcome of one skip is kept below a node that stands for them."""
         packed, popped = self.chunk(chunk, (*skips, more, *known), draw)
-        if len(chunk) <= KEPT and popped <= sum(skips) + len(skips) + more:
+        if len(chunk) > KEPT:
+            return packed
+        if popped <= sum(skips) + len(skips) + more:
             if self.nodes >= self.most:
                 self.known.clear()
                 self.nodes = 0
                 if above is not None:
                     return packed
             if above is None:
-                self.known[chunk] = [packed, popped, NONE]
+                self.known[chunk] = [packed, popped, self.known.get(chunk, FRESH)[2]]
             else:
                 if above[2] is NONE:
                     above[2] = {}
                 above[2][gap] = [packed, popped, NONE]
             self.nodes += 1
+        elif known and popped <= more + 1 + known[0] and self.nodes < self.most:
+            if chunk not in self.known:
+                self.known[chunk] = [*FRESH[:2], {}]
+                self.nodes += 1
+            self.known[chunk][2][more] = [packed, popped, NONE]
+            self.nodes += 1
         return packed
 
     def _skipped(self, chunk: str, node: list, gap: int, more: int, draw: int) -> bytes:
         """Ids of an occurrence whose skips come after ``gap`` candidates, then ``more``, then what ``draw`` gives."""
-        if node is FRESH:
+        if node[1] == FRESH[1] and (node is FRESH or gap not in node[2]):
             return self._made(chunk, None, 0, (), gap, draw, (more,))
         above, passed = node, gap + 1
         node = above[2].get(gap)
