@@ -169,6 +169,35 @@ def test_dropout_keeps_outcomes_of_one_skip(monkeypatch):
     assert enc.encode(third).tolist() == agenda(enc, third)
 
 
+def test_dropout_runs_many_unknown_chunks_side_by_side(monkeypatch):
+    """Chunks that are not cached go through no agenda of their own, whatever their skips."""
+    enc, made = DropoutEncoder(tokenizer_path("piece_bpe_32k.model"), seed=5, alpha=0.3), []
+    real = enc.chunk
+    monkeypatch.setattr(enc, "chunk", lambda *a: made.append(a) or real(*a))
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeioulnrstéß") for _ in range(rng.randint(1, 20))) for _ in range(6000)]
+    text = " ".join(words + ["x" * 60, "日本語"])
+    wanted = agenda(enc, text)
+    for _ in range(2):
+        assert enc.encode(text).tolist() == wanted
+    assert len(made) < 600
+
+
+@pytest.mark.parametrize("alpha", [0, 0.1, 0.5, 1])
+def test_dropout_of_many_texts_is_that_of_each(alpha, monkeypatch):
+    model = tokenizer_path("piece_bpe_32k.model")
+    alone, enc = DropoutEncoder(model, seed=5, alpha=alpha), DropoutEncoder(model, seed=5, alpha=alpha, most=3000)
+    rng = random.Random(4)
+    texts = [t for t in TEXTS if t is not None] + ["a▁b", "▁", "日本語 \U0001f600 " * 5]
+    texts += [" ".join("".join(rng.choice("aeio'.1日tn") for _ in range(rng.randint(1, 50))) for _ in range(40)) for _ in range(40)]
+    wanted = [alone.encode(t).tolist() for t in texts]  # few chunks: one after the other
+    monkeypatch.setattr(piece_dropout, "TOGETHER", 8)
+    monkeypatch.setattr(piece_dropout, "BLOCK", 300)  # texts share blocks and go over their borders
+    for _ in range(2):
+        assert [ids.tolist() for ids in enc.encode_all(texts)] == wanted
+    assert enc.known and list(enc.encode_all([])) == []
+
+
 def test_dropout_varies_by_occurrence():
     model = tokenizer_path("piece_bpe_32k.model")
     word, n = "understanding", 2000
