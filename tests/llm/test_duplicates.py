@@ -12,9 +12,9 @@ import xxhash
 
 from tidemark.llm import repeats, simhash
 from tidemark.llm.components import connected_components
-from tidemark.llm.run_length_index import RunLengthIndex, byte_dedup
+from tidemark.llm.run_length_index import RunLengthIndex, byte_dedup, shard_repeats
 from tidemark.llm.simhash import drop_near_copies, near_duplicates
-from tidemark.llm.substring_dedup import SuffixAutomaton, drop_repeats, substring_dedup
+from tidemark.llm.substring_dedup import SuffixAutomaton, drop_repeats, shard_firsts, substring_dedup
 
 SCHEMA = "doc_id long, text string, key string, spans int, n_chars long"
 
@@ -193,6 +193,40 @@ def test_hot_segments_beside_a_reference(spark, monkeypatch, unit, many):
         assert got == brute_words(docs, 12)
 
 
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_rows_of_spans_do_not_grow_with_windows(spark, monkeypatch, unit):
+    """Hot text of a short period: a segment joins its copies with one row, whatever the number of its windows."""
+    monkeypatch.setattr(repeats, "SPLIT", 10)
+    rows, real, rng = {}, repeats.materialize, random.Random(29)
+
+    def spy(df, tag):
+        made = real(df, tag)
+        rows.setdefault(tag, []).append((made.count(), made.select("sd").distinct().count() if "sd" in made.columns else 0))
+        return made
+
+    monkeypatch.setattr(repeats, "materialize", spy)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    docs = [(i, line(9) + (" is on dr" * 80)[rng.randrange(9) :][: rng.randrange(400, 700)] + line(i % 3)) for i in range(60)]
+    docs += [(60 + i, t) for i, t in docs[:30]]
+    if unit == "bytes":
+        windows = repeats.Unit(100, 32, repeats.byte_symbols, repeats.byte_cut)
+        found = repeats.repeated_windows(repeats.keyed(frame(spark, docs), "doc_id", "text"), windows, shard_repeats, across=False)
+    else:
+        windows = repeats.Unit(30, 10, repeats.word_symbols, repeats.word_cut)
+        found = repeats.repeated_windows(repeats.keyed(frame(spark, docs), "doc_id", "text"), windows, shard_firsts, across=True)
+    assert 0 < found.count() <= rows["segments"][0][0]
+    assert len(rows["finer"]) >= 2 and all(n == sds for n, sds in rows["spans"])
+    assert sum(n for n, _ in rows["finer"]) <= 20 * rows["distinct"][0][0]
+    runs = found.selectExpr("doc_id", "inline(runs)").collect()
+    begin = {(r["doc_id"], r["start"], r["first"]) for r in runs}
+    assert sum((r["doc_id"], r["start"] + r["n"], r["first"]) in begin for r in runs) <= rows["segments"][0][0]
+    if unit == "bytes":
+        assert {r["doc_id"]: tuple(r[1:]) for r in byte_dedup(frame(spark, docs), window=100, k=32).collect()} == brute_bytes(docs, 100)
+    else:
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup(frame(spark, docs), window=30, k=10).collect()}
+        assert got == brute_words(docs, 30)
+
+
 def test_near_copies_leave_one(spark):
     rng = random.Random(1)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]

@@ -18,7 +18,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import discard, materialize, text_slices, trim
@@ -27,8 +27,8 @@ SPLIT = 500  # distinct segments of an anchor that one shard takes
 MANY = 20000  # distinct segments of an anchor from which three symbols tell too few apart
 NEVER = 1 << 30
 PIECE = 1024  # windows of a segment at most
-SPAN = "sd binary, off int, n int, first long"
-FINER = {"anchor": pa.int64(), "sd": pa.binary(), "seg": pa.binary(), "cnt": pa.int64(), "first": pa.int64(), "up": pa.binary(), "at": pa.int32(), "times": pa.int64()}
+SPANS = "sd binary, runs array<struct<off int, n int, first long>>"
+FINER = {"anchor": pa.int64(), "sd": pa.binary(), "seg": pa.binary(), "cnt": pa.int64(), "first": pa.int64(), "up": pa.binary(), "at": pa.list_(pa.int32()), "times": pa.int64()}
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -242,11 +242,14 @@ def _beside(unit: Unit):
                     p = int(np.flatnonzero(gram_hashes(base, unit.k) == np.uint64(anchor))[0])
                     known = anchor, base[:p][::-1], base[p + unit.k :], ((1, 3), (3, 8), (8, NEVER)) if many else ((1, 3), (3, NEVER))
                 symbols, how = unit.symbols(raw)
+                places: dict = {}
                 for a, b, name in parts(anchor, len(symbols) - unit.window + 1, symbols, *known[1:]):
-                    seg = unit.cut(raw, how, a, b + unit.window - 1)
+                    places.setdefault((name, unit.cut(raw, how, a, b + unit.window - 1)), []).append(a)
+                for (name, seg), at in places.items():
                     finer = xxhash.xxh3_64_intdigest(name, anchor)
                     signed = finer - (1 << 64) if finer >> 63 else finer
-                    for c, x in zip(cols, (signed, xxhash.xxh3_128_digest(seg), seg, cnt, first, sd, a, cnt * (2 if name == b"twice" else 1)), strict=True):
+                    times = cnt * len(at)
+                    for c, x in zip(cols, (signed, xxhash.xxh3_128_digest(seg), seg, times, first, sd, at, times * (2 if name == b"twice" else 1)), strict=True):
                         c.append(x)
                     size += len(seg)
                 if size > 2 << 20:
@@ -261,7 +264,7 @@ def _beside(unit: Unit):
 
 def _finer(unit: Unit):
     """Distinct segments cut by the anchors of a longer gram: the same rows, with the segment they come from and
-    the place in it."""
+    their places in it. Text of a short period makes equal pieces at many places, which are one row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 1 << 20):
             cols: list[list] = [[] for _ in FINER]
@@ -271,10 +274,12 @@ def _finer(unit: Unit):
                 anchors, starts, counts, grams = unit.runs(symbols)
                 own, times = _twice(anchors, grams)
                 often = dict(zip(own.tolist(), times.tolist(), strict=True))
+                places: dict = {}
                 for anchor, a, n in zip(anchors.tolist(), starts.tolist(), counts.tolist(), strict=True):
-                    seg = unit.cut(raw, how, a, a + n + unit.window - 1)
+                    places.setdefault((anchor, unit.cut(raw, how, a, a + n + unit.window - 1)), []).append(a)
+                for (anchor, seg), at in places.items():
                     signed = anchor - (1 << 64) if anchor >> 63 else anchor
-                    for c, x in zip(cols, (signed, xxhash.xxh3_128_digest(seg), seg, cnt, first, sd, a, cnt * often[anchor]), strict=True):
+                    for c, x in zip(cols, (signed, xxhash.xxh3_128_digest(seg), seg, cnt * len(at), first, sd, at, cnt * len(at) * often[anchor]), strict=True):
                         c.append(x)
                     size += len(seg)
                 if size > 2 << 20:
@@ -287,13 +292,36 @@ def _finer(unit: Unit):
     return run
 
 
+def _listed(sd: pa.Array, begin: np.ndarray, off, n, first) -> pa.RecordBatch:
+    """``SPANS``: the runs of each segment, which begin at ``begin`` in the arrays, as one row."""
+    runs = pa.StructArray.from_arrays([pa.array(off, pa.int32()), pa.array(n, pa.int32()), pa.array(first, pa.int64())], names=["off", "n", "first"])
+    return pa.RecordBatch.from_arrays([sd, pa.ListArray.from_arrays(pa.array(np.append(begin, len(runs)), pa.int32()), runs)], names=["sd", "runs"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sd, runs) with runs that touch and have one ``first`` as one run."""
+    for batch in text_slices(batches):
+        runs = batch.column("runs")
+        if not len(own := np.repeat(np.arange(len(runs)), runs.value_lengths())):
+            continue
+        off, n, first = (c.to_numpy(zero_copy_only=False) for c in runs.flatten().flatten())
+        order = np.lexsort((off, own))
+        own, off, end, first = own[order], off[order], (off + n)[order], first[order]
+        fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (off[1:] > end[:-1]) | (first[1:] != first[:-1])])
+        at = np.flatnonzero(fresh)
+        begin = np.flatnonzero(np.concatenate([[True], own[at[1:]] != own[at[:-1]]]))
+        yield _listed(batch.column("sd").take(pa.array(own[at[begin]])), begin, off[at], np.maximum.reduceat(end, at) - off[at], first[at])
+    trim()
+
+
 def _shards(index: Callable, unit: Unit, most_bytes: int):
     """Cut a partition sorted by anchor into shards at anchor borders and index each."""
 
     def solved(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         sd, off, n, first = index(unit, rows)
         if len(off):
-            yield pa.RecordBatch.from_arrays([pa.array(sd, pa.binary()), pa.array(off, pa.int32()), pa.array(n, pa.int32()), pa.array(first, pa.int64())], names=["sd", "off", "n", "first"])
+            begin = [i for i, x in enumerate(sd) if not i or x != sd[i - 1]]
+            yield _listed(pa.array([sd[i] for i in begin], pa.binary()), np.array(begin), off, n, first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, last = [], 0, None
@@ -312,15 +340,21 @@ def _shards(index: Callable, unit: Unit, most_bytes: int):
     return run
 
 
+def _moved(by: Column, old: str, new: str) -> Column:
+    """``runs`` whose places count from where the place ``by`` does."""
+    return F.transform("runs", lambda r: F.struct((by + r[old]).alias(new), r["n"].alias("n"), r["first"].alias("first")))
+
+
 def _spans(distinct: DataFrame, unit: Unit, index: Callable, shard_bytes: int, *, gram: bool = True) -> DataFrame:
-    """Runs of repeated windows of the distinct segments (anchor, sd, seg, cnt, first), as ``SPAN``, stored.
+    """Runs of repeated windows of the distinct segments (anchor, sd, seg, cnt, first), as ``SPANS``, stored: one row
+    for a segment, whatever the number of its parts, as each of its copies is joined with all of its rows.
     ``gram``: the anchors are hashes of the unit's grams, so that a hot one's segments can be laid over each other."""
     longer, cold, spans = unit.longer, distinct, None
     if longer is not None:
         hot = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT).select("anchor"), "hot")
         if hot.take(1):
             cold = distinct.join(hot, "anchor", "left_anti")
-            schema = "anchor long, sd binary, seg binary, cnt long, first long, up binary, at int, times long"
+            schema = "anchor long, sd binary, seg binary, cnt long, first long, up binary, at array<int>, times long"
             warm = distinct.join(hot, "anchor", "left_semi")
             if gram:
                 # The reference is a long one, so that it has what others have; which one it is changes no result.
@@ -337,13 +371,15 @@ def _spans(distinct: DataFrame, unit: Unit, index: Callable, shard_bytes: int, *
             found = _spans(parts, unit if gram else longer, index, shard_bytes, gram=False)
             # Files of these tables are a hundredth of their rows in memory, so their size must not lead to a broadcast.
             lifted = cut.select("sd", "up", "at").join(found.hint("merge"), "sd")
-            spans = lifted.select(F.col("up").alias("sd"), (F.col("at") + F.col("off")).alias("off"), "n", "first")
-    solved = cold.select("anchor", "sd", "seg", "cnt", "first").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(index, unit, shard_bytes), SPAN)
+            moved = F.flatten(F.transform("at", lambda at: _moved(at, "off", "off")))
+            spans = lifted.select(F.col("up").alias("sd"), moved.alias("runs")).groupBy("sd").agg(F.flatten(F.collect_list("runs")).alias("runs")).mapInArrow(_joined, SPANS)
+    solved = cold.select("anchor", "sd", "seg", "cnt", "first").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(index, unit, shard_bytes), SPANS)
     return materialize(solved if spans is None else solved.unionByName(spans), "spans")
 
 
 def repeated_windows(rows: DataFrame, unit: Unit, index: Callable, *, across: bool, shard_bytes: int = 1 << 20) -> DataFrame:
-    """(doc_id, key, start, n, first): runs of windows that occur elsewhere, with the smallest doc_id that has them.
+    """(doc_id, key, runs): runs of windows (start, n, first) that occur elsewhere, with the smallest doc_id that has them;
+    one row for each segment that has any.
 
     ``rows`` come from ``keyed``. ``across``: only windows that another row has too; else a second place in
     the same row counts. ``index(unit, segments)`` takes (anchor, sd, seg, cnt, first) rows of whole anchors.
@@ -362,7 +398,7 @@ def repeated_windows(rows: DataFrame, unit: Unit, index: Callable, *, across: bo
     spans = _spans(distinct, unit, index, shard_bytes)
     discard(distinct)
     placed = segments.select("sd", "doc_id", "key", "start").join(spans.hint("merge"), "sd")
-    return placed.select("doc_id", "key", (F.col("start") + F.col("off")).alias("start"), "n", "first")
+    return placed.select("doc_id", "key", _moved(F.col("start"), "off", "start").alias("runs"))
 
 
 def covered(starts: np.ndarray, counts: np.ndarray, window: int) -> list[tuple[int, int]]:

@@ -173,7 +173,7 @@ def byte_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = keyed(docs, id_col, text_col)
     unit = Unit(window, min(k, window), byte_symbols, byte_cut)
     found = repeated_windows(rows, unit, shard_repeats, across=False)
-    spans = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n")).alias("spans")).withColumnRenamed("doc_id", "own")
+    spans = found.groupBy("doc_id", "key").agg(F.flatten(F.collect_set("runs")).alias("spans")).withColumnRenamed("doc_id", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):

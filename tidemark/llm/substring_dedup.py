@@ -107,8 +107,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """Rows (doc_id, key, text) of the documents, and (doc_id, key, spans) of those that lose words."""
     rows = keyed(docs, id_col, text_col)
     unit = Unit(window, min(k, window), word_symbols, word_cut)
-    found = repeated_windows(rows, unit, shard_firsts, across=True, shard_bytes=1 << 18).filter(F.col("first") < F.col("doc_id"))
-    return rows, found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    found = repeated_windows(rows, unit, shard_firsts, across=True, shard_bytes=1 << 18)
+    own = found.withColumn("runs", F.filter("runs", lambda r: r["first"] < F.col("doc_id"))).filter(F.size("runs") > 0)
+    return rows, own.groupBy("doc_id", "key").agg(F.flatten(F.collect_set("runs")).alias("spans"))
 
 
 def kept_words(text: str, spans: list[dict] | None, window: int) -> tuple[int, int, bytes]:
