@@ -7,12 +7,16 @@ before anything reads them, so no lineage recomputation asks again.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import batched
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.functions.model import PairwiseModel, Request, ask, placeholders, reads_ids, reads_keep, reads_label, reads_record, reads_rows, reads_text
+from tidemark.functions.model import PairwiseModel, Request, ask, keyed, placeholders, reads_ids, reads_keep, reads_label, reads_record, reads_rows, reads_text
 from tidemark.operators.components import components
 from tidemark.operators.relational import OCC, Context, aggregate_column, c, lowers, pair_condition, suffixed
 from tidemark.operators.windows import with_positions
@@ -30,30 +34,53 @@ def _equal(left: DataFrame, names: Sequence[str]) -> Column:
     return out
 
 
-def asked(df: DataFrame, ctx: Context, kind: str, instruction: str, inputs: Sequence[str], result: str, read: Callable) -> DataFrame:
-    """Distinct ``inputs`` with the checked reply as ``__reply`` (type ``result``), stored."""
+SLICE = 256  # rows that are Python objects at a time
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def records(batch: pa.RecordBatch, names: Sequence[str]) -> list[dict]:
+    """A batch's rows as Python values (NaN is null, times are those of the session's zone) under ``names``."""
+    return [dict(zip(names, r, strict=True)) for r in zip(*map(values, batch.columns), strict=True)]
+
+
+def values(column: pa.Array) -> list:
+    zoned = pa.types.is_timestamp(column.type) and column.type.tz
+    found = column.to_pandas().dt.tz_convert(column.type.tz).dt.tz_localize(None).tolist() if zoned else column.to_pylist()
+    return [None if _null(v) else v for v in found]
+
+
+def asked(df: DataFrame, ctx: Context, kind: str, instruction: str, inputs: Sequence[str], result: str, read: Callable, said: Sequence[str] = ()) -> DataFrame:
+    """Distinct ``inputs`` with the checked reply as ``__reply`` (type ``result``), stored. The model gets the values
+    by the names ``said``, by default the columns'."""
     if ctx.model is None:
         raise ValueError("a semantic operator needs a model")
-    model = ctx.model
+    model, said = ctx.model, list(said or inputs)
     tasks = df.select(*map(c, inputs)).distinct()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema.fields) + f", __reply {result}"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if len(pdf):
-                requests = [Request(kind, instruction, {k: None if _null(v) else v for k, v in r.items()}) for r in pdf.to_dict("records")]
-                yield pdf.assign(__reply=pd.Series(ask(model, requests, read), index=pdf.index, dtype=object))
+    kinds = pa.schema([to_arrow_schema(T.StructType([T.StructField("r", T._parse_datatype_string(result))])).field(0)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            requests = [Request(kind, instruction, r) for r in records(part, said)]
+            replies = pa.array(ask(model, requests, read), kinds.field(0).type)
+            yield pa.RecordBatch.from_arrays([*part.columns, replies], names=[*part.schema.names, "__reply"])
 
     kept = ctx.options.get("__replies")  # of earlier steps, by question: what was asked is not asked again
     if kept is None:
-        return stored(tasks.mapInPandas(run, schema), "replies")
+        return stored(tasks.mapInArrow(run, schema), "replies")
     key = f"{kind}|{instruction}|{schema}"
     known = kept.get(key)
     if known is not None:
         tasks = stored(tasks, "tasks")
         before = known.frame(ctx.spark).select(*(c(n).alias(f"__k{i}") for i, n in enumerate(inputs)))
         fresh = tasks.join(before, _equal(tasks, inputs), "left_anti")
-    path, made = store((tasks if known is None else fresh).mapInPandas(run, schema), "replies")
+    path, made = store((tasks if known is None else fresh).mapInArrow(run, schema), "replies")
     kept[key] = (known or State(made.schema)).plus(path)
     return made if known is None else with_reply(tasks, kept[key].frame(ctx.spark), inputs)
 
@@ -70,6 +97,17 @@ def with_reply(df: DataFrame, replies: DataFrame, inputs: Sequence[str]) -> Data
     return df.join(right, condition, "inner").drop(*(f"__in_{i}" for i in range(len(inputs))))
 
 
+def with_key(df: DataFrame, ctx: Context, instruction: str, inputs: Sequence[str], name: str, said: Sequence[str] = ()) -> DataFrame:
+    """With the model's key of ``inputs`` (see ``SameKey``): one question for each distinct value."""
+    return with_reply(df, asked(df, ctx, "key", instruction, inputs, "string", str, said), inputs).withColumnRenamed("__reply", name)
+
+
+@lowers("sem_key")
+def _sem_key(node, ctx, inputs):
+    p = node.params
+    return with_key(inputs[0], ctx, p["instruction"], p["input_cols"], p["output"], p["said"])
+
+
 def _inputs(instruction: str, columns: Sequence[str]) -> list[str]:
     found = []
     for p in placeholders(instruction):
@@ -295,6 +333,11 @@ def _sem_groupby(node, ctx, inputs):
     nodes = stored(with_positions(df.groupBy(*map(c, keys)).agg(F.min(OCC).alias(OCC)), "__id"), "keys")
     a, b = (nodes.select(*(c(k).alias(f"{k}:{s}") for k in keys), c("__id").alias(f"__{s}")) for s in ("left", "right"))
     profile = _profile(ctx.options, "groups")
+    if not profile and keyed(ctx.model, p["instruction"]):  # rows of one key are linked, so their first one is the root
+        same = [*p["partition_by"], *ctx.keys, "__key"]
+        known = stored(with_key(nodes, ctx, p["instruction"], names, "__key"), "known")
+        roots = known.groupBy(*map(c, same)).agg(F.min("__id").alias("__reply"))
+        return with_reply(df, with_reply(known, roots, same).select(*map(c, keys), "__reply"), keys).withColumn(p["group_col"], c("__reply"))
     if profile:
         profile = {"left": f"{profile['column']}:left", "right": f"{profile['column']}:right", **profile}
         a, b, score = scored(a, b, profile)
@@ -349,28 +392,32 @@ def _last(model, instruction: str, budget: int, outputs: Sequence[str]):
     return run
 
 
-def _leaves(fold: Callable, columns: Sequence[str], hidden: Sequence[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__o=pdf[OCC].map(tuple)).sort_values("__o")
-        items = [_plain(r[columns[0]]) if len(columns) == 1 else {k: _plain(v) for k, v in r.items()} for r in pdf[list(columns)].to_dict("records")]
-        return pd.DataFrame([{**{h: pdf[h].iloc[0] for h in hidden}, "__b": pdf["__b"].iloc[0], "__x": fold(items)}])
-
-    return run
-
-
-def _states(fold: Callable, hidden: Sequence[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = pdf.sort_values("__b")["__x"].tolist()
-        return pd.DataFrame([{**{h: pdf[h].iloc[0] for h in hidden}, "__b": pdf["__b"].iloc[0] // FAN, "__x": items[0] if len(items) == 1 else fold(items, "agg_state")}])
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Stretches of rows that are equal in their first ``width`` columns: these, and the rows' others."""
+    key, rows = None, []
+    for batch in slices(batches):
+        for r in zip(*map(values, batch.columns), strict=True):
+            if rows and r[:width] != key:
+                yield key, rows
+                rows = []
+            key = r[:width]
+            rows.append(r[width:])
+    if rows:
+        yield key, rows
 
-    return run
 
+def by_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, made: Callable[[tuple, list[tuple]], tuple]) -> DataFrame:
+    """``made`` of each group's key and of its rows in order. A task streams through many groups and holds one."""
+    kinds = to_arrow_schema(T._parse_datatype_string(schema))
+    dealt = df.repartition(*map(c, keys)) if keys else df.repartition(1)
+    rows = dealt.sortWithinPartitions(*map(c, (*keys, *order))).select(*map(c, keys), *(c(x) for x in df.columns if x not in (*keys, OCC)))
+    width = len(keys)
 
-def _tops(last: Callable, hidden: Sequence[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{**{h: pdf[h].iloc[0] for h in hidden}, **last(pdf.sort_values("__b")["__x"].tolist())}])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batched((made(*r) for r in _runs(batches, width)), SLICE):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part, strict=True), kinds, strict=True)], schema=kinds)
 
-    return run
+    return rows.mapInArrow(run, schema)
 
 
 LEAF = 4096  # rows that a leaf of a fold takes
@@ -389,11 +436,13 @@ def semantic_aggregate(node, ctx: Context, df: DataFrame) -> DataFrame:
     for s in (s for s in node.params["specs"] if s.kind == "sem_agg"):
         fold, last = _fold(model, s.options[0], budget), _last(model, s.options[0], budget, s.outputs)
         part = with_positions(df.select(*hidden, *map(c, dict.fromkeys(s.columns)), OCC)).withColumn("__b", F.floor(c("__pos") / LEAF).cast("long")).drop("__pos")
-        low = stored(part.groupBy(*hidden, "__b").applyInPandas(_leaves(fold, s.columns, hidden), f"{begin}__b long, __x string"), "fold")
+        part = part.select(*hidden, "__b", OCC, *(c(x).alias(f"__v{i}") for i, x in enumerate(s.columns)))
+        state = f"{begin}__b long, __x string"
+        low = stored(by_runs(part, [*hidden, "__b"], [OCC], state, lambda key, rows, s=s, fold=fold: (*key, fold([r[0] if len(r) == 1 else dict(zip(s.columns, r, strict=True)) for r in rows]))), "fold")
         while low.groupBy(*hidden).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FAN).take(1):
-            higher = low.withColumn("__up", F.floor(c("__b") / FAN)).groupBy(*hidden, "__up")
-            low = stored(higher.applyInPandas(lambda pdf, f=_states(fold, hidden): f(pdf.drop(columns="__up")), low.schema), "fold")
-        high = stored(low.groupBy(*hidden).applyInPandas(_tops(last, hidden), begin + ", ".join(f"`{o}` string" for o in s.outputs)), "fold")
+            higher = low.withColumn("__up", F.floor(c("__b") / FAN).cast("long")).select(*hidden, "__up", "__b", "__x")
+            low = stored(by_runs(higher, [*hidden, "__up"], ["__b"], state, lambda key, rows, fold=fold: (*key, rows[0][1] if len(rows) == 1 else fold([r[1] for r in rows], "agg_state"))), "fold")
+        high = stored(by_runs(low, hidden, ["__b"], begin + ", ".join(f"`{o}` string" for o in s.outputs), lambda key, rows, s=s, last=last: (*key, *(said[o] for said in [last([r[1] for r in rows])] for o in s.outputs))), "fold")
         out = out.join(high, hidden) if hidden else out.crossJoin(high)  # one row each
     return out
 
