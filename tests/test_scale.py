@@ -26,3 +26,47 @@ def test_folds_of_many_levels(spark, monkeypatch):
     r = log.group_by(["k"]).agg(sem_agg("join", "s", ["v"]))
     got = evaluate(r, frame, ["arrival"], RuleModel({"join": lambda v: "+".join(map(str, v["items"]))})).collect()
     assert dict(map(tuple, got)) == {x: "+".join(str(v) for k, v, _ in rows if k == x) for x in "abc"}
+
+
+def counted(rule, at):
+    def ask(v):
+        with at.open("a") as f:
+            f.write("x\n")
+        return rule(v)
+
+    return ask
+
+
+def test_keys_in_place_of_pairs(spark, tmp_path):
+    """A rule that is an equality of keys is asked once for each value, and gives the groups that all pairs give."""
+    text, at = "same {k:left} {k:right}", tmp_path / "asked"
+    rows = [(w, i, i) for i, w in enumerate(["ax", "B", "Ay", "b", "c", "az", "B", None])]
+    frame = spark.createDataFrame(rows, "k string, v long, arrival long")
+    first = lambda x: x and x[0].lower()
+    by_key = RuleModel({text: SameKey(counted(lambda v: first(v["k"]), at))})
+    by_pair = RuleModel({text: lambda v: first(v["k:left"]) == first(v["k:right"])})
+    r = log.sem_groupby(["k"], text).members()
+    assert bag(evaluate(r, frame, ["arrival"], by_key)) == bag(evaluate(r, frame, ["arrival"], by_pair))
+    assert len(at.read_text().split()) == 7
+    # Pairs of a join, too, over steps.
+    pairs = log.alias("left").join(log.alias("right"), log.alias("left").col("v") < log.alias("right").col("v")).sem_filter(text)
+    flows = [Dataflow(spark, log, {"p": pairs}, m) for m in (by_key, by_pair)]
+    for flow in flows:
+        for part in (rows[:4], rows[4:]):
+            flow.apply(spark.createDataFrame([r[:2] for r in part], "k string, v long").coalesce(1))
+    assert bag(flows[0].view("p")) == bag(flows[1].view("p")) == bag(evaluate(pairs, frame, ["arrival"], by_pair))
+    assert flows[0].view("p").count() == 3 + 3
+    assert flows[0].query(pairs).count() == 6
+
+
+def test_graph_asks_about_names_not_pairs(spark):
+    """The graph policy with its keys agrees with the same rules asked about pairs."""
+    texts = ["Ann bob", "ann Carl", "bob carl", "Ann Bob", "dora", "Dan ann"]
+    opaque = {k: (lambda v, f=f: f(v)) if isinstance(f, SameKey) else f for k, f in GRAPH_RULES.rules.items()}
+    found = []
+    for model in (GRAPH_RULES, RuleModel(opaque)):
+        policy = policies.graph_memory(communities=True)
+        flow = Dataflow(spark, policy.log, {k: policy.views[k] for k in ("entities", "communities")}, model)
+        flow.apply(spark.createDataFrame([("r", "s", t, str(i)) for i, t in enumerate(texts)], "role string, speaker string, content string, reference_time string").coalesce(1))
+        found.append((bag(flow.view("entities").select("entity_id", "name", F.size("mentions"), "summary")), bag(flow.view("communities"))))
+    assert found[0] == found[1] and len(found[0][0]) == 5 and len(found[0][1]) == 4
