@@ -59,6 +59,22 @@ def test_keys_in_place_of_pairs(spark, tmp_path):
     assert flows[0].query(pairs).count() == 6
 
 
+def test_facts_are_compared_by_text(spark, tmp_path):
+    """Facts that were said often are asked about once, and those that older ones say are left out as by all pairs."""
+    said = ["a one", "b two", "A three", "a one", "c", "B", "a", "b x", "C y", "d"] * 3
+    frame = spark.createDataFrame([("r", x, None, i) for i, x in enumerate(said)], "role string, content string, observation_date string, at long")
+    at, found = tmp_path / "asked", []
+    for rule in (SameKey(counted(lambda v: v["fact"].lower(), at)), counted(lambda v: v["fact:older"].lower() == v["fact:newer"].lower(), tmp_path / "pairs")):
+        policy = policies.fact_memory()
+        flow = Dataflow(spark, policy.log, policy.views, RuleModel(POLICY_RULES.rules | {policies.SAME_FACT: rule}))
+        for lo, hi in ((0, 4), (4, 30)):
+            flow.apply(frame.filter(F.col("at").between(lo, hi - 1)).sort("at").coalesce(1).drop("at"))
+        found.append(bag(flow.view("memories")))
+    assert found[0] == found[1] and [eval(x)[0] for x in found[0]] == ["a", "b", "c", "d"]
+    assert len(at.read_text().split()) == 7  # the texts; both sides are one frame
+    assert len((tmp_path / "pairs").read_text().split()) == 7 * 6 // 2
+
+
 def test_graph_asks_about_names_not_pairs(spark):
     """The graph policy with its keys agrees with the same rules asked about pairs."""
     texts = ["Ann bob", "ann Carl", "bob carl", "Ann Bob", "dora", "Dan ann"]
