@@ -1,12 +1,15 @@
 """Work that must not grow with the square of the rows, and steps that only large inputs reach."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.model import RuleModel, SameKey
-from tidemark.operators import semantic
+from tidemark.operators import nearest, semantic
 from tidemark.plans import policies
 from tidemark.plans.relation import Log, sem_agg
 from tidemark.queries import POLICY_RULES
+from tidemark.sources.store import recorded
 from tidemark.streaming.engine import Dataflow, evaluate
 from tidemark.workloads import GRAPH_RULES
 
@@ -86,3 +89,54 @@ def test_graph_asks_about_names_not_pairs(spark):
         flow.apply(spark.createDataFrame([("r", "s", t, str(i)) for i, t in enumerate(texts)], "role string, speaker string, content string, reference_time string").coalesce(1))
         found.append((bag(flow.view("entities").select("entity_id", "name", F.size("mentions"), "summary")), bag(flow.view("communities"))))
     assert found[0] == found[1] and len(found[0][0]) == 5 and len(found[0][1]) == 4
+
+
+def test_nearest_by_blocks(spark, monkeypatch):
+    """Blocks of vectors give what all pairs ranked by Spark give: copies, zero and short vectors, null keys, several blocks."""
+    rng = random.Random(5)
+    vectors = [[rng.gauss(0, 1) for _ in range(7)] for _ in range(40)]
+    rows = []
+    for i in range(150):
+        v = rng.choice(vectors[:12]) if i % 3 else rng.choice(vectors)
+        v = None if i == 50 else [0.0] * 7 if i % 31 == 0 else v[:5] if i % 29 == 0 else v
+        rows.append((rng.choice(["a", "a", "b", None]), i, v))
+    frame = spark.createDataFrame(rows, "k string, v long, vec array<float>")
+    src = Log(["k", "v", "vec"])
+    x, y = src.alias("x"), src.alias("y")
+    differ = [x.col("k") == y.col("k"), y.col("v") != x.col("v")]
+    before = [x.col("v") > y.col("v")]
+    profiles = [{"k": 3}, {"k": 2, "per": "right", "threshold": 0.2}, {"k": 2, "per": "symmetric"}, {"threshold": 0.6}]
+    sides = {"mode": "proxy-only", "left": "vec:x", "right": "vec:y"}
+
+    def found():
+        out = [bag(evaluate(x.sem_join(y, "", on=on)[["v:x", "v:y"]], frame, ["v"], options={"pairs": sides | p})) for on in (differ, before) for p in profiles]
+        groups = src.sem_groupby(["v", "vec"], "", partition_by=["k"]).members()[["v", "__group"]]
+        return [*out, bag(evaluate(groups, frame, ["v"], options={"groups": {"mode": "proxy-only", "column": "vec", "k": 1, "per": "symmetric"}}))]
+
+    monkeypatch.setattr(nearest, "BLOCK", 20)
+    plans = []
+    monkeypatch.setattr(semantic, "promising", lambda *a: plans.append(1) or nearest.promising(*a))
+    by_blocks = found()
+    assert len(plans) == 9
+    monkeypatch.setattr(semantic, "_nearest", lambda *a: None)
+    assert by_blocks == found()
+
+
+def test_joins_by_values(spark, monkeypatch):
+    """Outer joins and shares give what a model that is asked row by row gives; equal values are asked about once."""
+    rows = [(["a", "b", None][i % 3], i % 5, i) for i in range(40)]
+    frame = spark.createDataFrame(rows, "k string, v long, arrival long")
+    src = Log(["k", "v", "arrival"])
+    model = RuleModel({"{v:left} under {v:right}?": lambda v: v["v:left"] % 3 < v["v:right"] - 2})
+    yes = lambda a, b: a[1] % 3 < b[1] - 2
+    pairs = {(a[2], b[2]) for a in rows for b in rows if a[0] is not None and a[0] == b[0] and yes(a, b)}
+    right_alone = {(None, b[2]) for b in rows} - {(None, j) for _, j in pairs}
+    left_alone = {(a[2], None) for a in rows} - {(i, None) for i, _ in pairs}
+    for salt in (semantic.SALT, 10):
+        monkeypatch.setattr(semantic, "SALT", salt)
+        for how, want in (("inner", pairs), ("left", pairs | left_alone), ("right", pairs | right_alone), ("outer", pairs | left_alone | right_alone)):
+            with recorded() as made:
+                r = src.sem_join(src, "{v:left} under {v:right}?", how, on=["k"])[["arrival:left", "arrival:right"]]
+                got = [tuple(x) for x in evaluate(r, frame, ["arrival"], model).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+            assert not [p for p in made if "/pairs-" in p]  # the pairs themselves are not stored

@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.model import PairwiseModel, Request, ask, keyed, placeholders, reads_ids, reads_keep, reads_label, reads_record, reads_rows, reads_text
 from tidemark.operators.components import components
+from tidemark.operators.nearest import COMPARES, KEYS, promising
 from tidemark.operators.relational import OCC, Context, aggregate_column, c, lowers, pair_condition, suffixed
 from tidemark.operators.windows import with_positions
 from tidemark.plans.expressions import Expr
@@ -197,11 +198,16 @@ def screened(pairs: DataFrame, profile: dict, left_id: Sequence[str], right_id:
     return out.join(chosen, [*left_id, *right_id], "left_semi")
 
 
-def scored(left: DataFrame, right: DataFrame, profile: dict) -> tuple[DataFrame, DataFrame, Column]:
-    """Both sides with their unit vectors, made once a row, and the score of a joined pair."""
+def united(left: DataFrame, right: DataFrame, profile: dict) -> tuple[DataFrame, DataFrame, int | None]:
+    """Both sides with their unit vectors, made once a row, and the width of the left ones."""
     left = left.withColumn("__lu", unit(c(profile["left"])))
     right = right.withColumn("__ru", unit(c(profile["right"])))
-    width = left.agg(F.max(F.size("__lu"))).first()[0]
+    return left, right, left.agg(F.max(F.size("__lu"))).first()[0]
+
+
+def scored(left: DataFrame, right: DataFrame, profile: dict) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides with their unit vectors, and the score of a joined pair."""
+    left, right, width = united(left, right, profile)
     return left, right, product(c("__lu"), c("__ru"), width)
 
 
@@ -211,23 +217,68 @@ def _profile(options: dict, name: str) -> dict | None:
     return None if not found or found.get("mode") == "oracle-only" else found
 
 
+def _both(node, inputs: list[DataFrame]) -> list[DataFrame]:
+    return [suffixed(df, n.columns, s, o) for df, n, s, o in zip(inputs, node.inputs, node.params["sides"], ("__l", "__r"), strict=True)]
+
+
+def _in_domain(node, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs that ``on`` leaves, of frames that have its columns."""
+    on, sides = node.params["on"], node.params["sides"]
+    if on and all(isinstance(e, Expr) for e in on):
+        kinds = [{n: (d[f"{n}:{s}"], d.schema[f"{n}:{s}"].dataType) for n in x.columns if f"{n}:{s}" in d.columns} for d, x, s in zip((left, right), node.inputs, sides, strict=True)]
+        return left.join(right, pair_condition(on, *kinds, sides))
+    if not on:
+        return left.crossJoin(right)  # the operator's own domain: every pair is a question
+    condition = F.lit(True)
+    for k in on:
+        condition = condition & (left[f"{k}:{sides[0]}"] == right[f"{k}:{sides[1]}"])
+    return left.join(right, condition)
+
+
+def _compared(node, left: DataFrame, right: DataFrame) -> tuple[list, list] | None:
+    """``on`` as equal keys and other comparisons of a column of each side, for ``promising``; None if it is more."""
+    sides, keys, rest = node.params["sides"], [], []
+    todo = [e if isinstance(e, Expr) else Expr("eq", (Expr("col", (e, sides[0])), Expr("col", (e, sides[1])))) for e in node.params["on"]]
+    while todo:
+        e = todo.pop()
+        if e.op == "and":
+            todo += e.args
+            continue
+        if e.op not in COMPARES or any(a.op != "col" for a in e.args) or {a.args[1] for a in e.args} != set(sides):
+            return None
+        op, (a, b) = e.op, e.args
+        if a.args[1] != sides[0]:
+            op, a, b = {"lt": "gt", "gt": "lt", "le": "ge", "ge": "le"}.get(op, op), b, a
+        names = (f"{a.args[0]}:{sides[0]}", f"{b.args[0]}:{sides[1]}")
+        kinds = [d.schema[n].dataType.simpleString() for d, n in zip((left, right), names, strict=True)]
+        if kinds[0] != kinds[1] or kinds[0] not in KEYS:
+            return None
+        (keys.append((*names, False)) if op == "eq" else rest.append((op, *names)))
+    return keys, rest
+
+
+def _nearest(left: DataFrame, right: DataFrame, ids: tuple[str, str], keys: list, rest: list, profile: dict) -> DataFrame | None:
+    """Pairs that ``profile`` screens, with all columns of both sides; None where every pair is a candidate."""
+    if profile.get("k") is None and profile.get("threshold") is None:
+        return None
+    left, right, width = united(left, right, profile)
+    if width is None or width < 1:
+        return None
+    found = screened(promising(left, right, ids, keys, rest, ("__lu", "__ru"), width, profile, UNROLLED), profile, [ids[0]], [ids[1]])
+    return found.join(left.drop("__lu"), ids[0]).join(right.drop("__ru"), ids[1])
+
+
 def candidate_pairs(node, ctx: Context, inputs: list[DataFrame]) -> DataFrame:
     """Pairs in the domain that ``on`` leaves, with both occurrence ids."""
-    p, sides = node.params, node.params["sides"]
-    left, right = (suffixed(df, n.columns, s, o) for df, n, s, o in zip(inputs, node.inputs, sides, ("__l", "__r"), strict=True))
-    on, profile = p["on"], _profile(ctx.options, "pairs")
+    left, right = _both(node, inputs)
+    profile = _profile(ctx.options, "pairs")
     if profile:
+        known = _compared(node, left, right)
+        near = _nearest(left, right, ("__l", "__r"), *known, profile) if known else None
+        if near is not None:
+            return near
         left, right, score = scored(left, right, profile)
-    if on and all(isinstance(e, Expr) for e in on):
-        kinds = [{n: (d[f"{n}:{s}"], d.schema[f"{n}:{s}"].dataType) for n in x.columns} for d, x, s in zip((left, right), node.inputs, sides, strict=True)]
-        pairs = left.join(right, pair_condition(on, *kinds, sides))
-    elif on:
-        condition = F.lit(True)
-        for k in on:
-            condition = condition & (left[f"{k}:{sides[0]}"] == right[f"{k}:{sides[1]}"])
-        pairs = left.join(right, condition)
-    else:
-        pairs = left.crossJoin(right)  # the operator's own domain: every pair is a question
+    pairs = _in_domain(node, left, right)
     return screened(pairs.withColumn("__score", score).drop("__lu", "__ru"), profile, ["__l"], ["__r"]) if profile else pairs
 
 
@@ -296,6 +347,59 @@ def kept_pairs(node, ctx: Context, pairs: DataFrame) -> DataFrame:
     return chosen_rows(node, ranking, stored(verified_pairs(node, ctx, pairs), "pairs"), "rank")
 
 
+SALT = 5_000_000  # pairs that one share of a join makes
+
+
+def confirmed(node, ctx: Context, left: DataFrame, right: DataFrame) -> tuple[DataFrame, list[list[str]]] | None:
+    """Distinct values of the columns that the question and ``on`` name, of both sides, that the model joins: as ``__a0``, ...
+    and ``__b0``, .... None where a side has no such column."""
+    p, sides = node.params, node.params["sides"]
+    text = [(x.replace(":left", f":{sides[0]}").replace(":right", f":{sides[1]}")) for x in placeholders(p["instruction"])]
+    on = [x for e in p["on"] for x in (e.columns() if isinstance(e, Expr) else ((e, s) for s in sides))]
+    named = []
+    for n, s, other in zip(node.inputs, sides, sides[::-1], strict=True):
+        names = [x for x in text if x.rpartition(":")[2] == s and x.rpartition(":")[0] in n.columns]
+        names += sorted(f"{x}:{s}" for x, q in on if (q == s or (q != other and x in n.columns)))
+        named.append(list(dict.fromkeys(names)))
+    if not all(named) or any(x not in (*named[0], *named[1]) for x in text):
+        return None
+    values = [df.select(*map(c, names)).distinct() for df, names in zip((left, right), named, strict=True)]
+    found = verified_pairs(node, ctx, _in_domain(node, *values))
+    return stored(found.select(*(c(x).alias(f"__{s}{i}") for s, names in zip("ab", named, strict=True) for i, x in enumerate(names))), "confirmed"), named
+
+
+def _same(df: DataFrame, names: Sequence[str], other: DataFrame, mark: str) -> Column:
+    out = F.lit(True)
+    for i, n in enumerate(names):
+        out = out & df[f"`{n}`"].eqNullSafe(other[f"__{mark}{i}"])
+    return out
+
+
+def confirmed_pairs(left: DataFrame, right: DataFrame, yes: DataFrame, named: list[list[str]]) -> DataFrame:
+    """Rows of both sides whose values are confirmed. Where few values make many pairs, the rows of a value on the right
+    are dealt to shares, each of which meets all its rows on the left."""
+    counts = []
+    for df, names, mark in zip((left, right), named, "ab", strict=True):
+        sizes = df.groupBy(*map(c, names)).agg(F.count(F.lit(1)).cast("double").alias(f"__n{mark}"))
+        counts.append(sizes.select(*(c(x).alias(f"__{mark}{i}") for i, x in enumerate(names)), f"__n{mark}"))
+    made = yes
+    for x, mark, names in zip(counts, "ab", named, strict=True):
+        x = x.withColumnsRenamed({f"__{mark}{i}": f"__{mark}{i}x" for i in range(len(names))})
+        same = F.lit(True)
+        for i in range(len(names)):
+            same = same & made[f"__{mark}{i}"].eqNullSafe(x[f"__{mark}{i}x"])
+        made = made.join(x, same)
+    total = made.agg(F.sum(F.col("__na") * F.col("__nb"))).first()[0] or 0
+    shares = min(64, -(-int(total) // SALT))
+    first = left.join(yes, _same(left, named[0], yes, "a")).drop(*(f"__a{i}" for i in range(len(named[0]))))
+    if shares <= 1:
+        return first.join(right, _same(right, named[1], first, "b")).drop(*(f"__b{i}" for i in range(len(named[1]))))
+    first = first.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).hint("merge")
+    right = right.withColumn("__own", F.pmod(F.xxhash64("__r"), F.lit(shares)).cast("int")).hint("merge")
+    both = first.join(right, _same(right, named[1], first, "b") & (c("__share") == c("__own")))
+    return both.drop("__share", "__own", *(f"__b{i}" for i in range(len(named[1]))))
+
+
 class _Renamed:
     """Gives the model the instruction and value names as the author wrote them."""
 
@@ -309,9 +413,20 @@ class _Renamed:
 @lowers("sem_join")
 def _sem_join(node, ctx, inputs):
     p, sides = node.params, node.params["sides"]
-    pairs = kept_pairs(node, ctx, candidate_pairs(node, ctx, inputs)).withColumn(OCC, F.concat("__l", "__r"))
+    left, right = _both(node, inputs)
+    whole = confirmed(node, ctx, left, right) if p["k"] is None and not _profile(ctx.options, "pairs") else None
+    pairs = kept_pairs(node, ctx, candidate_pairs(node, ctx, inputs)) if whole is None else confirmed_pairs(left, right, *whole)
+    pairs = pairs.withColumn(OCC, F.concat("__l", "__r"))
     if p["how"] == "inner":
         return pairs
+    if whole is not None:  # a row without a pair is one whose values none was confirmed with
+        out = pairs.select(*map(c, node.columns), OCC)
+        for i, (df, own, how) in enumerate(((left, "__l", ("left", "outer")), (right, "__r", ("right", "outer")))):
+            if p["how"] in how:
+                values = whole[0].select(*(f"__{'ab'[i]}{n}" for n in range(len(whole[1][i])))).distinct()
+                alone = df.join(values, _same(df, whole[1][i], values, "ab"[i]), "left_anti").withColumn(OCC, F.concat(F.array(F.lit((1 << 63) - 1)) if i else F.array().cast("array<bigint>"), own))
+                out = out.unionByName(alone.drop("__l", "__r"), allowMissingColumns=True)
+        return out
     pairs = stored(pairs.select(*map(c, node.columns), "__l", "__r", OCC), "pairs")
     out = pairs
     for i, how in ((0, ("left", "outer")), (1, ("right", "outer"))):
@@ -340,13 +455,19 @@ def _sem_groupby(node, ctx, inputs):
         return with_reply(df, with_reply(known, roots, same).select(*map(c, keys), "__reply"), keys).withColumn(p["group_col"], c("__reply"))
     if profile:
         profile = {"left": f"{profile['column']}:left", "right": f"{profile['column']}:right", **profile}
-        a, b, score = scored(a, b, profile)
-    condition = c("__left") < c("__right")
-    for k in (*p["partition_by"], *ctx.keys):
-        condition = condition & a[f"`{k}:left`"].eqNullSafe(b[f"`{k}:right`"])
-    pairs = a.join(b, condition)
-    if profile:
-        pairs = screened(pairs.withColumn("__score", score).drop("__lu", "__ru"), profile, ["__left"], ["__right"])
+    within = (*p["partition_by"], *ctx.keys)
+    pairs = None
+    if profile and all(nodes.schema[k].dataType.simpleString() in KEYS for k in within):
+        pairs = _nearest(a, b, ("__left", "__right"), [(f"{k}:left", f"{k}:right", True) for k in within], [("lt", "__left", "__right")], profile)
+    if pairs is None:
+        if profile:
+            a, b, score = scored(a, b, profile)
+        condition = c("__left") < c("__right")
+        for k in within:
+            condition = condition & a[f"`{k}:left`"].eqNullSafe(b[f"`{k}:right`"])
+        pairs = a.join(b, condition)
+        if profile:
+            pairs = screened(pairs.withColumn("__score", score).drop("__lu", "__ru"), profile, ["__left"], ["__right"])
     if not profile or profile.get("mode") != "proxy-only":
         sides = [f"{n}:{s}" for n in names for s in ("left", "right")]
         pairs = with_reply(pairs, asked(pairs, ctx, "same", p["instruction"], sides, "boolean", reads_keep(False)).filter("__reply"), sides)
