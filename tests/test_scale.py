@@ -1,11 +1,15 @@
 """Work that must not grow with the square of the rows, and steps that only large inputs reach."""
 
 import random
+import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import metrics
 from tidemark.functions.model import RuleModel, SameKey
-from tidemark.operators import nearest, semantic
+from tidemark.operators import nearest, search, semantic
 from tidemark.plans import policies
 from tidemark.plans.relation import Log, sem_agg
 from tidemark.queries import POLICY_RULES
@@ -140,3 +144,24 @@ def test_joins_by_values(spark, monkeypatch):
                 got = [tuple(x) for x in evaluate(r, frame, ["arrival"], model).collect()]
             assert len(got) == len(set(got)) and set(got) == want
             assert not [p for p in made if "/pairs-" in p]  # the pairs themselves are not stored
+
+
+def test_token_scores_are_linear(spark):
+    """Long texts: work by the product of both lengths would take minutes here. Only rows of its category reach Python."""
+    words = " ".join(f"w{i}" for i in range(20_000))
+    df = spark.createDataFrame([(words, words + " w1 w1 x", 2), ("", None, 5)], "a string, g string, c int")
+    began = time.monotonic()
+    got = [r[0] for r in df.select(metrics.token_f1(F.col("a"), F.col("g"))).collect()]
+    assert got == [40_000 / 40_003, 0.0] and time.monotonic() - began < 30
+    plan = df.select(metrics.category_score(F.col("a"), F.col("g"), F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(set(re.findall(r"pythonUDF\d+", plan))) == 1
+
+
+def test_postings_deal_tokens_once(spark):
+    """Tokens are counted where they are cut: one exchange of texts, one of counts. Scores are those of a scan."""
+    docs = spark.createDataFrame([(i, " ".join(random.Random(i).choices(["red", "fox", "a b", "dog"], k=i % 5))) for i in range(40)], "id long, text string")
+    with recorded() as made:
+        index = search.Postings.build(docs, "id", ["text"])
+    assert not made  # the tokens are not stored beside the index
+    want = {r[0]: r[1] for r in search.bm25(docs, "id", ["text"], "red fox").collect()}
+    assert {r[0]: r[1] for r in index.search("red fox").collect()} == pytest.approx(want) and want
