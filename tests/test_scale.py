@@ -4,12 +4,12 @@ import random
 import re
 import time
 
-import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.functions import metrics
 from tidemark.functions.model import RuleModel, SameKey
-from tidemark.operators import nearest, search, semantic
+from tidemark.operators import nearest, semantic
 from tidemark.plans import policies
 from tidemark.plans.relation import Log, sem_agg
 from tidemark.queries import POLICY_RULES
@@ -157,11 +157,11 @@ def test_token_scores_are_linear(spark):
     assert len(set(re.findall(r"pythonUDF\d+", plan))) == 1
 
 
-def test_postings_deal_tokens_once(spark):
-    """Tokens are counted where they are cut: one exchange of texts, one of counts. Scores are those of a scan."""
-    docs = spark.createDataFrame([(i, " ".join(random.Random(i).choices(["red", "fox", "a b", "dog"], k=i % 5))) for i in range(40)], "id long, text string")
-    with recorded() as made:
-        index = search.Postings.build(docs, "id", ["text"])
-    assert not made  # the tokens are not stored beside the index
-    want = {r[0]: r[1] for r in search.bm25(docs, "id", ["text"], "red fox").collect()}
-    assert {r[0]: r[1] for r in index.search("red fox").collect()} == pytest.approx(want) and want
+def test_questions_are_made_in_slices(spark):
+    """No more rows than a slice are Python objects at once, and whole numbers stay whole beside nulls."""
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1000))})
+    assert [p.num_rows for p in semantic.slices([batch])] == [256, 256, 256, 232]
+    frame = spark.createDataFrame([("a", 5, 0), ("b", None, 1)], "k string, v long, arrival long").coalesce(1)
+    r = log.sem_map(["v"], ["said"], "say {v}")[["k", "said"]]
+    model = RuleModel({"say {v}": lambda v: repr(v["v"])})
+    assert sorted(map(tuple, evaluate(r, frame, ["arrival"], model).collect())) == [("a", "5"), ("b", "None")]
